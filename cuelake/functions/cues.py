@@ -51,14 +51,24 @@ def category_totals(folded: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> dict[
     return out
 
 
-def with_folded(df: DataFrame, text_col: str, raw: bool = True, norm: bool = False) -> DataFrame:
-    """Add ``_cue_fold`` (folded raw text) and/or ``_cue_norm`` (T2 text)."""
-    cols = []
-    if raw:
-        cols.append(fold_case(F.col(text_col)).alias("_cue_fold"))
-    if norm:
-        cols.append(normalize_text(F.col(text_col)).alias("_cue_norm"))
-    return df.select("*", *cols)
+# A non-word, non-space separator: no phrase can match across it and it acts
+# as a text end for the boundaries, so counting over "raw SEP norm" equals the
+# raw count plus the normalised count -- one regex per phrase instead of two.
+PASS_SEPARATOR = "\u0001"
+
+
+def cue_source(text: Column, merged: bool = False) -> Column:
+    """The text the phrase regexes run over: the case-folded text, or for the
+    merged (C4) semantics the folded text and its T2 form joined by
+    ``PASS_SEPARATOR``."""
+    if not merged:
+        return fold_case(text)
+    return F.concat(fold_case(text), F.lit(PASS_SEPARATOR), normalize_text(text))
+
+
+def with_folded(df: DataFrame, text_col: str, merged: bool = False) -> DataFrame:
+    """Add ``_cue_src`` in its own projection (computed once, not per phrase)."""
+    return df.select("*", cue_source(F.col(text_col), merged).alias("_cue_src"))
 
 
 def add_category_totals(
@@ -73,15 +83,9 @@ def add_category_totals(
     ``merged=True``: raw pass + normalised pass added (images, URLs, C4), so an
     ordinary hit counts twice and a hit visible in only one form once.
     """
-    staged = with_folded(df, text_col, raw=True, norm=merged)
-    raw = category_totals(F.col("_cue_fold"), lexicon)
-    if merged:
-        norm = category_totals(F.col("_cue_norm"), lexicon)
-        sums = {k: (raw[k] + norm[k]).alias(k) for k in raw}
-    else:
-        sums = {k: v.alias(k) for k, v in raw.items()}
-    keep = [c for c in df.columns]
-    return staged.select(*keep, *sums.values())
+    staged = with_folded(df, text_col, merged)
+    sums = category_totals(F.col("_cue_src"), lexicon)
+    return staged.select(*df.columns, *[v.alias(k) for k, v in sums.items()])
 
 
 def phrase_counts_long(
@@ -92,13 +96,8 @@ def phrase_counts_long(
     merged: bool = False,
 ) -> DataFrame:
     """C2 in long form: (keys..., category, phrase, n) for every n > 0."""
-    staged = with_folded(df.select(*key_cols, text_col), text_col, raw=True, norm=merged)
-    raw = phrase_count_columns(F.col("_cue_fold"), lexicon)
-    if merged:
-        norm = phrase_count_columns(F.col("_cue_norm"), lexicon)
-        counts = [(c, p, r + n) for (c, p, r), (_, _, n) in zip(raw, norm)]
-    else:
-        counts = raw
+    staged = with_folded(df.select(*key_cols, text_col), text_col, merged)
+    counts = phrase_count_columns(F.col("_cue_src"), lexicon)
     # Counts first (one projection, split into small generated methods), then
     # stack: keeps the generated code of each step under the JVM method limit.
     counted = staged.select(

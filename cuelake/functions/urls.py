@@ -79,13 +79,28 @@ def keyword_count(x, keywords=SUSPICIOUS_KEYWORDS) -> Column:
     return total if total is not None else F.lit(0).cast("bigint")
 
 
-def url_features(u, keywords=SUSPICIOUS_KEYWORDS) -> dict[str, Column]:
+PART_COLUMNS = ["scheme", "netloc", "path", "query", "host", "error"]
+
+
+def with_url_parts(df, url_col: str = "url", prefix: str = "_u_"):
+    """Stage U2 in its own projection: ``<prefix><part>`` columns, computed
+    once per row and shared by the features and the mask."""
+    p = url_parts(F.col(url_col))
+    return df.select("*", *[p[k].alias(prefix + k) for k in PART_COLUMNS])
+
+
+def _parts_of(prefix: str) -> dict[str, Column]:
+    return {k: F.col(prefix + k) for k in PART_COLUMNS}
+
+
+def url_features(u, keywords=SUSPICIOUS_KEYWORDS, parts: dict[str, Column] | None = None) -> dict[str, Column]:
     """The 14 URL features of a normalised URL, plus ``error``.
 
-    Feature values are NULL on rows whose URL does not parse.
+    Feature values are NULL on rows whose URL does not parse. Pass ``parts``
+    (from ``with_url_parts``) to reuse a staged parse.
     """
     u = blank_to_empty(u)
-    p = url_parts(u)
+    p = parts or url_parts(u)
     host = p["host"]
     pathq = F.concat(p["path"], F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise(F.lit("")))
     digits = F.regexp_count(host, F.lit(r"\p{Nd}"))
@@ -115,10 +130,10 @@ def url_features(u, keywords=SUSPICIOUS_KEYWORDS) -> dict[str, Column]:
     }
 
 
-def mask_url(x) -> Column:
+def mask_url(x, parts: dict[str, Column] | None = None) -> Column:
     """``apex:/first-path-segment`` (``apex:/`` without one);
     ``[redacted]`` when the URL does not parse."""
-    p = url_parts(x)
+    p = parts or url_parts(x)
     path = py_strip(p["path"])
     seg1 = F.try_element_at(F.split(path, "/"), F.lit(2))
     first = F.when(

@@ -136,3 +136,111 @@ def redact_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.concat(F.col("text"), F.lit(" Contact: Bob <bob."), F.col("doc_id").cast("string"),
                  F.lit("+x@mail.example.co.uk>, a@b"))
     return d.select("doc_id", T.redact_emails(t).alias("text"))
+
+
+# --- URLs: U1-U6, U7, D-1 + L3 + W4 ---------------------------------------------
+from ..operators import urlscan as US  # noqa: E402
+from ..functions import urls as UF  # noqa: E402
+
+_URLS_NORM_SQL = f"""urls AS (
+  SELECT url_id AS row_idx, {O.normalize_url('url')} AS url FROM url_list
+)"""
+_URLS_PARSED_SQL = f"""parsed AS ({O.url_stage_sql("(SELECT * FROM urls WHERE url <> '')", 'row_idx')})"""
+
+
+def _url_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return US.url_table(D.url_list(spark, sf_dir), "url", "url_id")
+
+
+@register("url_features", f"""
+WITH {D.URL_LIST_SQL}, {_URLS_NORM_SQL}, {_URLS_PARSED_SQL}
+SELECT row_idx, url, {', '.join(O.url_feature_list())}, error FROM parsed
+""")
+def url_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feats = US.with_features(_url_rows(spark, sf_dir))
+    return feats.withColumnRenamed("parse_error", "error")
+
+
+@register("url_mask", f"""
+WITH {D.URL_LIST_SQL}, {_URLS_NORM_SQL}, {_URLS_PARSED_SQL}
+SELECT row_idx, {O.mask_expr()} AS url_masked FROM parsed
+""")
+def url_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _url_rows(spark, sf_dir).select("row_idx", UF.mask_url(F.col("url")).alias("url_masked"))
+
+
+_DEDUPE_SQL = f"""dedup AS (
+  SELECT min_by(url, row_idx) AS url, min(row_idx) AS row_idx FROM (
+    SELECT row_idx, url, CASE WHEN error IS NULL THEN {O.apex('host')} ELSE chr(0) || 'err:' || CAST(row_idx AS VARCHAR) END AS k
+    FROM parsed) GROUP BY k
+)"""
+
+URL_SAMPLE_LIMIT = 50
+URL_SAMPLE_SEED = 2025
+
+
+@register("url_dedupe_sample", f"""
+WITH {D.URL_LIST_SQL}, {_URLS_NORM_SQL}, {_URLS_PARSED_SQL}, {_DEDUPE_SQL},
+keyed AS (SELECT row_idx, url,
+  CASE WHEN (SELECT count(*) FROM dedup) > {URL_SAMPLE_LIMIT} THEN md5('{URL_SAMPLE_SEED}' || ':' || url) ELSE '' END AS k FROM dedup)
+SELECT CAST(row_number() OVER (ORDER BY k, row_idx) AS BIGINT) AS n, row_idx, url
+FROM keyed ORDER BY k, row_idx LIMIT {URL_SAMPLE_LIMIT}
+""")
+def url_dedupe_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deduped = US.dedupe_by_apex(_url_rows(spark, sf_dir), "apex")
+    return US.sample_urls(deduped, URL_SAMPLE_LIMIT, True, URL_SAMPLE_SEED)
+
+
+@register("url_dedupe_all", f"""
+WITH {D.URL_LIST_SQL}, {_URLS_NORM_SQL}, {_URLS_PARSED_SQL}, {_DEDUPE_SQL}
+SELECT CAST(row_number() OVER (ORDER BY row_idx) AS BIGINT) AS n, row_idx, url FROM dedup
+""")
+def url_dedupe_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deduped = US.dedupe_by_apex(_url_rows(spark, sf_dir), "apex")
+    return US.sample_urls(deduped, None)
+
+
+# --- T11 page text ------------------------------------------------------------------
+@register("page_text", f"""
+WITH {D.CRAWL_SQL}
+SELECT url, {O.page_text('html', 'final_url')} AS page_text FROM crawl
+""")
+def page_text_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.pages import page_text
+
+    c = D.crawl(spark, sf_dir)
+    return c.select("url", page_text(F.col("html"), F.col("final_url")).alias("page_text"))
+
+
+# --- J2 + S7 + T11 + C5 + U5/U7 + C4: the URL scan over every URL -------------------
+_PAGE_CUES_SQL = f"""
+WITH {D.URL_LIST_SQL}, {_URLS_NORM_SQL}, {_URLS_PARSED_SQL}, {D.CRAWL_SQL},
+feat AS (SELECT row_idx, {O.mask_expr()} AS url_masked, {', '.join(O.url_feature_list())}, error AS perr FROM parsed),
+joined AS (
+  SELECT p.row_idx, p.url, c.url IS NOT NULL AS found, c.status AS c_status, c.final_url AS c_final,
+         c.error AS c_error, c.content_type, c.html
+  FROM parsed p LEFT JOIN crawl c ON p.url = c.url
+),
+fin AS ({O.url_stage_sql("(SELECT row_idx, CASE WHEN found THEN c_final ELSE '' END AS f FROM joined)", 'row_idx', 'f')}),
+finm AS (SELECT row_idx, CASE WHEN url <> '' THEN {O.mask_expr()} ELSE '' END AS final_url_masked FROM fin),
+texted AS (
+  SELECT *, CASE WHEN found AND contains(lower(coalesce(content_type, '')), 'text/html')
+                 THEN coalesce({O.page_text('html', 'c_final')}, '') ELSE '' END AS ptext
+  FROM joined
+),
+src AS (SELECT row_idx, found, c_status, c_error, CASE WHEN ptext <> '' THEN ptext ELSE url END AS s FROM texted)
+SELECT feat.row_idx, url_masked, final_url_masked,
+       CASE WHEN found THEN CAST(c_status AS BIGINT) END AS status,
+       CAST(0 AS BIGINT) AS redirects,
+       coalesce(perr, CASE WHEN found THEN coalesce(c_error, '') ELSE 'ConnectionError(''not in stored crawl'')' END, '') AS error,
+       {', '.join(US.FEATURES)},
+       {', '.join(_sum_select_sql('s', merged=True))}
+FROM feat JOIN finm ON feat.row_idx = finm.row_idx JOIN src ON feat.row_idx = src.row_idx
+"""
+
+
+@register("page_cues", _PAGE_CUES_SQL)
+def page_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = _url_rows(spark, sf_dir)
+    fetched = US.attach_pages(urls, D.crawl(spark, sf_dir), "get", bounded=False)
+    return US.score_urls(fetched, LEX).drop("url")

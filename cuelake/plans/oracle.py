@@ -143,3 +143,122 @@ def sus_count(x: str) -> str:
 
 def phrase_list_literal(lexicon: Lexicon = DEFAULT_LEXICON) -> str:
     return "[" + ", ".join(q(p) for p in lexicon.phrases()) + "]"
+
+
+# --- URLs ---------------------------------------------------------------------
+URL_SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+BRACKET_HOST_OK = r"^(?:[0-9A-Fa-f]{0,4}:){2,7}(?:[0-9A-Fa-f]{0,4}|\d{1,3}(?:\.\d{1,3}){3})(?:%.+)?$|^v[0-9A-Fa-f]+\..+$"
+
+
+def normalize_url(x: str) -> str:
+    u = py_strip(coalesce_empty(x))
+    return (
+        f"(CASE WHEN {u} = '' THEN '' WHEN starts_with(lower({u}), 'http://') OR starts_with(lower({u}), 'https://') "
+        f"OR starts_with(lower({u}), 'www.') THEN {u} ELSE 'http://' || {u} END)"
+    )
+
+
+def url_stage_sql(src: str, keep: str, url: str = "url") -> str:
+    """SELECT list computing URL parts in three nested stages over ``src``.
+
+    Output columns: keep..., url, scheme, netloc, path, query, host, error.
+    """
+    from ..functions.lexicon import USES_PARAMS_SCHEMES
+
+    schemes = ", ".join(q(s) for s in USES_PARAMS_SCHEMES)
+    s1 = (
+        f"SELECT {keep}, {url} AS url, "
+        f"regexp_replace(regexp_replace(coalesce({url}, ''), '^[\\x00-\\x20]+', ''), '[\\t\\r\\n]', '', 'g') AS u0 FROM {src}"
+    )
+    s2 = (
+        f"SELECT {keep}, url, lower(regexp_extract(u0, {q(URL_SPLIT)}, 1)) AS scheme, "
+        f"regexp_extract(u0, {q(URL_SPLIT)}, 2) AS netloc, regexp_extract(u0, {q(URL_SPLIT)}, 3) AS raw_path, "
+        f"regexp_extract(u0, {q(URL_SPLIT)}, 4) AS query FROM ({s1})"
+    )
+    s3 = (
+        f"SELECT {keep}, url, scheme, netloc, query, "
+        f"CASE WHEN scheme IN ({schemes}) THEN regexp_replace(raw_path, ';[^/]*$', '') ELSE raw_path END AS path, "
+        f"regexp_replace(netloc, '^.*@', '') AS hostinfo FROM ({s2})"
+    )
+    s4 = (
+        f"SELECT {keep}, url, scheme, netloc, query, path, hostinfo, "
+        f"regexp_extract(hostinfo, '\\[([^\\]]*)', 1) AS bracketed, "
+        f"regexp_extract(hostinfo, '\\[[^\\]]*\\](.*)$', 1) AS after_close FROM ({s3})"
+    )
+    return (
+        f"SELECT {keep}, url, scheme, netloc, path, query, "
+        f"lower(CASE WHEN contains(hostinfo, '[') THEN bracketed ELSE regexp_extract(hostinfo, '^([^:]*)', 1) END) AS host, "
+        f"CASE WHEN contains(netloc, '[') <> contains(netloc, ']') OR (contains(hostinfo, '[') AND ("
+        f"NOT starts_with(hostinfo, '[') OR (after_close <> '' AND NOT starts_with(after_close, ':')) "
+        f"OR NOT regexp_matches(bracketed, {q(BRACKET_HOST_OK)}))) THEN 'ValueError(''Invalid IPv6 URL'')' END AS error "
+        f"FROM ({s4})"
+    )
+
+
+def apex(host: str) -> str:
+    return f"array_to_string(string_split(lower(coalesce({host}, '')), '.')[-2:], '.')"
+
+
+def url_feature_list(prefix_ok: str = "error IS NULL") -> list[str]:
+    """Feature expressions over the url_stage_sql columns (NULL on error)."""
+    pathq = "(path || CASE WHEN query <> '' THEN '?' || query ELSE '' END)"
+    labels = "len(regexp_extract_all(host, '[^.]+'))"
+    digits = "len(regexp_extract_all(host, '\\p{Nd}'))"
+    alnum = "len(regexp_extract_all(host, '[\\p{Nd}\\p{L}]'))"
+    f = {
+        "host": "host",
+        "apex": apex("host"),
+        "uses_https": "CAST(scheme = 'https' AS BIGINT)",
+        "has_ip_host": "CAST(host <> '' AND (contains(host, ':') OR regexp_matches(host, '^\\p{Nd}{1,3}(\\.\\p{Nd}{1,3}){3}$')) AS BIGINT)",
+        "has_punycode": "CAST(regexp_matches(host, '(^|\\.)xn--') AS BIGINT)",
+        "at_symbol": "CAST(contains(url, '@') AS BIGINT)",
+        "subdomain_count": f"CAST(greatest({labels} - 2, 0) AS BIGINT)",
+        "hyphen_count": "CAST(length(host) - length(replace(host, '-', '')) AS BIGINT)",
+        "digit_ratio_host": f"CAST(round_even({digits} / greatest({alnum}, 1), 3) AS DOUBLE)",
+        "url_length": "CAST(length(url) AS BIGINT)",
+        "path_length": "CAST(length(path) AS BIGINT)",
+        "query_length": "CAST(length(query) AS BIGINT)",
+        "sus_kw_host": f"CAST({sus_count('host')} AS BIGINT)",
+        "sus_kw_path": f"CAST({sus_count(pathq)} AS BIGINT)",
+    }
+    return [f"CASE WHEN {prefix_ok} THEN {v} END AS {k}" for k, v in f.items()]
+
+
+def mask_expr() -> str:
+    """U7 over url_stage_sql columns."""
+    ps = py_strip("path")
+    seg = f"string_split({ps}, '/')[2]"
+    first = (
+        f"CASE WHEN {ps} <> '' AND {ps} <> '/' AND {seg} IS NOT NULL AND {seg} <> '' "
+        f"THEN '/' || {seg} ELSE '/' END"
+    )
+    return f"CASE WHEN error IS NOT NULL THEN '[redacted]' ELSE {apex('host')} || ':' || {first} END"
+
+
+# --- page text (T11) -----------------------------------------------------------
+ENTITY_ORDER = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+                ("&nbsp;", "\u00a0"), ("&amp;", "&")]
+
+
+def decode_entities(x: str) -> str:
+    t = coalesce_empty(x)
+    for e, c in ENTITY_ORDER:
+        t = f"replace({t}, {q(e)}, {q(c)})"
+    return t
+
+
+def page_text(html: str, final_url: str, max_links: int = 200, max_chars: int = 200) -> str:
+    ws = WS_RE2
+    title_re = f"(?is)<title(?:{ws}[^>]*)?>(.*?)</title{ws}*>"
+    anchor_re = f"(?is)<a(?:{ws}[^>]*)?>(.*?)</a{ws}*>"
+    inner = f"regexp_extract({coalesce_empty(html)}, {q(title_re)}, 1)"
+    title = f"(CASE WHEN contains({inner}, '<') THEN '' ELSE {decode_entities(inner)} END)"
+    anchors = f"regexp_extract_all({coalesce_empty(html)}, {q(anchor_re)}, 1)"
+    node = f"lambda s: {py_strip(decode_entities('s'))}"
+    one = (
+        f"lambda a: substr(array_to_string(list_filter(list_transform(string_split_regex(a, '<[^>]*>'), {node}), "
+        f"lambda s: s <> ''), ''), 1, {max_chars})"
+    )
+    texts = f"list_slice(list_filter(list_transform({anchors}, {one}), lambda t: t <> ''), 1, {max_links})"
+    parts = f"list_concat([{title}, {coalesce_empty(final_url)}], {texts})"
+    return f"array_to_string(list_filter({parts}, lambda s: s <> ''), ' ' || chr(10) || ' ')"
