@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from ..functions.cues import add_category_totals
@@ -58,7 +59,7 @@ def assemble_text(body: list[Column], html: list[Column]) -> Column:
     return F.concat_ws("\n", *parts)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode_mime_udf(s: pd.Series) -> pd.Series:
     from email.header import decode_header, make_header
 

@@ -244,3 +244,232 @@ def page_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = _url_rows(spark, sf_dir)
     fetched = US.attach_pages(urls, D.crawl(spark, sf_dir), "get", bounded=False)
     return US.score_urls(fetched, LEX).drop("url")
+
+
+# --- C6: e-mail scan, S4/T7/T8 column roles ---------------------------------------------
+from ..operators import census as CS  # noqa: E402
+from ..operators import images as IM  # noqa: E402
+from ..operators import mail as ML  # noqa: E402
+
+_MAIL_COLUMNS = ["subject", "from", "from_domain", "to", "date", "body_snippet", "sanitized_body"]
+
+
+def _mail_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = D.emails(spark, sf_dir)
+    path = F.concat(F.col("file"), F.lit("#row="), F.col("row_idx").cast("string"))
+    return e.select(path.alias("path"), *[F.col(f"`{c}`") for c in _MAIL_COLUMNS])
+
+
+_MAIL_FRAME_SQL = f"""mframe AS (
+  SELECT file || '#row=' || CAST(row_idx AS VARCHAR) AS path,
+         coalesce(CASE WHEN coalesce(subject, '') <> '' THEN subject END, '') AS subject_raw,
+         coalesce("from", '') AS "from", coalesce("to", '') AS "to", coalesce(date, '') AS date,
+         concat_ws(chr(10), CASE WHEN coalesce(body_snippet, '') <> '' THEN body_snippet END,
+                   CASE WHEN coalesce(sanitized_body, '') <> '' THEN {O.html_to_text('sanitized_body')} END) AS raw_text
+  FROM emails
+)"""
+
+
+@register("column_roles", f"""
+WITH {D.EMAILS_SQL}, {_MAIL_FRAME_SQL}
+SELECT path, subject_raw, "from", "to", date, raw_text FROM mframe
+""")
+def column_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ML.scan_frame(_mail_input(spark, sf_dir))
+
+
+@register("mail_scan", f"""
+WITH {D.EMAILS_SQL}, {_MAIL_FRAME_SQL},
+m AS (SELECT *, {O.deobfuscate('raw_text')} AS t FROM mframe)
+SELECT path, 'ok' AS status, CAST(0 AS BIGINT) AS bytes, CAST(length(raw_text) AS BIGINT) AS text_len,
+       {O.redact_emails('subject_raw')} AS subject, {O.redact_emails('"from"')} AS "from",
+       {O.redact_emails('"to"')} AS "to", date,
+       {', '.join(_sum_select_sql('t', merged=False))}, {', '.join(O.heuristics('t'))},
+       CAST(NULL AS VARCHAR) AS error
+FROM m
+""")
+def mail_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ML.mail_scan(_mail_input(spark, sf_dir), lexicon=LEX)
+
+
+# --- C7: screenshot scan ------------------------------------------------------------------
+_SHOTS_SCAN_SQL = f"""shots_scan AS (
+  SELECT path,
+         CASE WHEN coalesce(error, '') <> '' THEN 'error' ELSE 'ok' END AS status,
+         CASE WHEN coalesce(error, '') <> '' THEN 0 ELSE CAST(length(coalesce(ocr_text, '')) AS BIGINT) END AS text_len,
+         {', '.join(f"CASE WHEN coalesce(error, '') <> '' THEN 0 ELSE {e.rsplit(' AS ', 1)[0]} END AS {e.rsplit(' AS ', 1)[1]}" for e in _sum_select_sql('ocr_text', merged=True) + O.heuristics('ocr_text'))},
+         CASE WHEN coalesce(error, '') <> '' THEN error END AS error
+  FROM screenshots
+)"""
+
+
+@register("screenshot_scan", f"""
+WITH {D.SCREENSHOTS_SQL}, {_SHOTS_SCAN_SQL}
+SELECT * FROM shots_scan
+""")
+def screenshot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return IM.screenshot_scan(D.screenshots(spark, sf_dir), LEX)
+
+
+# --- census: T12-T15, A1-A8, W2, W3, L1, L2, J3, J4 --------------------------------------------
+def _census_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.emails(spark, sf_dir)
+
+
+_SIGNED_SQL = f"""sg0 AS (
+  SELECT file, file_name, row_idx,
+         {O.first_present(['subject'])} AS subj, {O.first_present(['sanitized_body'])} AS html,
+         {O.first_present(['body_snippet'])} AS body,
+         coalesce(from_domain, '') AS fdom, coalesce(date, '') AS dte
+  FROM emails
+),
+sg1 AS (
+  SELECT *, (subj <> '' OR html <> '' OR body <> '') AS email_like,
+         CASE WHEN html <> '' THEN {O.html_to_text('html')} ELSE body END AS content,
+         {O.first_year('dte')} AS dy, {O.first_year('file_name')} AS fy
+  FROM sg0
+),
+sg2 AS (SELECT *, {O.year_ok('dy')} AS dy_ok, {O.year_ok('fy')} AS fy_ok, {O.normalize_text('content')} AS cnorm FROM sg1),
+signed AS (
+  SELECT file, file_name, row_idx, string_split(file, '/') AS file_key, email_like,
+         CASE WHEN email_like THEN lower({O.py_strip('fdom')}) END AS from_domain,
+         CASE WHEN email_like THEN {O.normalize_subject('subj')} END AS normalized_subject,
+         CASE WHEN email_like THEN {O.sha1_sig('cnorm')} END AS content_sig,
+         CASE WHEN email_like THEN (CASE WHEN dy_ok THEN dy WHEN fy_ok THEN fy ELSE '' END) END AS year,
+         CASE WHEN email_like THEN (CASE WHEN dy_ok THEN 'date_valid' WHEN fy_ok THEN 'fallback_file' ELSE 'unknown' END) END AS year_source,
+         CASE WHEN email_like THEN (dy <> '' AND NOT dy_ok) END AS date_out_of_range,
+         substr(subj, 1, 200) AS example_subject
+  FROM sg2
+),
+sigs AS (
+  SELECT from_domain, normalized_subject, content_sig, count(*) AS count,
+         min(CASE WHEN year <> '' THEN year END) AS earliest_year,
+         min(struct_pack(k := file_key, r := row_idx)) AS first_seen
+  FROM signed WHERE email_like GROUP BY from_domain, normalized_subject, content_sig
+)"""
+
+
+def _examples_sql(chosen: str, render: str) -> str:
+    return f"""SELECT s.from_domain, s.normalized_subject, s.content_sig,
+         string_agg(ex, ' | ' ORDER BY rn) AS examples FROM (
+    SELECT g.from_domain, g.normalized_subject, g.content_sig, {render} AS ex,
+           row_number() OVER (PARTITION BY g.from_domain, g.normalized_subject, g.content_sig
+                              ORDER BY g.file_key, g.row_idx) AS rn
+    FROM signed g SEMI JOIN {chosen} c
+      ON g.from_domain = c.from_domain AND g.normalized_subject = c.normalized_subject AND g.content_sig = c.content_sig
+    WHERE g.email_like
+  ) s WHERE rn <= 3 GROUP BY s.from_domain, s.normalized_subject, s.content_sig"""
+
+
+@register("census_overall", f"""
+WITH {D.EMAILS_SQL}, {_SIGNED_SQL},
+t AS (SELECT count(DISTINCT file) AS files_scanned, count(*) AS rows_total, count_if(email_like) AS e,
+             count_if(year_source = 'date_valid') AS date_valid, count_if(year_source = 'fallback_file') AS fallback_file,
+             count_if(year_source = 'unknown') AS unknown, count_if(coalesce(date_out_of_range, false)) AS date_out_of_range
+      FROM signed),
+u AS (SELECT count(*) AS unique_emails FROM sigs)
+SELECT CAST(files_scanned AS BIGINT) AS files_scanned, CAST(rows_total AS BIGINT) AS rows_total,
+       CAST(e AS BIGINT) AS email_like_rows, CAST(unique_emails AS BIGINT) AS unique_emails,
+       CAST(greatest(e - unique_emails, 0) AS BIGINT) AS estimated_duplicates,
+       CAST(CASE WHEN e > 0 THEN round_even(greatest(e - unique_emails, 0) / e * 100.0, 2) ELSE 0.0 END AS DOUBLE) AS duplicate_rate_percent,
+       CAST(date_valid AS BIGINT) AS date_valid, CAST(fallback_file AS BIGINT) AS fallback_file,
+       CAST(unknown AS BIGINT) AS unknown, CAST(date_out_of_range AS BIGINT) AS date_out_of_range
+FROM t, u
+""")
+def census_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signed = CS.signed_rows(_census_rows(spark, sf_dir))
+    return CS.overall(signed, CS.signatures(signed))
+
+
+@register("census_per_year", f"""
+WITH {D.EMAILS_SQL}, {_SIGNED_SQL},
+r AS (SELECT year, count(*) AS n FROM signed WHERE email_like AND year <> '' GROUP BY year),
+u AS (SELECT earliest_year AS year, count(*) AS n FROM sigs WHERE earliest_year IS NOT NULL GROUP BY earliest_year)
+SELECT coalesce(r.year, u.year) AS year, CAST(coalesce(r.n, 0) AS BIGINT) AS email_like_rows,
+       CAST(coalesce(u.n, 0) AS BIGINT) AS unique_emails,
+       CAST(greatest(coalesce(r.n, 0) - coalesce(u.n, 0), 0) AS BIGINT) AS estimated_duplicates
+FROM r FULL OUTER JOIN u ON r.year = u.year
+""")
+def census_per_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signed = CS.signed_rows(_census_rows(spark, sf_dir))
+    return CS.per_year(signed, CS.signatures(signed))
+
+
+@register("census_per_file", f"""
+WITH {D.EMAILS_SQL}, {_SIGNED_SQL}
+SELECT file, CAST(count(*) AS BIGINT) AS rows_total, CAST(count_if(email_like) AS BIGINT) AS email_like_rows,
+       CAST(count(DISTINCT CASE WHEN email_like THEN struct_pack(a := from_domain, b := normalized_subject, c := content_sig) END) AS BIGINT)
+         AS unique_signatures_in_file
+FROM signed GROUP BY file
+""")
+def census_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CS.per_file(CS.signed_rows(_census_rows(spark, sf_dir)))
+
+
+@register("census_top_duplicates", f"""
+WITH {D.EMAILS_SQL}, {_SIGNED_SQL},
+chosen AS (SELECT * FROM sigs WHERE count >= 2 ORDER BY count DESC, first_seen LIMIT 50),
+ex AS ({_examples_sql('chosen', "g.file_name || ' :: ' || g.example_subject")})
+SELECT CAST(c.count AS BIGINT) AS count,
+       CASE WHEN c.from_domain = '' THEN '-' ELSE c.from_domain END AS from_domain,
+       CASE WHEN c.normalized_subject = '' THEN '-' ELSE c.normalized_subject END AS normalized_subject,
+       substr(c.content_sig, 1, 10) AS content_hash_prefix, coalesce(c.earliest_year, '') AS earliest_year,
+       coalesce(ex.examples, '') AS examples
+FROM chosen c LEFT JOIN ex ON c.from_domain = ex.from_domain AND c.normalized_subject = ex.normalized_subject
+                          AND c.content_sig = ex.content_sig
+""")
+def census_top_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signed = CS.signed_rows(_census_rows(spark, sf_dir))
+    return CS.top_duplicates(signed, CS.signatures(signed))
+
+
+@register("census_unique_examples", f"""
+WITH {D.EMAILS_SQL}, {_SIGNED_SQL},
+chosen AS (SELECT * FROM sigs ORDER BY first_seen LIMIT 200),
+ex AS ({_examples_sql('chosen', 'g.example_subject')})
+SELECT CASE WHEN c.from_domain = '' THEN '-' ELSE c.from_domain END AS from_domain,
+       CASE WHEN c.normalized_subject = '' THEN '-' ELSE c.normalized_subject END AS normalized_subject,
+       substr(c.content_sig, 1, 10) AS content_hash_prefix, coalesce(c.earliest_year, '') AS earliest_year,
+       coalesce(ex.examples, '') AS example_subjects
+FROM chosen c LEFT JOIN ex ON c.from_domain = ex.from_domain AND c.normalized_subject = ex.normalized_subject
+                          AND c.content_sig = ex.content_sig
+""")
+def census_unique_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signed = CS.signed_rows(_census_rows(spark, sf_dir))
+    return CS.unique_examples(signed, CS.signatures(signed))
+
+
+@register("year_audit", f"""
+WITH {D.EMAILS_SQL}, {_SIGNED_SQL}
+SELECT year, year_source, date_out_of_range, CAST(count(*) AS BIGINT) AS rows
+FROM signed WHERE email_like GROUP BY year, year_source, date_out_of_range
+""")
+def year_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CS.year_audit(CS.signed_rows(_census_rows(spark, sf_dir)))
+
+
+# --- T12 on order references --------------------------------------------------------------
+_ORDER_REF_SQL = ("'ref ' || o_orderstatus || '-' || CAST(year(o_orderdate) + o_custkey % 25 AS VARCHAR) "
+                  "|| '/' || o_orderpriority")
+
+
+@register("extract_year", f"""
+SELECT o_orderkey, {_ORDER_REF_SQL} AS ref,
+       CASE WHEN {O.year_ok(O.first_year(_ORDER_REF_SQL))} THEN {O.first_year(_ORDER_REF_SQL)} ELSE '' END AS year
+FROM orders
+""")
+def extract_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = D.table(spark, sf_dir, "orders")
+    ref = F.concat(F.lit("ref "), F.col("o_orderstatus"), F.lit("-"),
+                   (F.year("o_orderdate") + F.col("o_custkey") % 25).cast("string"), F.lit("/"), F.col("o_orderpriority"))
+    return o.select("o_orderkey", ref.alias("ref"), T.extract_year(ref).alias("year"))
+
+
+# --- T3 ------------------------------------------------------------------------------------
+@register("normalize_subject", f"""
+WITH {D.EMAILS_SQL}
+SELECT row_idx, {O.normalize_subject('subject')} AS normalized_subject FROM emails
+""")
+def normalize_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = D.emails(spark, sf_dir)
+    return e.select("row_idx", T.normalize_subject(F.col("subject")).alias("normalized_subject"))
