@@ -473,3 +473,103 @@ SELECT row_idx, {O.normalize_subject('subject')} AS normalized_subject FROM emai
 def normalize_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = D.emails(spark, sf_dir)
     return e.select("row_idx", T.normalize_subject(F.col("subject")).alias("normalized_subject"))
+
+
+# --- summary: T16, A9, A10, S11, X2 -----------------------------------------------------------
+from ..operators import summary as SM  # noqa: E402
+
+_CORRUPT_COLS = ("sum_urgency", "all_caps_words")
+
+
+def _as_text(df: DataFrame, source: str, run_id: str, key: str) -> DataFrame:
+    """A scan output as its CSV would read back: every value text, with
+    malformed numbers in two columns (decimals, padding, words, exponents,
+    blanks) picked by ``key``."""
+    k = F.col(key)
+
+    def txt(c: str):
+        v = F.col(c).cast("string")
+        if c not in _CORRUPT_COLS:
+            return v.alias(c)
+        return (
+            F.when(k % 11 == 0, F.concat(v, F.lit(".0")))
+            .when(k % 13 == 0, F.concat(F.lit(" "), v, F.lit(" ")))
+            .when(k % 17 == 0, F.lit("n/a"))
+            .when(k % 19 == 0, F.concat(v, F.lit("e0")))
+            .when(k % 23 == 0, F.lit(""))
+            .otherwise(v).alias(c)
+        )
+
+    return df.select(F.lit(source).alias("source"), F.lit(run_id).alias("run_id"),
+                     *[txt(c) for c in df.columns])
+
+
+def _corrupt_sql(c: str, key: str) -> str:
+    v = f"CAST({c} AS VARCHAR)"
+    return (f"CASE WHEN {key} % 11 = 0 THEN {v} || '.0' WHEN {key} % 13 = 0 THEN ' ' || {v} || ' ' "
+            f"WHEN {key} % 17 = 0 THEN 'n/a' WHEN {key} % 19 = 0 THEN {v} || 'e0' "
+            f"WHEN {key} % 23 = 0 THEN '' ELSE {v} END")
+
+
+_NUMERIC_SQL = r"^[+-]?(?:(?:\d(?:_?\d)*)(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?$"
+
+
+def _tolerant_int_sql(x: str) -> str:
+    s = O.py_strip(f"coalesce({x}, '')")
+    d = f"TRY_CAST(replace({s}, '_', '') AS DOUBLE)"
+    return (f"(CASE WHEN regexp_matches({s}, {O.q(_NUMERIC_SQL)}) AND NOT isnan({d}) AND abs({d}) < 9.2e18 "
+            f"THEN CAST(trunc({d}) AS BIGINT) ELSE 0 END)")
+
+
+def _source_rows_sql(name: str, cte: str, run: str, key: str, extras: bool, where: str = "") -> str:
+    cols = []
+    for c in SUMS + (EXTRA_COLUMNS if extras else []):
+        v = _tolerant_int_sql(_corrupt_sql(c, key)) if c in _CORRUPT_COLS else c
+        cols.append(f"{v} AS {c}")
+    cols += [f"0 AS {c}" for c in ([] if extras else EXTRA_COLUMNS)]
+    return f"SELECT '{name}' AS source, '{run}' AS run_id, error, {', '.join(cols)} FROM {cte} {where}"
+
+
+_RUNS = {"nazario": ("20250102_090000", "20240101_120000"), "images": ("20250103_080000",),
+         "urlscan": ("20250101_100000",)}
+
+
+def _summary_sql() -> str:
+    def inner(name: str) -> str:
+        return ORACLE[name].strip()
+
+    sums = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in SUMS + EXTRA_COLUMNS)
+    return f"""
+WITH nz0 AS ({inner('mail_scan')}),
+im0 AS ({inner('screenshot_scan')}),
+us0 AS ({inner('page_cues')}),
+allrows AS (
+  {_source_rows_sql('nazario', 'nz0', _RUNS['nazario'][0], 'text_len', True)}
+  UNION ALL {_source_rows_sql('nazario', 'nz0', _RUNS['nazario'][1], 'text_len', True, "WHERE path LIKE '%-1999.csv#%'")}
+  UNION ALL {_source_rows_sql('images', 'im0', _RUNS['images'][0], 'text_len', True)}
+  UNION ALL {_source_rows_sql('urlscan', 'us0', _RUNS['urlscan'][0], 'row_idx', False)}
+),
+latest AS (SELECT source, max(run_id) AS run_id FROM allrows GROUP BY source),
+cur AS (SELECT a.* FROM allrows a SEMI JOIN latest l ON a.source = l.source AND a.run_id = l.run_id)
+SELECT CASE WHEN grouping(source) = 1 THEN 'TOTAL' ELSE source END AS source,
+       CASE WHEN grouping(source) = 1 THEN '—' ELSE max(run_id) END AS timestamp,
+       CAST(count(*) AS BIGINT) AS n_items,
+       CAST(count_if(NOT {O.is_blank('error')}) AS BIGINT) AS errors,
+       {sums}
+FROM cur GROUP BY ROLLUP (source)
+"""
+
+
+@register("summary_totals", _summary_sql())
+def summary_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nz = QUERIES["mail_scan"](spark, sf_dir)
+    im = QUERIES["screenshot_scan"](spark, sf_dir)
+    us = QUERIES["page_cues"](spark, sf_dir)
+    old_nz = nz.where(F.col("path").like("%-1999.csv#%"))
+    frames = [
+        _as_text(nz, "nazario", _RUNS["nazario"][0], "text_len"),
+        _as_text(old_nz, "nazario", _RUNS["nazario"][1], "text_len"),
+        _as_text(im, "images", _RUNS["images"][0], "text_len"),
+        _as_text(us, "urlscan", _RUNS["urlscan"][0], "row_idx"),
+    ]
+    return SM.summarize(SM.union_sources(frames), LEX)
