@@ -13,13 +13,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import DEFAULT_LEXICON
+from ..sources.tables import read_parquet
 from .oracle import phrase_list_literal
 
 N_PHRASES = len(DEFAULT_LEXICON.phrases())
 
 
+TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table; text tables are spread over the cores (see ``spread``)."""
+    return read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", spread_rows=name in TEXT_TABLES)
 
 
 def _phrase_at(idx: Column) -> Column:
