@@ -46,14 +46,9 @@ def url_parts(x) -> dict[str, Column]:
     hostinfo = F.regexp_replace(netloc, "^.*@", "")
     has_open = hostinfo.contains("[")
     bracketed = F.regexp_extract(hostinfo, r"\[([^\]]*)", 1)
-    after_close = F.regexp_extract(hostinfo, r"\[[^\]]*\](.*)$", 1)
     host = F.lower(F.when(has_open, bracketed).otherwise(F.regexp_extract(hostinfo, "^([^:]*)", 1)))
     unbalanced = netloc.contains("[") != netloc.contains("]")
-    bad_bracket = has_open & (
-        ~hostinfo.startswith("[")
-        | ((after_close != "") & ~after_close.startswith(":"))
-        | ~bracketed.rlike(BRACKET_HOST_OK)
-    )
+    bad_bracket = has_open & ~bracketed.rlike(BRACKET_HOST_OK)
     error = F.when(unbalanced | bad_bracket, F.lit("ValueError('Invalid IPv6 URL')"))
     return {"scheme": scheme, "netloc": netloc, "path": path, "query": query, "host": host, "error": error}
 

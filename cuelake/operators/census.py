@@ -175,7 +175,8 @@ def top_duplicates(signed: DataFrame, sigs: DataFrame, top: int = TOP_DUP_CLUSTE
     """L1: the largest clusters (count >= 2; count desc, first seen)."""
     chosen = sigs.where(F.col("count") >= 2).orderBy(F.col("count").desc(), F.col("first_seen")).limit(top)
     ex = _examples(signed, chosen, F.concat(F.col("file_name"), F.lit(" :: "), F.col("example_subject")))
-    return chosen.join(ex, SIG, "left").select(
+    # <= top rows: the final sort is bounded.
+    return chosen.join(ex, SIG, "left").orderBy(F.col("count").desc(), F.col("first_seen")).select(
         F.col("count").cast("bigint"),
         _show("from_domain").alias("from_domain"),
         _show("normalized_subject").alias("normalized_subject"),
@@ -189,7 +190,7 @@ def unique_examples(signed: DataFrame, sigs: DataFrame, n: int = UNIQUE_EXAMPLES
     """L2: the first ``n`` signatures in first-seen order with example subjects."""
     chosen = sigs.orderBy("first_seen").limit(n)
     ex = _examples(signed, chosen, F.col("example_subject"))
-    return chosen.join(ex, SIG, "left").select(
+    return chosen.join(ex, SIG, "left").orderBy("first_seen").select(
         _show("from_domain").alias("from_domain"),
         _show("normalized_subject").alias("normalized_subject"),
         F.substring(F.col("content_sig"), 1, 10).alias("content_hash_prefix"),

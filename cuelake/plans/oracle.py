@@ -189,8 +189,7 @@ def url_stage_sql(src: str, keep: str, url: str = "url") -> str:
         f"SELECT {keep}, url, scheme, netloc, path, query, "
         f"lower(CASE WHEN contains(hostinfo, '[') THEN bracketed ELSE regexp_extract(hostinfo, '^([^:]*)', 1) END) AS host, "
         f"CASE WHEN contains(netloc, '[') <> contains(netloc, ']') OR (contains(hostinfo, '[') AND ("
-        f"NOT starts_with(hostinfo, '[') OR (after_close <> '' AND NOT starts_with(after_close, ':')) "
-        f"OR NOT regexp_matches(bracketed, {q(BRACKET_HOST_OK)}))) THEN 'ValueError(''Invalid IPv6 URL'')' END AS error "
+        f"NOT regexp_matches(bracketed, {q(BRACKET_HOST_OK)}))) THEN 'ValueError(''Invalid IPv6 URL'')' END AS error "
         f"FROM ({s4})"
     )
 
