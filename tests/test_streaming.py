@@ -26,3 +26,22 @@ def test_mail_scan_streams(spark):
     want = mail_scan(spark.read.parquet(src))
     assert got.count() == want.count() > 0
     assert got.exceptAll(want).count() == 0
+
+
+def test_screenshot_stream_helper(spark):
+    import tempfile
+
+    from cuelake.streaming.scan import read_stream, start_scan
+
+    base = tempfile.mkdtemp(prefix="cuelake-shots-")
+    shots = D.screenshots(spark, SF_SMALL)
+    shots.write.parquet(f"{base}/in")
+    src = read_stream(spark, f"{base}/in", shots.schema, max_files_per_trigger=1)
+    q = start_scan(spark, src, "screenshots", f"{base}/out", "shots_stream_test")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = spark.read.parquet(f"{base}/out")
+    assert got.count() == shots.count()
+    assert got.where("status = 'error'").count() == shots.where("error IS NOT NULL").count()
