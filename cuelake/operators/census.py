@@ -75,6 +75,11 @@ def signed_rows(df: DataFrame, lo: int = YEAR_MIN, hi: int = YEAR_MAX,
     )
 
 
+def _year_int() -> Column:
+    """The kept year as INT (NULL when none)."""
+    return F.when(F.col("year") != "", F.col("year").try_cast("int"))
+
+
 def signatures(signed: DataFrame) -> DataFrame:
     """A1 + A2 + W3: count, earliest year and first-seen position per signature."""
     return (
@@ -82,30 +87,36 @@ def signatures(signed: DataFrame) -> DataFrame:
         .groupBy(*SIG)
         .agg(
             F.count(F.lit(1)).alias("count"),
-            F.min(F.when(F.col("year") != "", F.col("year"))).alias("earliest_year"),
+            F.min(_year_int()).cast("string").alias("earliest_year"),
             F.min(F.struct("file_key", "row_idx")).alias("first_seen"),
         )
     )
 
 
-def per_year(signed: DataFrame, sigs: DataFrame) -> DataFrame:
+def per_year(signed: DataFrame, sigs: DataFrame | None = None) -> DataFrame:
     """A3 + A4 + A5 + J4: raw rows, unique signatures (by earliest year) and
-    estimated duplicates per year; years with either count."""
-    raw = (
-        signed.where(F.col("email_like") & (F.col("year") != ""))
-        .groupBy("year").agg(F.count(F.lit(1)).alias("email_like_rows"))
-    )
-    uniq = (
-        sigs.where(F.col("earliest_year").isNotNull())
-        .groupBy(F.col("earliest_year").alias("year")).agg(F.count(F.lit(1)).alias("unique_emails"))
-    )
+    estimated duplicates per year; years with either count.
+
+    Both counts derive from one (signature, year) partial aggregate; its
+    shuffle appears twice in the plan and Spark reuses it (one pass)."""
+    sy = signed.where("email_like").groupBy(*SIG, "year").agg(F.count(F.lit(1)).alias("_n"))
+    # No filter below the shared aggregate (it would be pushed into it and
+    # break the reuse); the '' year is dropped after the join instead.
+    raw = sy.groupBy("year").agg(F.sum("_n").alias("email_like_rows"))
+    # sum(_n), used by the filter, keeps the aggregate over `sy` (a min-only
+    # aggregate would let the optimizer drop `sy` here and the shuffle could
+    # not be shared). Years are 4 ASCII digits: min over INT is exact and
+    # hash-aggregates (a string min needs a sort-based aggregate).
+    first = sy.groupBy(*SIG).agg(F.min(_year_int()).alias("_y"), F.sum("_n").alias("_rows"))
+    uniq = first.where(F.col("_y").isNotNull() & (F.col("_rows") > 0)).groupBy(
+        F.col("_y").cast("string").alias("year")).agg(F.count(F.lit(1)).alias("unique_emails"))
     j = raw.join(uniq, "year", "full")
     r = F.coalesce(F.col("email_like_rows"), F.lit(0)).cast("bigint")
     u = F.coalesce(F.col("unique_emails"), F.lit(0)).cast("bigint")
     return j.select(
         "year", r.alias("email_like_rows"), u.alias("unique_emails"),
         F.greatest(r - u, F.lit(0)).cast("bigint").alias("estimated_duplicates"),
-    )
+    ).where(F.col("year") != "")
 
 
 def per_file(signed: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -126,8 +137,10 @@ def per_file(signed: DataFrame, files: DataFrame | None = None) -> DataFrame:
     )
 
 
-def overall(signed: DataFrame, sigs: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """A7 + A8: one row of corpus totals and the year audit."""
+def overall(signed: DataFrame, sigs: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """A7 + A8: one row of corpus totals and the year audit (one pass over
+    the per-row table; the distinct signature count is a two-phase distinct
+    aggregate)."""
     rows = signed.agg(
         F.count(F.lit(1)).alias("rows_total"),
         F.count_if(F.col("email_like")).alias("email_like_rows"),
@@ -136,8 +149,9 @@ def overall(signed: DataFrame, sigs: DataFrame, files: DataFrame | None = None)
         F.count_if(F.col("year_source") == "unknown").alias("unknown"),
         F.count_if(F.coalesce(F.col("date_out_of_range"), F.lit(False))).alias("date_out_of_range"),
         F.count_distinct(F.col("file")).alias("_files_with_rows"),
+        F.count_distinct(F.when(F.col("email_like"), F.struct(*SIG))).alias("_unique"),
     )
-    unique = sigs.select(F.count(F.lit(1))).scalar()
+    unique = F.col("_unique")
     n_files = files.select(F.count_distinct(F.col("file"))).scalar() if files is not None else F.col("_files_with_rows")
     e = F.col("email_like_rows")
     dup = F.greatest(e - unique, F.lit(0))
@@ -153,18 +167,25 @@ def overall(signed: DataFrame, sigs: DataFrame, files: DataFrame | None = None)
     )
 
 
-def _examples(signed: DataFrame, chosen: DataFrame, render: Column) -> DataFrame:
-    """Up to three examples per chosen signature in scan order, joined
-    by ' | '. ``chosen`` is bounded (<= 250 rows) and broadcast."""
-    rows = signed.where("email_like").join(F.broadcast(chosen.select(*SIG)), SIG, "left_semi")
+def _with_examples(signed: DataFrame, chosen: DataFrame, render: Column, order: list[Column]) -> DataFrame:
+    """W2 + J3: the chosen signatures (<= 250 rows, broadcast) joined to their
+    rows, the first three examples of each in scan order (``row_number <= 3``
+    becomes a map-side WindowGroupLimit) joined by ' | '. ``chosen`` is used
+    once, so the signature aggregate is computed once."""
+    attrs = ["count", "earliest_year", "first_seen"]
+    rows = signed.where("email_like").join(F.broadcast(chosen.select(*SIG, *attrs)), SIG, "inner")
     w = Window.partitionBy(*SIG).orderBy("file_key", "row_idx")
-    firsts = rows.select(*SIG, "file_key", "row_idx", render.alias("_ex"), F.row_number().over(w).alias("_rn"))
+    firsts = rows.select(*SIG, *attrs, "file_key", "row_idx", render.alias("_ex"),
+                         F.row_number().over(w).alias("_rn"))
     firsts = firsts.where(F.col("_rn") <= MAX_EXAMPLES_PER_SIG)
-    return firsts.groupBy(*SIG).agg(
+    out = firsts.groupBy(*SIG).agg(
+        *[F.first(c).alias(c) for c in attrs],
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("_rn", "_ex"))), lambda x: x["_ex"]), " | "
-        ).alias("examples")
+        ).alias("examples"),
     )
+    # <= 250 rows: the final sort is bounded.
+    return out.orderBy(*order)
 
 
 def _show(c: str) -> Column:
@@ -174,9 +195,9 @@ def _show(c: str) -> Column:
 def top_duplicates(signed: DataFrame, sigs: DataFrame, top: int = TOP_DUP_CLUSTERS) -> DataFrame:
     """L1: the largest clusters (count >= 2; count desc, first seen)."""
     chosen = sigs.where(F.col("count") >= 2).orderBy(F.col("count").desc(), F.col("first_seen")).limit(top)
-    ex = _examples(signed, chosen, F.concat(F.col("file_name"), F.lit(" :: "), F.col("example_subject")))
-    # <= top rows: the final sort is bounded.
-    return chosen.join(ex, SIG, "left").orderBy(F.col("count").desc(), F.col("first_seen")).select(
+    ex = _with_examples(signed, chosen, F.concat(F.col("file_name"), F.lit(" :: "), F.col("example_subject")),
+                        [F.col("count").desc(), F.col("first_seen")])
+    return ex.select(
         F.col("count").cast("bigint"),
         _show("from_domain").alias("from_domain"),
         _show("normalized_subject").alias("normalized_subject"),
@@ -189,8 +210,8 @@ def top_duplicates(signed: DataFrame, sigs: DataFrame, top: int = TOP_DUP_CLUSTE
 def unique_examples(signed: DataFrame, sigs: DataFrame, n: int = UNIQUE_EXAMPLES) -> DataFrame:
     """L2: the first ``n`` signatures in first-seen order with example subjects."""
     chosen = sigs.orderBy("first_seen").limit(n)
-    ex = _examples(signed, chosen, F.col("example_subject"))
-    return chosen.join(ex, SIG, "left").orderBy("first_seen").select(
+    ex = _with_examples(signed, chosen, F.col("example_subject"), [F.col("first_seen")])
+    return ex.select(
         _show("from_domain").alias("from_domain"),
         _show("normalized_subject").alias("normalized_subject"),
         F.substring(F.col("content_sig"), 1, 10).alias("content_hash_prefix"),
