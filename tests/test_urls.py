@@ -76,3 +76,32 @@ def test_dedupe_and_sample(spark):
     assert [(r["n"], r["row_idx"]) for r in nolimit] == [(1, 0), (2, 2), (3, 4), (4, 5)]
     rnd = US.sample_urls(US.dedupe_by_apex(df), 3, random_pick=True, seed=7).collect()
     assert sorted(r["n"] for r in rnd) == [1, 2, 3] and len({r["row_idx"] for r in rnd}) == 3
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+PIECES = ["http", "https", "HTTP", "ftp", ":", "//", "/", "?", "#", "@", ";", ".", "-", "_", "%", "a", "B",
+          "xn--p", "0", "12", "www", "com", "login", "=", "&", " ", "\t", "é", "::1", ":8080"]
+
+
+@st.composite
+def url_like(draw):
+    return "".join(draw(st.lists(st.sampled_from(PIECES), min_size=1, max_size=14)))
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(url_like(), min_size=1, max_size=40))
+def test_property_parts_match_urlparse(spark, batch):
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(batch)], "i long, t string")
+    p = U.url_parts(F.col("t"))
+    rows = df.select("i", *[p[k].alias(k) for k in ("scheme", "path", "query", "host", "error")]).orderBy("i").collect()
+    for u, r in zip(batch, rows):
+        try:
+            py = urlparse(u)
+            want = (py.scheme, py.path, py.query, py.hostname or "")
+        except ValueError:
+            assert r["error"] is not None, u
+            continue
+        assert r["error"] is None, u
+        assert (r["scheme"], r["path"], r["query"], r["host"]) == want, u
