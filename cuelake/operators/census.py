@@ -167,7 +167,8 @@ def overall(signed: DataFrame, sigs: DataFrame | None = None, files: DataFrame |
     )
 
 
-def _with_examples(signed: DataFrame, chosen: DataFrame, render: Column, order: list[Column]) -> DataFrame:
+def _with_examples(signed: DataFrame, chosen: DataFrame, render: Column, order: list[Column],
+                   per_sig: int = MAX_EXAMPLES_PER_SIG) -> DataFrame:
     """W2 + J3: the chosen signatures (<= 250 rows, broadcast) joined to their
     rows, the first three examples of each in scan order (``row_number <= 3``
     becomes a map-side WindowGroupLimit) joined by ' | '. ``chosen`` is used
@@ -177,7 +178,7 @@ def _with_examples(signed: DataFrame, chosen: DataFrame, render: Column, order:
     w = Window.partitionBy(*SIG).orderBy("file_key", "row_idx")
     firsts = rows.select(*SIG, *attrs, "file_key", "row_idx", render.alias("_ex"),
                          F.row_number().over(w).alias("_rn"))
-    firsts = firsts.where(F.col("_rn") <= MAX_EXAMPLES_PER_SIG)
+    firsts = firsts.where(F.col("_rn") <= per_sig)
     out = firsts.groupBy(*SIG).agg(
         *[F.first(c).alias(c) for c in attrs],
         F.array_join(
@@ -238,11 +239,14 @@ class CensusReport:
     overall: DataFrame
 
 
-def census(rows: DataFrame, files: DataFrame | None = None, stage: bool = False) -> CensusReport:
+def census(rows: DataFrame, files: DataFrame | None = None, stage: bool = False,
+           lo: int = YEAR_MIN, hi: int = YEAR_MAX, top: int = TOP_DUP_CLUSTERS,
+           unique: int = UNIQUE_EXAMPLES) -> CensusReport:
     """All five census reports. ``stage=True`` checkpoints the per-row table
     and the signature table into the session's checkpoint folder first, so
-    the five reports read them once instead of re-parsing the corpus."""
-    signed = signed_rows(rows)
+    the five reports read them once instead of re-parsing the corpus.
+    ``lo``/``hi`` is the year window, ``top``/``unique`` the report sizes."""
+    signed = signed_rows(rows, lo, hi)
     if stage:
         signed = signed.checkpoint(eager=True)
     sigs = signatures(signed)
@@ -251,7 +255,7 @@ def census(rows: DataFrame, files: DataFrame | None = None, stage: bool = False)
     return CensusReport(
         per_year=per_year(signed, sigs),
         per_file=per_file(signed, files),
-        top_duplicates=top_duplicates(signed, sigs),
-        unique_examples=unique_examples(signed, sigs),
+        top_duplicates=top_duplicates(signed, sigs, top),
+        unique_examples=unique_examples(signed, sigs, unique),
         overall=overall(signed, sigs, files),
     )

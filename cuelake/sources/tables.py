@@ -4,6 +4,7 @@ stored-crawl table (S7)."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -29,7 +30,32 @@ def read_parquet(spark: SparkSession, path: str, spread_rows: bool = True) -> Da
     return spread(df) if spread_rows else df
 
 
-def screenshot_text(spark: SparkSession, path: str) -> DataFrame:
-    """S6 (re-aimed): extracted screenshot text, columns path, ocr_text, error."""
-    df = spark.read.parquet(path)
-    return df.select("path", "ocr_text", "error")
+# --- fixed values: image suffixes of the screenshot folder (any case) ---
+IMAGE_SUFFIXES = [".png", ".jpg", ".jpeg", ".bmp", ".tif", ".tiff", ".webp"]
+
+
+def _ci_glob(suffixes: list[str]) -> str:
+    pats = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes]
+    return "*{" + ",".join(pats) + "}"
+
+
+def list_images(spark: SparkSession, root: str) -> DataFrame:
+    """S2 for screenshots: every image file under ``root`` (7 suffixes, any
+    case), without reading the bytes (the content column is pruned)."""
+    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+          .option("pathGlobFilter", _ci_glob(IMAGE_SUFFIXES)).load(root))
+    return df.select(F.col("path"), F.col("length").cast("bigint"))
+
+
+def screenshot_text(spark: SparkSession, path: str, images_root: str | None = None) -> DataFrame:
+    """S6 (re-aimed): extracted screenshot text ``(path, ocr_text, error)``.
+
+    With ``images_root``, every listed image without a text row becomes an
+    error row (S14), so a failed extraction is counted, not lost.
+    """
+    df = spark.read.parquet(path).select("path", "ocr_text", "error")
+    if images_root is None:
+        return df
+    missing = list_images(spark, images_root).join(df.select("path"), "path", "left_anti")
+    return df.unionByName(missing.select(
+        "path", F.lit(None).cast("string").alias("ocr_text"), F.lit("no extracted text").alias("error")))

@@ -48,3 +48,23 @@ def test_run_all_and_census(spark):
     assert ov["unique_emails"] <= ov["email_like_rows"]
     pf = {os.path.basename(r["file"]): r for r in rep.per_file.collect()}
     assert pf["header_only.csv"]["rows_total"] == 0
+
+
+def test_image_listing_marks_missing_text(spark):
+    from cuelake.sources.tables import list_images, screenshot_text
+
+    root = tempfile.mkdtemp(prefix="cuelake-img-")
+    for name in ["a.png", "b.JPG", "c.webp", "d.txt", "sub/e.TiFf"]:
+        p = os.path.join(root, "imgs", name)
+        os.makedirs(os.path.dirname(p), exist_ok=True)
+        with open(p, "wb") as f:
+            f.write(b"\x89PNG")
+    listed = sorted(os.path.basename(r["path"]) for r in list_images(spark, os.path.join(root, "imgs")).collect())
+    assert listed == ["a.png", "b.JPG", "c.webp", "e.TiFf"]
+    texts = os.path.join(root, "ocr.parquet")
+    first = list_images(spark, os.path.join(root, "imgs")).where("path LIKE '%a.png'").select("path")
+    first.selectExpr("path", "'Verify now' AS ocr_text", "CAST(NULL AS STRING) AS error").write.parquet(texts)
+    df = screenshot_text(spark, texts, os.path.join(root, "imgs"))
+    rows = {os.path.basename(r["path"]): r for r in df.collect()}
+    assert rows["a.png"]["ocr_text"] == "Verify now" and rows["a.png"]["error"] is None
+    assert rows["e.TiFf"]["error"] == "no extracted text" and len(rows) == 4
