@@ -213,14 +213,25 @@ def page_text_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- J2 + S7 + T11 + C5 + U5/U7 + C4: the URL scan over every URL -------------------
-_PAGE_CUES_SQL = f"""
-WITH {D.URL_LIST_SQL}, {_URLS_NORM_SQL}, {_URLS_PARSED_SQL}, {D.CRAWL_SQL},
-feat AS (SELECT row_idx, {O.mask_expr()} AS url_masked, {', '.join(O.url_feature_list())}, error AS perr FROM parsed),
-joined AS (
-  SELECT p.row_idx, p.url, c.url IS NOT NULL AS found, c.status AS c_status, c.final_url AS c_final,
+def _url_scan_sql(src: str, lead_n: bool, fetch: bool = True) -> str:
+    """URL scan rows over CTE ``src`` (row_idx, url[, n]) after the URL CTEs."""
+    n = "n, " if lead_n else ""
+    if fetch:
+        joined = f"""joined AS (
+  SELECT {n}p.row_idx, p.url, c.url IS NOT NULL AS found, c.status AS c_status, c.final_url AS c_final,
          c.error AS c_error, c.content_type, c.html
-  FROM parsed p LEFT JOIN crawl c ON p.url = c.url
-),
+  FROM sparsed p LEFT JOIN crawl c ON p.url = c.url
+)"""
+    else:
+        joined = f"""joined AS (
+  SELECT {n}row_idx, url, false AS found, CAST(NULL AS BIGINT) AS c_status, '' AS c_final,
+         'skipped (offline)' AS c_error, '' AS content_type, '' AS html FROM sparsed
+)"""
+    fetch_err = ("CASE WHEN found THEN coalesce(c_error, '') ELSE 'ConnectionError(''not in stored crawl'')' END"
+                 if fetch else "'skipped (offline)'")
+    return f"""sparsed AS ({O.url_stage_sql(src, n + 'row_idx')}),
+feat AS (SELECT row_idx, {O.mask_expr()} AS url_masked, {', '.join(O.url_feature_list())}, error AS perr FROM sparsed),
+{joined},
 fin AS ({O.url_stage_sql("(SELECT row_idx, CASE WHEN found THEN c_final ELSE '' END AS f FROM joined)", 'row_idx', 'f')}),
 finm AS (SELECT row_idx, CASE WHEN url <> '' THEN {O.mask_expr()} ELSE '' END AS final_url_masked FROM fin),
 texted AS (
@@ -228,14 +239,19 @@ texted AS (
                  THEN coalesce({O.page_text('html', 'c_final')}, '') ELSE '' END AS ptext
   FROM joined
 ),
-src AS (SELECT row_idx, found, c_status, c_error, CASE WHEN ptext <> '' THEN ptext ELSE url END AS s FROM texted)
-SELECT feat.row_idx, url_masked, final_url_masked,
+scored_src AS (SELECT {n}row_idx, found, c_status, c_error, CASE WHEN ptext <> '' THEN ptext ELSE url END AS s FROM texted)
+SELECT {('scored_src.n, ' if lead_n else '')}feat.row_idx, url_masked, final_url_masked,
        CASE WHEN found THEN CAST(c_status AS BIGINT) END AS status,
        CAST(0 AS BIGINT) AS redirects,
-       coalesce(perr, CASE WHEN found THEN coalesce(c_error, '') ELSE 'ConnectionError(''not in stored crawl'')' END, '') AS error,
+       coalesce(perr, {fetch_err}, '') AS error,
        {', '.join(US.FEATURES)},
        {', '.join(_sum_select_sql('s', merged=True))}
-FROM feat JOIN finm ON feat.row_idx = finm.row_idx JOIN src ON feat.row_idx = src.row_idx
+FROM feat JOIN finm ON feat.row_idx = finm.row_idx JOIN scored_src ON feat.row_idx = scored_src.row_idx"""
+
+
+_PAGE_CUES_SQL = f"""
+WITH {D.URL_LIST_SQL}, {_URLS_NORM_SQL}, {D.CRAWL_SQL},
+{_url_scan_sql("(SELECT * FROM urls WHERE url <> '')", lead_n=False)}
 """
 
 
@@ -573,3 +589,28 @@ def summary_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
         _as_text(us, "urlscan", _RUNS["urlscan"][0], "row_idx"),
     ]
     return SM.summarize(SM.union_sources(frames), LEX)
+
+
+# --- the whole URL job: D-1 + L3 + W4 + J2 (bounded, broadcast sample) + U + C4 ------------
+_SAMPLE_SQL = f"""{_DEDUPE_SQL},
+keyed AS (SELECT row_idx, url,
+  CASE WHEN (SELECT count(*) FROM dedup) > {URL_SAMPLE_LIMIT} THEN md5('{URL_SAMPLE_SEED}' || ':' || url) ELSE '' END AS k FROM dedup),
+sample AS (SELECT CAST(row_number() OVER (ORDER BY k, row_idx) AS BIGINT) AS n, row_idx, url
+           FROM keyed ORDER BY k, row_idx LIMIT {URL_SAMPLE_LIMIT})"""
+
+
+@register("url_scan", f"""
+WITH {D.URL_LIST_SQL}, {_URLS_NORM_SQL}, {_URLS_PARSED_SQL}, {D.CRAWL_SQL}, {_SAMPLE_SQL},
+{_url_scan_sql('sample', lead_n=True)}
+""")
+def url_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return US.url_scan(_url_rows(spark, sf_dir), D.crawl(spark, sf_dir), URL_SAMPLE_LIMIT, True,
+                       URL_SAMPLE_SEED, "apex", "get", LEX)
+
+
+@register("url_scan_offline", f"""
+WITH {D.URL_LIST_SQL}, {_URLS_NORM_SQL}, {_URLS_PARSED_SQL}, {_SAMPLE_SQL},
+{_url_scan_sql('sample', lead_n=True, fetch=False)}
+""")
+def url_scan_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return US.url_scan(_url_rows(spark, sf_dir), None, URL_SAMPLE_LIMIT, True, URL_SAMPLE_SEED, "apex", "off", LEX)
