@@ -614,3 +614,25 @@ WITH {D.URL_LIST_SQL}, {_URLS_NORM_SQL}, {_URLS_PARSED_SQL}, {_SAMPLE_SQL},
 """)
 def url_scan_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return US.url_scan(_url_rows(spark, sf_dir), None, URL_SAMPLE_LIMIT, True, URL_SAMPLE_SEED, "apex", "off", LEX)
+
+
+# --- C4 at phrase level: merged raw + normalised phrase maps (screenshot texts) --------------
+def _merged_unnest_sql(raw_doubled: str, norm_doubled: str) -> str:
+    items = ", ".join(
+        f"{{'category': {O.q(c)}, 'phrase': {O.q(p)}, "
+        f"'n': CAST({O.phrase_count(raw_doubled, p)} + {O.phrase_count(norm_doubled, p)} AS BIGINT)}}"
+        for c, _, p, _ in LEX.rows()
+    )
+    return f"unnest([{items}], recursive := true)"
+
+
+@register("cue_phrase_counts_merged", f"""
+WITH {D.SCREENSHOTS_SQL},
+dd AS (SELECT path, {O.doubled(O.fold('ocr_text'))} AS r, {O.doubled(O.normalize_text('ocr_text'))} AS m
+       FROM screenshots WHERE ocr_text IS NOT NULL),
+lc AS (SELECT path, {_merged_unnest_sql('r', 'm')} FROM dd)
+SELECT path, category, phrase, n FROM lc WHERE n > 0
+""")
+def cue_phrase_counts_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shots = D.screenshots(spark, sf_dir).where(F.col("ocr_text").isNotNull())
+    return phrase_counts_long(shots, ["path"], "ocr_text", LEX, merged=True)
