@@ -91,8 +91,9 @@ def _parts_of(prefix: str) -> dict[str, Column]:
 def url_features(u, keywords=SUSPICIOUS_KEYWORDS, parts: dict[str, Column] | None = None) -> dict[str, Column]:
     """The 14 URL features of a normalised URL, plus ``error``.
 
-    Feature values are NULL on rows whose URL does not parse. Pass ``parts``
-    (from ``with_url_parts``) to reuse a staged parse.
+    On a URL that does not parse (the reference would stop there) the
+    features are 0 / '' and ``error`` says why. Pass ``parts`` (from
+    ``with_url_parts``) to reuse a staged parse.
     """
     u = blank_to_empty(u)
     p = parts or url_parts(u)
@@ -104,21 +105,22 @@ def url_features(u, keywords=SUSPICIOUS_KEYWORDS, parts: dict[str, Column] | Non
     ok = p["error"].isNull()
 
     def g(c: Column) -> Column:
-        return F.when(ok, c)
+        return F.when(ok, c.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
 
     return {
-        "host": g(host),
-        "apex": g(apex(host)),
-        "uses_https": g((p["scheme"] == "https").cast("bigint")),
-        "has_ip_host": g(is_ip_host(host).cast("bigint")),
-        "has_punycode": g(host.rlike(r"(^|\.)xn--").cast("bigint")),
-        "at_symbol": g(u.contains("@").cast("bigint")),
-        "subdomain_count": g(F.greatest(labels - 2, F.lit(0)).cast("bigint")),
-        "hyphen_count": g((F.length(host) - F.length(F.replace(host, F.lit("-"), F.lit("")))).cast("bigint")),
-        "digit_ratio_host": g(F.bround(digits / F.greatest(alnum, F.lit(1)), 3).cast("double")),
-        "url_length": g(F.length(u).cast("bigint")),
-        "path_length": g(F.length(p["path"]).cast("bigint")),
-        "query_length": g(F.length(p["query"]).cast("bigint")),
+        "host": F.when(ok, host).otherwise(F.lit("")),
+        "apex": F.when(ok, apex(host)).otherwise(F.lit("")),
+        "uses_https": g((p["scheme"] == "https")),
+        "has_ip_host": g(is_ip_host(host)),
+        "has_punycode": g(host.rlike(r"(^|\.)xn--")),
+        "at_symbol": g(u.contains("@")),
+        "subdomain_count": g(F.greatest(labels - 2, F.lit(0))),
+        "hyphen_count": g((F.length(host) - F.length(F.replace(host, F.lit("-"), F.lit(""))))),
+        "digit_ratio_host": F.when(ok, F.bround(digits / F.greatest(alnum, F.lit(1)), 3)).otherwise(F.lit(0.0))
+        .cast("double"),
+        "url_length": g(F.length(u)),
+        "path_length": g(F.length(p["path"])),
+        "query_length": g(F.length(p["query"])),
         "sus_kw_host": g(keyword_count(host, keywords)),
         "sus_kw_path": g(keyword_count(pathq, keywords)),
         "error": p["error"],

@@ -33,5 +33,5 @@ def screenshot_scan(df: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFr
         ok(T.text_length(F.col("_t"))).alias("text_len"),
         *[ok(F.col(c)).alias(c) for c in lexicon.sum_columns()],
         *[ok(h[k]).alias(k) for k in EXTRA_COLUMNS],
-        F.when(F.col("_failed"), F.col("_err")).alias("error"),
+        F.when(F.col("_failed"), F.col("_err")).otherwise(F.lit("")).alias("error"),
     )

@@ -106,7 +106,7 @@ def attach_pages(urls: DataFrame, crawl: DataFrame | None, fetch: str = "get",
     if fetch in ("off", "0", "false") or crawl is None:
         return urls.select(
             "*",
-            F.lit(None).cast("bigint").alias("status"),
+            F.lit("").alias("status"),
             F.lit(0).cast("bigint").alias("redirects"),
             F.lit("").alias("final_url"),
             F.lit("skipped (offline)").alias("fetch_error"),
@@ -123,7 +123,7 @@ def attach_pages(urls: DataFrame, crawl: DataFrame | None, fetch: str = "get",
     found = F.col("pg").isNotNull()
     return j.select(
         *urls.columns,
-        F.when(found, F.col("pg.status")).alias("status"),
+        F.when(found, F.coalesce(F.col("pg.status").cast("string"), F.lit(""))).otherwise(F.lit("")).alias("status"),
         F.when(found, F.col("pg.redirects")).otherwise(F.lit(0).cast("bigint")).alias("redirects"),
         F.when(found, F.col("pg.final_url")).otherwise(F.lit("")).alias("final_url"),
         F.when(found, F.coalesce(F.col("pg.error"), F.lit("")))

@@ -154,11 +154,11 @@ def _url_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("url_features", f"""
 WITH {D.URL_LIST_SQL}, {_URLS_NORM_SQL}, {_URLS_PARSED_SQL}
-SELECT row_idx, url, {', '.join(O.url_feature_list())}, error FROM parsed
+SELECT row_idx, url, {', '.join(O.url_feature_list())}, coalesce(error, '') AS error FROM parsed
 """)
 def url_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     feats = US.with_features(_url_rows(spark, sf_dir))
-    return feats.withColumnRenamed("parse_error", "error")
+    return feats.withColumn("error", F.coalesce(F.col("parse_error"), F.lit(""))).drop("parse_error")
 
 
 @register("url_mask", f"""
@@ -241,7 +241,7 @@ texted AS (
 ),
 scored_src AS (SELECT {n}row_idx, found, c_status, c_error, CASE WHEN ptext <> '' THEN ptext ELSE url END AS s FROM texted)
 SELECT {('scored_src.n, ' if lead_n else '')}feat.row_idx, url_masked, final_url_masked,
-       CASE WHEN found THEN CAST(c_status AS BIGINT) END AS status,
+       CASE WHEN found THEN coalesce(CAST(c_status AS VARCHAR), '') ELSE '' END AS status,
        CAST(0 AS BIGINT) AS redirects,
        coalesce(perr, {fetch_err}, '') AS error,
        {', '.join(US.FEATURES)},
@@ -301,7 +301,7 @@ SELECT path, 'ok' AS status, CAST(0 AS BIGINT) AS bytes, CAST(length(raw_text) A
        {O.redact_emails('subject_raw')} AS subject, {O.redact_emails('"from"')} AS "from",
        {O.redact_emails('"to"')} AS "to", date,
        {', '.join(_sum_select_sql('t', merged=False))}, {', '.join(O.heuristics('t'))},
-       CAST(NULL AS VARCHAR) AS error
+       '' AS error
 FROM m
 """)
 def mail_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,7 +314,7 @@ _SHOTS_SCAN_SQL = f"""shots_scan AS (
          CASE WHEN coalesce(error, '') <> '' THEN 'error' ELSE 'ok' END AS status,
          CASE WHEN coalesce(error, '') <> '' THEN 0 ELSE CAST(length(coalesce(ocr_text, '')) AS BIGINT) END AS text_len,
          {', '.join(f"CASE WHEN coalesce(error, '') <> '' THEN 0 ELSE {e.rsplit(' AS ', 1)[0]} END AS {e.rsplit(' AS ', 1)[1]}" for e in _sum_select_sql('ocr_text', merged=True) + O.heuristics('ocr_text'))},
-         CASE WHEN coalesce(error, '') <> '' THEN error END AS error
+         CASE WHEN coalesce(error, '') <> '' THEN error ELSE '' END AS error
   FROM screenshots
 )"""
 

@@ -220,7 +220,12 @@ def url_feature_list(prefix_ok: str = "error IS NULL") -> list[str]:
         "sus_kw_host": f"CAST({sus_count('host')} AS BIGINT)",
         "sus_kw_path": f"CAST({sus_count(pathq)} AS BIGINT)",
     }
-    return [f"CASE WHEN {prefix_ok} THEN {v} END AS {k}" for k, v in f.items()]
+    out = []
+    for k, v in f.items():
+        zero = "''" if k in ("host", "apex") else ("0.0" if k == "digit_ratio_host" else "0")
+        cast = "DOUBLE" if k == "digit_ratio_host" else ("VARCHAR" if k in ("host", "apex") else "BIGINT")
+        out.append(f"CAST(CASE WHEN {prefix_ok} THEN {v} ELSE {zero} END AS {cast}) AS {k}")
+    return out
 
 
 def mask_expr() -> str:
