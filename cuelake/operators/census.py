@@ -80,6 +80,17 @@ def _year_int() -> Column:
     return F.when(F.col("year") != "", F.col("year").try_cast("int"))
 
 
+def shared(signed: DataFrame) -> DataFrame:
+    """Pass the per-row table through one round-robin shuffle so several
+    reports can read it: their plans then contain the same exchange and Spark
+    reuses it, so the per-row work (html strip, normalise, sha1) runs once.
+    The rows are small (no text), so this shuffle is cheap next to a second
+    pass of per-row work."""
+    spark = signed.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return signed.repartition(n)
+
+
 def signatures(signed: DataFrame) -> DataFrame:
     """A1 + A2 + W3: count, earliest year and first-seen position per signature."""
     return (

@@ -435,7 +435,7 @@ FROM chosen c LEFT JOIN ex ON c.from_domain = ex.from_domain AND c.normalized_su
                           AND c.content_sig = ex.content_sig
 """)
 def census_top_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signed = CS.signed_rows(_census_rows(spark, sf_dir))
+    signed = CS.shared(CS.signed_rows(_census_rows(spark, sf_dir)))
     return CS.top_duplicates(signed, CS.signatures(signed))
 
 
@@ -451,7 +451,7 @@ FROM chosen c LEFT JOIN ex ON c.from_domain = ex.from_domain AND c.normalized_su
                           AND c.content_sig = ex.content_sig
 """)
 def census_unique_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signed = CS.signed_rows(_census_rows(spark, sf_dir))
+    signed = CS.shared(CS.signed_rows(_census_rows(spark, sf_dir)))
     return CS.unique_examples(signed, CS.signatures(signed))
 
 
