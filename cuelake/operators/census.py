@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import reusable
 from ..functions.lexicon import (
     CENSUS_BODY_KEYS, CENSUS_HTML_KEYS, CENSUS_SUBJECT_KEYS, EXAMPLE_SUBJECT_CHARS,
     MAX_EXAMPLES_PER_SIG, MIN_CONTENT_CHARS, TOP_DUP_CLUSTERS, UNIQUE_EXAMPLES, YEAR_MAX, YEAR_MIN,
@@ -86,9 +87,7 @@ def shared(signed: DataFrame) -> DataFrame:
     reuses it, so the per-row work (html strip, normalise, sha1) runs once.
     The rows are small (no text), so this shuffle is cheap next to a second
     pass of per-row work."""
-    spark = signed.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return signed.repartition(n)
+    return reusable(signed)
 
 
 def signatures(signed: DataFrame) -> DataFrame:

@@ -493,6 +493,7 @@ def normalize_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- summary: T16, A9, A10, S11, X2 -----------------------------------------------------------
 from ..operators import summary as SM  # noqa: E402
+from ..sources.tables import reusable  # noqa: E402
 
 _CORRUPT_COLS = ("sum_urgency", "all_caps_words")
 
@@ -578,7 +579,9 @@ FROM cur GROUP BY ROLLUP (source)
 
 @register("summary_totals", _summary_sql())
 def summary_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nz = QUERIES["mail_scan"](spark, sf_dir)
+    # The older run re-reads part of the e-mail scan: one shared exchange of
+    # the (text-free) scan rows serves both branches.
+    nz = reusable(QUERIES["mail_scan"](spark, sf_dir))
     im = QUERIES["screenshot_scan"](spark, sf_dir)
     us = QUERIES["page_cues"](spark, sf_dir)
     old_nz = nz.where(F.col("path").like("%-1999.csv#%"))

@@ -25,6 +25,15 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df
 
 
+def reusable(df: DataFrame) -> DataFrame:
+    """Pass a narrow, expensive-to-compute table through one round-robin
+    shuffle so that several branches of one plan read the same exchange
+    (Spark reuses it) instead of recomputing the per-row work."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n)
+
+
 def read_parquet(spark: SparkSession, path: str, spread_rows: bool = True) -> DataFrame:
     df = spark.read.parquet(path)
     return spread(df) if spread_rows else df
