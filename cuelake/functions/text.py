@@ -41,7 +41,9 @@ def collapse_ws(x) -> Column:
 
 
 # T1 -------------------------------------------------------------------------
-_SCRIPT_STYLE = f"(?isu)<{WS}*(script|style)[^>]*>.*?<{WS}*/{WS}*\\1{WS}*>"
+# Case-insensitive only where letters are (tag names, back-reference); the
+# same matches as a global (?isu), without case folding at every position.
+_SCRIPT_STYLE = f"<{WS}*((?iu:script|style))[^>]*>(?s:.*?)<{WS}*/{WS}*(?iu:\\1){WS}*>"
 _TAG = "<[^>]+>"
 
 
