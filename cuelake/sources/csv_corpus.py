@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import text as T
+from .tables import reusable
 from ..functions.lexicon import SCAN_BODY_KEYS, SCAN_HTML_KEYS, SCAN_META_KEYS, SCAN_SUBJECT_KEYS
 
 SCAN_GLOB = "*.[cC][sS][vV]"   # the scan: suffix compared case-insensitively
@@ -108,8 +109,7 @@ def read_corpus(spark: SparkSession, root: str, glob: str = SCAN_GLOB,
     rows = rec.join(hdr_side, "file").where(F.col("_mid") > F.col("_mid0")).select(
         "file", "file_name", (F.col("_mid") - F.col("_mid0")).alias("row_idx"), "header", "vals")
     if balance:
-        rows = rows.repartition(max(spark.sparkContext.defaultParallelism,
-                                    int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        rows = reusable(rows)
     return rows, hdr.select("file")
 
 

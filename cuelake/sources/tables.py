@@ -7,6 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Cores of the cluster (default parallelism), or the shuffle partition
+    count where the context is not reachable (Spark Connect)."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Make sure CPU-heavy per-row work (the phrase regexes) gets at least one
     task per core.
@@ -19,10 +28,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.isStreaming:
         return df
     spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    target = min_partitions or parallelism(spark)
+    try:
+        splits = df.rdd.getNumPartitions()
+    except Exception:      # no RDD view (Spark Connect): leave it to the planner
+        return df
+    return df.repartition(target) if splits < target else df
 
 
 def reusable(df: DataFrame) -> DataFrame:
@@ -30,7 +41,7 @@ def reusable(df: DataFrame) -> DataFrame:
     shuffle so that several branches of one plan read the same exchange
     (Spark reuses it) instead of recomputing the per-row work."""
     spark = df.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     return df.repartition(n)
 
 
