@@ -65,7 +65,7 @@ def _decode_mime_udf(s: pd.Series) -> pd.Series:
 
     def one(v):
         if v is None:
-            return ""
+            return None
         try:
             return str(make_header(decode_header(v)))
         except Exception:
@@ -75,9 +75,15 @@ def _decode_mime_udf(s: pd.Series) -> pd.Series:
 
 
 def decode_mime(subject: Column) -> Column:
-    """RFC 2047 words decoded; the Arrow UDF runs only on values that
-    hold an encoded word (``=?``), everything else stays JVM-side."""
-    return F.when(subject.contains("=?"), _decode_mime_udf(subject)).otherwise(subject)
+    """RFC 2047 words decoded.
+
+    A Python UDF is evaluated for every row of its batch, whatever condition
+    surrounds it, so only values holding an encoded word (``=?``) are passed;
+    every other row sends a NULL (one bit in the Arrow batch) and keeps its
+    value JVM-side."""
+    encoded = subject.contains("=?")
+    decoded = _decode_mime_udf(F.when(encoded, subject))
+    return F.when(encoded, decoded).otherwise(subject)
 
 
 def scan_frame(df: DataFrame, roles: Roles | None = None, path: Column | None = None) -> DataFrame:
