@@ -137,5 +137,5 @@ def census_job(spark: SparkSession, emails_root: str, out_root: str, run_id: str
     K.flat_csv(rep.per_file.orderBy("file"), K.run_path(out_root, "census", rid, "files_summary"))
     K.flat_csv(rep.top_duplicates, K.run_path(out_root, "census", rid, "duplicates_top"))
     K.flat_csv(rep.unique_examples, K.run_path(out_root, "census", rid, "unique_examples"))
-    K.nested_json(rep.overall, K.run_path(out_root, "census", rid, "overall"))
+    K.nested_json(CS.overall_record(rep.overall, rep.per_year), K.run_path(out_root, "census", rid, "overall"))
     return rep

@@ -68,3 +68,18 @@ def test_image_listing_marks_missing_text(spark):
     rows = {os.path.basename(r["path"]): r for r in df.collect()}
     assert rows["a.png"]["ocr_text"] == "Verify now" and rows["a.png"]["error"] is None
     assert rows["e.TiFf"]["error"] == "no extracted text" and len(rows) == 4
+
+
+def test_overall_record_has_year_maps(spark):
+    from cuelake.operators import census as CS
+    from test_census import ROWS
+
+    df = spark.createDataFrame(
+        [(f, f.split("/")[-1], i, s, fd, d, b, h) for f, i, s, fd, d, b, h in ROWS],
+        "file string, file_name string, row_idx long, subject string, from_domain string, date string, "
+        "body_snippet string, sanitized_body string")
+    rep = CS.census(df)
+    rec = CS.overall_record(rep.overall, rep.per_year).first()
+    assert rec["years"] == sorted(rec["per_year_raw"].keys() | rec["per_year_unique"].keys())
+    assert rec["year_window"]["min"] == 2005 and rec["year_window"]["max"] == 2024
+    assert sum(rec["year_audit"][k] for k in ("date_valid", "fallback_file", "unknown")) == rec["email_like_rows"]
