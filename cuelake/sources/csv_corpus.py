@@ -59,8 +59,8 @@ def _records(spark: SparkSession, root: str, glob: str, max_columns: int) -> Dat
         .option("maxCharsPerColumn", "-1")
         .csv(root)
     )
-    vals = F.transform(F.array(*[F.col(f"_c{i}") for i in range(max_columns)]),
-                       lambda v: F.translate(v, "\ufffd", ""))
+    # Per-column translate (generated code), not a lambda over every slot.
+    vals = F.array(*[F.translate(F.col(f"_c{i}"), "\ufffd", "") for i in range(max_columns)])
     return raw.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_name").alias("file_name"),
@@ -94,7 +94,9 @@ def read_corpus(spark: SparkSession, root: str, glob: str = SCAN_GLOB,
     if not _exists(spark, root):
         return spark.createDataFrame([], schema).select(
             "file", "file_name", "row_idx", F.array().cast("array<string>").alias("header"),
-            F.array().cast("array<string>").alias("vals")), spark.createDataFrame([], "file string")
+            F.array().cast("array<string>").alias("vals"),
+            *[F.array().cast("array<int>").alias(c) for c in ("subj_pos", "body_pos", "html_pos")],
+        ), spark.createDataFrame([], "file string")
     rec = _records(spark, root, glob, max_columns)
     hdr = rec.groupBy("file").agg(F.min_by("vals", "_mid").alias("_h"), F.min("_mid").alias("_mid0"))
     hdr = hdr.select(
@@ -104,10 +106,21 @@ def read_corpus(spark: SparkSession, root: str, glob: str = SCAN_GLOB,
             F.reverse(F.transform("_h", lambda x: x.isNotNull())), F.lit(True)), F.lit(1))).alias("header"),
     ).select("file", "_mid0", F.transform("header", lambda h, i: F.when(
         i == 0, F.regexp_replace(h, "^\ufeff", "")).otherwise(h)).alias("header"))
+    # Column roles (S4) once per file, on the one-row-per-file table.
+    body = _positions(SCAN_BODY_KEYS)
+    html = _positions(SCAN_HTML_KEYS)
+    hdr = hdr.select(
+        "file", "_mid0", "header",
+        _positions(SCAN_SUBJECT_KEYS).alias("subj_pos"),
+        F.when((F.size(body) == 0) & (F.size(html) == 0), _positions(exclude=SCAN_META_KEYS))
+        .otherwise(body).alias("body_pos"),
+        html.alias("html_pos"),
+    )
     n_files = len(rec.inputFiles())
     hdr_side = F.broadcast(hdr) if n_files <= BROADCAST_FILES else hdr
     rows = rec.join(hdr_side, "file").where(F.col("_mid") > F.col("_mid0")).select(
-        "file", "file_name", (F.col("_mid") - F.col("_mid0")).alias("row_idx"), "header", "vals")
+        "file", "file_name", (F.col("_mid") - F.col("_mid0")).alias("row_idx"), "header", "vals",
+        "subj_pos", "body_pos", "html_pos")
     if balance:
         rows = reusable(rows)
     return rows, hdr.select("file")
@@ -137,12 +150,9 @@ def _pick(pos: Column) -> Column:
 
 
 def scan_frame(rows: DataFrame) -> DataFrame:
-    """S4 + T8 per file header: (path, subject_raw, from, to, date, raw_text)."""
-    subj = _positions(SCAN_SUBJECT_KEYS)
-    body = _positions(SCAN_BODY_KEYS)
-    html = _positions(SCAN_HTML_KEYS)
-    fallback = _positions(exclude=SCAN_META_KEYS)
-    body = F.when((F.size(body) == 0) & (F.size(html) == 0), fallback).otherwise(body)
+    """S4 + T8 per file header: (path, subject_raw, from, to, date, raw_text).
+    The role positions come from the per-file header table."""
+    subj, body, html = F.col("subj_pos"), F.col("body_pos"), F.col("html_pos")
     subj_vals = F.filter(_pick(subj), lambda v: v != "")
     body_vals = F.filter(_pick(body), lambda v: v != "")
     html_vals = F.transform(F.filter(_pick(html), lambda v: v != ""), lambda h: T.html_to_text(h))

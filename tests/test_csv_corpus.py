@@ -88,4 +88,5 @@ def test_corpus_rows_and_roles(spark):
 def test_missing_root(spark):
     rows = C.corpus_rows(spark, "/nonexistent/cuelake/root")
     assert rows.count() == 0
+    assert finish_scan(C.scan_frame(rows)).count() == 0
     assert C.list_files(spark, "/nonexistent/cuelake/root").count() == 0
