@@ -9,7 +9,10 @@ side) and script/style blocks by an alternation.
 from __future__ import annotations
 
 from ..functions.lexicon import DEFAULT_LEXICON, SUSPICIOUS_KEYWORDS, Lexicon
+from ..functions.pages import ENTITIES
 from ..functions.regex import FOLD_FROM, FOLD_TO, WS_RE2
+from ..functions.text import EMAIL_PATTERN
+from ..functions.urls import BRACKET_HOST_OK, URL_SPLIT
 
 W = r"[\p{L}\p{N}_]"
 NW = r"[^\p{L}\p{N}_]"
@@ -97,9 +100,6 @@ def deobfuscate(x: str) -> str:
     return f"replace({t}, '[.]', '.')"
 
 
-EMAIL_PATTERN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-
-
 def redact_emails(x: str) -> str:
     return f"regexp_replace({coalesce_empty(x)}, {q(EMAIL_PATTERN)}, '[redacted-email]', 'g')"
 
@@ -146,8 +146,7 @@ def phrase_list_literal(lexicon: Lexicon = DEFAULT_LEXICON) -> str:
 
 
 # --- URLs ---------------------------------------------------------------------
-URL_SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
-BRACKET_HOST_OK = r"^(?:[0-9A-Fa-f]{0,4}:){2,7}(?:[0-9A-Fa-f]{0,4}|\d{1,3}(?:\.\d{1,3}){3})(?:%.+)?$|^v[0-9A-Fa-f]+\..+$"
+# The split and bracket patterns are valid in both java.util.regex and RE2.
 
 
 def normalize_url(x: str) -> str:
@@ -240,13 +239,9 @@ def mask_expr() -> str:
 
 
 # --- page text (T11) -----------------------------------------------------------
-ENTITY_ORDER = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-                ("&nbsp;", "\u00a0"), ("&amp;", "&")]
-
-
 def decode_entities(x: str) -> str:
     t = coalesce_empty(x)
-    for e, c in ENTITY_ORDER:
+    for e, c in ENTITIES:
         t = f"replace({t}, {q(e)}, {q(c)})"
     return t
 
