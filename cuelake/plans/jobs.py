@@ -131,7 +131,7 @@ def census_job(spark: SparkSession, emails_root: str, out_root: str, run_id: str
         ["from_domain", "date"] + CS.CENSUS_SUBJECT_KEYS + CS.CENSUS_HTML_KEYS + CS.CENSUS_BODY_KEYS))
     named = C.named_columns(rows, names)
     files = C.list_files(spark, emails_root, C.CENSUS_GLOB)
-    rep = CS.census(named, files, stage=True)
+    rep = CS.census(named, files, stage=True, numeric_order=True)
     rid = run_id or new_run_id()
     K.flat_csv(rep.per_year.orderBy("year"), K.run_path(out_root, "census", rid, "per_year_counts"))
     K.flat_csv(rep.per_file.orderBy("file"), K.run_path(out_root, "census", rid, "files_summary"))

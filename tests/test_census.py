@@ -88,3 +88,19 @@ def test_examples_plan_uses_group_limit(spark):
     rep.top_duplicates.collect()
     plan = rep.top_duplicates._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_numeric_scan_order_gives_same_reports(spark):
+    df = spark.createDataFrame([(f, f.split("/")[-1], i, s, fd, d, b, h) for f, i, s, fd, d, b, h in ROWS],
+                               "file string, file_name string, row_idx long, subject string, from_domain string, "
+                               "date string, body_snippet string, sanitized_body string")
+    a = CS.census(df)
+    b = CS.census(df, numeric_order=True)
+    for name in ("top_duplicates", "unique_examples", "per_year", "per_file", "overall"):
+        x, y = getattr(a, name), getattr(b, name)
+        assert x.collect() == y.collect() if name in ("top_duplicates", "unique_examples") else \
+            sorted(map(tuple, x.collect())) == sorted(map(tuple, y.collect())), name
+    sigs = CS.signatures(CS.with_scan_order(CS.signed_rows(df)))
+    sigs.collect()
+    plan = sigs._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
