@@ -83,3 +83,14 @@ def test_overall_record_has_year_maps(spark):
     assert rec["years"] == sorted(rec["per_year_raw"].keys() | rec["per_year_unique"].keys())
     assert rec["year_window"]["min"] == 2005 and rec["year_window"]["max"] == 2024
     assert sum(rec["year_audit"][k] for k in ("date_valid", "fallback_file", "unknown")) == rec["email_like_rows"]
+
+
+def test_missing_inputs_skip_their_jobs(spark):
+    out = os.path.join(tempfile.mkdtemp(prefix="cuelake-skip-"), "out")
+    cfg = J.RunConfig(out_root=out, emails_root=write_tree(), screenshots="/nonexistent/shots.parquet",
+                      urls_csv=None, crawl=None, run_id="20250202_000000")
+    done = J.run_all(spark, cfg)
+    assert done == {"nazario": True, "images": False, "urlscan": False, "summary": True}
+    s = {r["source"] for r in spark.read.option("header", "true").csv(os.path.join(out, "summary_csv")).collect()}
+    assert s == {"nazario", "TOTAL"}
+    assert J.census_job(spark, "/nonexistent/mail", out) is None
