@@ -87,10 +87,13 @@ def redact_emails(x) -> Column:
 
 
 # T9 / T10 -------------------------------------------------------------------
-ALL_CAPS_PATTERN = f"(?<!{WORD})[A-Z]{{2,}}(?!{WORD})"
+# ``\b[A-Z]{2,}\b`` with the first letter before the look-behind (which then
+# only runs at capitals); ``(https?://|www\.)`` ignoring case with explicit
+# classes: of h, t, p, s, w only s has a further Unicode case variant (long s).
+ALL_CAPS_PATTERN = f"[A-Z](?<!{WORD}[A-Z])[A-Z]+(?!{WORD})"
 EXCLAM_PATTERN = "!+"
 MONEY_PATTERN = "[£$€]"
-LINK_PATTERN = r"(?iu)(https?://|www\.)"
+LINK_PATTERN = "[hH][tT][tT][pP][sS\u017f]?://|[wW][wW][wW]\\."
 
 
 def heuristics(x) -> dict[str, Column]:

@@ -10,7 +10,7 @@ from cuelake.functions import text as T
 
 PIECES = ["<", ">", "/", "script", "STYLE", "p", "<br>", "</script >", "< style x>", "a", "Verify", " ", "  ",
           "\n", "\t", " ", " ", "　", "RE", "re", "fwd", "Fw", ":", " : ", "2008", "1999", "2031",
-          "_", "-", "é", "hxxp://", "HXXPS://", "[.]", "!!", "$", "€", "www.", "HTTPS://", "AB", "CD1", "0"]
+          "_", "-", "é", "hxxp://", "HXXPS://", "[.]", "!!", "$", "€", "www.", "HTTPS://", "AB", "CD1", "0", "httpſ://", "WwW.", "ÀB", "Ab"]
 
 
 @st.composite
