@@ -35,6 +35,12 @@ def test_run_all_and_census(spark):
     assert int(s["urlscan"]["n_items"]) == 3          # apex dedupe drops a.paypal.com; blank dropped
     assert int(s["TOTAL"]["n_items"]) == sum(int(s[k]["n_items"]) for k in ("images", "nazario", "urlscan"))
     assert s["TOTAL"]["timestamp"] == "—"
+    js = spark.read.json(os.path.join(out, "nazario_json"))
+    assert set(js.schema["cues_total"].dataType.names) == {
+        "authority", "urgency", "scarcity", "fear_loss", "consistency_commitment", "similarity_socialproof",
+        "reward_reciprocity", "brand_trust"}
+    assert set(js.schema["meta"].dataType.names) == {"subject", "from", "to", "date"}
+    assert set(js.schema["extras"].dataType.names) == {"all_caps_words", "exclamations", "money_symbols", "links"}
     used = spark.read.text(os.path.join(out, "urlscan_urls_used")).collect()
     assert len(used) == 3
     u = spark.read.option("header", "true").csv(os.path.join(out, "urlscan_csv")).collect()
