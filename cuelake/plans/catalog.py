@@ -139,7 +139,7 @@ def redact_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- URLs: U1-U6, U7, D-1 + L3 + W4 ---------------------------------------------
-from ..operators import urlscan as US  # noqa: E402
+from ..operators import url_scan as US  # noqa: E402
 from ..functions import urls as UF  # noqa: E402
 
 _URLS_NORM_SQL = f"""urls AS (
@@ -547,8 +547,8 @@ def _source_rows_sql(name: str, cte: str, run: str, key: str, extras: bool, wher
     return f"SELECT '{name}' AS source, '{run}' AS run_id, error, {', '.join(cols)} FROM {cte} {where}"
 
 
-_RUNS = {"nazario": ("20250102_090000", "20240101_120000"), "images": ("20250103_080000",),
-         "urlscan": ("20250101_100000",)}
+_RUNS = {"emails": ("20250102_090000", "20240101_120000"), "images": ("20250103_080000",),
+         "urls": ("20250101_100000",)}
 
 
 def _summary_sql() -> str:
@@ -561,10 +561,10 @@ WITH nz0 AS ({inner('mail_scan')}),
 im0 AS ({inner('screenshot_scan')}),
 us0 AS ({inner('page_cues')}),
 allrows AS (
-  {_source_rows_sql('nazario', 'nz0', _RUNS['nazario'][0], 'text_len', True)}
-  UNION ALL {_source_rows_sql('nazario', 'nz0', _RUNS['nazario'][1], 'text_len', True, "WHERE path LIKE '%-1999.csv#%'")}
+  {_source_rows_sql('emails', 'nz0', _RUNS['emails'][0], 'text_len', True)}
+  UNION ALL {_source_rows_sql('emails', 'nz0', _RUNS['emails'][1], 'text_len', True, "WHERE path LIKE '%-1999.csv#%'")}
   UNION ALL {_source_rows_sql('images', 'im0', _RUNS['images'][0], 'text_len', True)}
-  UNION ALL {_source_rows_sql('urlscan', 'us0', _RUNS['urlscan'][0], 'row_idx', False)}
+  UNION ALL {_source_rows_sql('urls', 'us0', _RUNS['urls'][0], 'row_idx', False)}
 ),
 latest AS (SELECT source, max(run_id) AS run_id FROM allrows GROUP BY source),
 cur AS (SELECT a.* FROM allrows a SEMI JOIN latest l ON a.source = l.source AND a.run_id = l.run_id)
@@ -586,10 +586,10 @@ def summary_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     us = QUERIES["page_cues"](spark, sf_dir)
     old_nz = nz.where(F.col("path").like("%-1999.csv#%"))
     frames = [
-        _as_text(nz, "nazario", _RUNS["nazario"][0], "text_len"),
-        _as_text(old_nz, "nazario", _RUNS["nazario"][1], "text_len"),
+        _as_text(nz, "emails", _RUNS["emails"][0], "text_len"),
+        _as_text(old_nz, "emails", _RUNS["emails"][1], "text_len"),
         _as_text(im, "images", _RUNS["images"][0], "text_len"),
-        _as_text(us, "urlscan", _RUNS["urlscan"][0], "row_idx"),
+        _as_text(us, "urls", _RUNS["urls"][0], "row_idx"),
     ]
     return SM.summarize(SM.union_sources(frames), LEX)
 

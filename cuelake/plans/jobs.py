@@ -19,7 +19,7 @@ from ..operators import census as CS
 from ..operators import images as IM
 from ..operators import mail as ML
 from ..operators import summary as SM
-from ..operators import urlscan as US
+from ..operators import url_scan as US
 from ..sources import csv_corpus as C
 from ..sources import sinks as K
 
@@ -55,8 +55,8 @@ def email_job(spark: SparkSession, cfg: RunConfig) -> DataFrame | None:
     scan = ML.finish_scan(C.scan_frame(rows), cfg.lexicon)
     bad = C.unreadable_files(spark, cfg.emails_root, headers)
     scan = scan.unionByName(bad, allowMissingColumns=True)
-    K.nested_json(K.scan_records(scan, cfg.lexicon), K.run_path(cfg.out_root, "nazario", cfg.run_id, "json"))
-    K.flat_csv(scan.drop("status"), K.run_path(cfg.out_root, "nazario", cfg.run_id))
+    K.nested_json(K.scan_records(scan, cfg.lexicon), K.run_path(cfg.out_root, "emails", cfg.run_id, "json"))
+    K.flat_csv(scan.drop("status"), K.run_path(cfg.out_root, "emails", cfg.run_id))
     return scan
 
 
@@ -89,16 +89,16 @@ def url_job(spark: SparkSession, cfg: RunConfig) -> DataFrame | None:
     fetch = cfg.url_fetch if crawl is not None else "off"
     picked = US.sample_urls(US.dedupe_by_apex(urls, cfg.url_dedupe), cfg.url_limit, cfg.url_random, cfg.url_seed)
     picked = picked.checkpoint(eager=True)   # the sample is reused by two writers
-    K.text_lines(picked.orderBy("n"), "url", K.run_path(cfg.out_root, "urlscan", cfg.run_id, "urls_used"))
+    K.text_lines(picked.orderBy("n"), "url", K.run_path(cfg.out_root, "urls", cfg.run_id, "urls_used"))
     rows = US.score_urls(US.attach_pages(picked, crawl, fetch, bounded=bool(cfg.url_limit)), cfg.lexicon)
-    K.flat_csv(rows.drop("row_idx"), K.run_path(cfg.out_root, "urlscan", cfg.run_id), clean_newlines=False)
-    K.nested_json(rows.drop("row_idx"), K.run_path(cfg.out_root, "urlscan", cfg.run_id, "json"))
+    K.flat_csv(rows.drop("row_idx"), K.run_path(cfg.out_root, "urls", cfg.run_id), clean_newlines=False)
+    K.nested_json(rows.drop("row_idx"), K.run_path(cfg.out_root, "urls", cfg.run_id, "json"))
     return rows
 
 
 def summary_job(spark: SparkSession, cfg: RunConfig) -> DataFrame | None:
     frames = []
-    for source in ("images", "nazario", "urlscan"):
+    for source in ("images", "emails", "urls"):
         base = f"{cfg.out_root.rstrip('/')}/{source}_csv"
         if not _exists(spark, base):
             continue
@@ -116,7 +116,7 @@ def summary_job(spark: SparkSession, cfg: RunConfig) -> DataFrame | None:
 def run_all(spark: SparkSession, cfg: RunConfig) -> dict[str, bool]:
     """The four jobs in order; a missing input skips its job."""
     done = {}
-    for name, job in (("nazario", email_job), ("images", screenshot_job), ("urlscan", url_job),
+    for name, job in (("emails", email_job), ("images", screenshot_job), ("urls", url_job),
                       ("summary", summary_job)):
         done[name] = job(spark, cfg) is not None
     return done

@@ -28,22 +28,22 @@ def test_run_all_and_census(spark):
     cfg = J.RunConfig(out_root=out, emails_root=emails, screenshots=shots, urls_csv=urls_csv, crawl=crawl,
                       run_id="20250101_000000", url_limit=50)
     done = J.run_all(spark, cfg)
-    assert done == {"nazario": True, "images": True, "urlscan": True, "summary": True}
+    assert done == {"emails": True, "images": True, "urls": True, "summary": True}
     s = {r["source"]: r for r in spark.read.option("header", "true").csv(os.path.join(out, "summary_csv")).collect()}
-    assert set(s) == {"images", "nazario", "urlscan", "TOTAL"}
+    assert set(s) == {"images", "emails", "urls", "TOTAL"}
     assert int(s["images"]["n_items"]) == 2 and int(s["images"]["errors"]) == 1
-    assert int(s["urlscan"]["n_items"]) == 3          # apex dedupe drops a.paypal.com; blank dropped
-    assert int(s["TOTAL"]["n_items"]) == sum(int(s[k]["n_items"]) for k in ("images", "nazario", "urlscan"))
+    assert int(s["urls"]["n_items"]) == 3          # apex dedupe drops a.paypal.com; blank dropped
+    assert int(s["TOTAL"]["n_items"]) == sum(int(s[k]["n_items"]) for k in ("images", "emails", "urls"))
     assert s["TOTAL"]["timestamp"] == "—"
-    js = spark.read.json(os.path.join(out, "nazario_json"))
+    js = spark.read.json(os.path.join(out, "emails_json"))
     assert set(js.schema["cues_total"].dataType.names) == {
         "authority", "urgency", "scarcity", "fear_loss", "consistency_commitment", "similarity_socialproof",
         "reward_reciprocity", "brand_trust"}
     assert set(js.schema["meta"].dataType.names) == {"subject", "from", "to", "date"}
     assert set(js.schema["extras"].dataType.names) == {"all_caps_words", "exclamations", "money_symbols", "links"}
-    used = spark.read.text(os.path.join(out, "urlscan_urls_used")).collect()
+    used = spark.read.text(os.path.join(out, "urls_urls_used")).collect()
     assert len(used) == 3
-    u = spark.read.option("header", "true").csv(os.path.join(out, "urlscan_csv")).collect()
+    u = spark.read.option("header", "true").csv(os.path.join(out, "urls_csv")).collect()
     first = [r for r in u if r["url_masked"] == "paypal.com:/verify"][0]
     assert first["final_url_masked"] == "paypal.com:/verify" and first["error"] in (None, "")
     assert int(first["sum_consistency_commitment"]) >= 2
@@ -96,7 +96,7 @@ def test_missing_inputs_skip_their_jobs(spark):
     cfg = J.RunConfig(out_root=out, emails_root=write_tree(), screenshots="/nonexistent/shots.parquet",
                       urls_csv=None, crawl=None, run_id="20250202_000000")
     done = J.run_all(spark, cfg)
-    assert done == {"nazario": True, "images": False, "urlscan": False, "summary": True}
+    assert done == {"emails": True, "images": False, "urls": False, "summary": True}
     s = {r["source"] for r in spark.read.option("header", "true").csv(os.path.join(out, "summary_csv")).collect()}
-    assert s == {"nazario", "TOTAL"}
+    assert s == {"emails", "TOTAL"}
     assert J.census_job(spark, "/nonexistent/mail", out) is None

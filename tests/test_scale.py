@@ -4,7 +4,7 @@ numbering needs no single-partition window, results stay whole."""
 from pyspark.sql import functions as F
 
 from cuelake.operators import census as CS
-from cuelake.operators import urlscan as US
+from cuelake.operators import url_scan as US
 from cuelake.plans.indexing import dense_index
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import one_col
 from cuelake.functions import urls as U
-from cuelake.operators import urlscan as US
+from cuelake.operators import url_scan as US
 
 FEATURES = [
     ("http://secure-login.paypal.com/verify?x=1",
