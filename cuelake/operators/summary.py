@@ -34,7 +34,7 @@ def latest_runs(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(latest), ["source", "run_id"], "left_semi")
 
 
-def summarize(rows: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
+def rollup_sources(rows: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
     """A9 + A10: per source n_items, errors, sums of the category columns and
     the heuristics (a column a source lacks counts 0), then a TOTAL row."""
     cols = set(rows.columns)

@@ -591,7 +591,7 @@ def summary_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
         _as_text(im, "images", _RUNS["images"][0], "text_len"),
         _as_text(us, "urls", _RUNS["urls"][0], "row_idx"),
     ]
-    return SM.summarize(SM.union_sources(frames), LEX)
+    return SM.rollup_sources(SM.union_sources(frames), LEX)
 
 
 # --- the whole URL job: D-1 + L3 + W4 + J2 (bounded, broadcast sample) + U + C4 ------------

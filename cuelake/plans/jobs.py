@@ -107,7 +107,7 @@ def summary_job(spark: SparkSession, cfg: RunConfig) -> DataFrame | None:
             F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]))
     if not frames:
         return None
-    summary = SM.summarize(SM.union_sources(frames), cfg.lexicon)
+    summary = SM.rollup_sources(SM.union_sources(frames), cfg.lexicon)
     K.flat_csv(summary, K.run_path(cfg.out_root, "summary", cfg.run_id))
     K.nested_json(summary, K.run_path(cfg.out_root, "summary", cfg.run_id, "json"))
     return summary
