@@ -71,10 +71,16 @@ def normalize_subject(x) -> Column:
 
 # T4 -------------------------------------------------------------------------
 def deobfuscate(x) -> Column:
-    """T4: ``hxxp(s)://`` at a word start -> ``http(s)://``; ``[.]`` -> ``.``."""
-    t = F.regexp_replace(blank_to_empty(x), f"(?iu)(?<!{WORD})hxxps://", "https://")
-    t = F.regexp_replace(t, f"(?iu)(?<!{WORD})hxxp://", "http://")
-    return F.regexp_replace(t, r"\[\.\]", ".")
+    """T4: ``hxxp(s)://`` at a word start -> ``http(s)://``; ``[.]`` -> ``.``.
+
+    The two regex passes run only on texts that hold an ``hxxp`` at all (a
+    regex replace always rebuilds the whole string); ``[.]`` is a literal
+    replace."""
+    t = blank_to_empty(x)
+    fixed = F.regexp_replace(t, f"(?iu)(?<!{WORD})hxxps://", "https://")
+    fixed = F.regexp_replace(fixed, f"(?iu)(?<!{WORD})hxxp://", "http://")
+    t = F.when(t.rlike("[hH][xX][xX][pP]"), fixed).otherwise(t)
+    return F.replace(t, F.lit("[.]"), F.lit("."))
 
 
 # T5 -------------------------------------------------------------------------
