@@ -55,7 +55,10 @@ def signed_rows(df: DataFrame, lo: int = YEAR_MIN, hi: int = YEAR_MAX,
     )
     email_like = (F.col("_subj") != "") | (F.col("_html") != "") | (F.col("_body") != "")
     content = F.when(F.col("_html") != "", T.html_to_text(F.col("_html"))).otherwise(F.col("_body"))
-    norm = T.normalize_text(content)
+    # The normalised content in its own projection: it is read twice below
+    # (length check, hash), and html strip + normalise must run once per row.
+    staged = staged.select("*", T.normalize_text(content).alias("_norm"))
+    norm = F.col("_norm")
     sig_hash = F.when(F.length(norm) < min_content, F.lit("")).otherwise(F.sha1(norm.cast("binary")))
     y = T.guess_year(F.col("_date"), F.col("file_name"), lo, hi)
 
