@@ -37,7 +37,10 @@ def decode_entities(x) -> Column:
 def page_title(html) -> Column:
     """The first <title> element's text when it holds no tag, else ''."""
     inner = F.regexp_extract(blank_to_empty(html), TITLE_PATTERN, 1)
-    return F.when(inner.contains("<"), F.lit("")).otherwise(decode_entities(inner))
+    # `inner` is referenced once (a condition plus a branch would extract it
+    # from the whole page twice): a one-element array filtered on "no tag".
+    kept = F.try_element_at(F.filter(F.array(inner), lambda t: ~t.contains("<")), F.lit(1))
+    return decode_entities(F.coalesce(kept, F.lit("")))
 
 
 def anchor_texts(html, max_links: int = MAX_LINKS, max_chars: int = MAX_LINK_CHARS) -> Column:
