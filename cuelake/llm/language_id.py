@@ -158,7 +158,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, family_rows: int
                     out["x"].append(x.astype("<f4").tobytes())
             yield out
 
-    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["positive", "x"])     # the order of arrival doesn't matter
         x = np.stack([np.frombuffer(v, "<f4") for v in pdf["x"]])
         w = train_svm(x, np.where(pdf["positive"], 1.0, -1.0))

@@ -87,7 +87,7 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, in
 
 
 def _latin(kind: str) -> str:
-    return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
+    return "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == kind)
 
 
 class WordIds:
@@ -101,7 +101,7 @@ class WordIds:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True    # their strings are ordinary text
         letters, digits = _latin("L"), _latin("N")
-        self.odd = re.compile(r"[\x1c-\x1f\x85\xa0]|[^\x00-ɏ]")
+        self.odd = re.compile(r"[\x1c-\x1f\x85\xa0]|[^\x00-\u017f]")
         self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\s{letters}{digits}]+").findall
         self.cache: dict[str, bytes] = {}
 
