@@ -190,8 +190,8 @@ def join(docs: DataFrame, folder: str, threshold: float = THRESHOLD, block: int
     ``doc_id``, ``class_id`` (least doc_id of the class), ``n_links`` (other
     rows whose text is linked with the row's) and ``kept`` (one row per class).
     """
-    rows = stage(docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-                 .withColumn("_rid", F.monotonically_increasing_id()), folder, "rows")
+    rows = stage(docs.select(F.struct("*").alias("row")).withColumn("_rid", F.monotonically_increasing_id()), folder, "rows")
+    rows = rows.select("_rid", "row", F.col("row.doc_id").cast("bigint").alias("doc_id"), F.col("row.text").alias("text"))
     sketch = stage(map_batches(rows.select("_rid", "text"), _sketch, "_rid bigint, digest binary, keys array<bigint>"),
                    folder, "sketch")
     ids = rows.select("_rid", "doc_id").join(sketch.select("_rid", "digest"), "_rid")
