@@ -51,7 +51,7 @@ BLOCK_TOKENS = 3_000_000
 SEED_SEGMENTS, SEED_BLOCKS, SEED_ROUNDS = 1500, 12, 40
 LOG10 = math.log(10)
 
-BLOCK_SCHEMA = ("block bigint, ids binary, null_id binary, held binary, lengths binary, tokens binary, keys binary, "
+BLOCK_SCHEMA = ("block bigint, ids binary, null_id binary, held binary, lengths binary, tokens binary, "
                 "key array<bigint>, train array<bigint>, seed binary")
 END = b""       # stands for the end token; no word is empty
 
@@ -84,8 +84,8 @@ def make_blocks(docs: DataFrame) -> DataFrame:
             seed = cls[flat[starts[full][:, None] + np.arange(SEGMENT)]] if len(full) else np.zeros((0, SEGMENT))
             row = {"block": [part + n], "ids": [np.array([i or 0 for i in ids], "<i8").tobytes()],
                    "null_id": [np.array([i is None for i in ids], bool).tobytes()], "held": [out.tobytes()],
-                   "lengths": [size.tobytes()], "tokens": [flat.tobytes()], "keys": [keys.tobytes()],
-                   "key": [keys], "train": [train.astype(np.int64)], "seed": [seed.astype("<i4").tobytes()]}
+                   "lengths": [size.tobytes()], "tokens": [flat.tobytes()], "key": [keys],
+                   "train": [train.astype(np.int64)], "seed": [seed.astype("<i4").tobytes()]}
             words, ids, held, lengths, tokens = fresh()
             n, total = n + 1, 0
             return row
@@ -228,9 +228,9 @@ def expectation(blocks: DataFrame, p: Params) -> DataFrame:
     def run(batches):
         e = Expected(k)
         for b in batches:
-            for held, lengths, tokens, keys in zip(b["held"], b["lengths"], b["tokens"], b["keys"]):
+            for held, lengths, tokens, keys in zip(b["held"], b["lengths"], b["tokens"], b["key"]):
                 size = np.frombuffer(lengths, "<i8")
-                obs = classes_of(np.frombuffer(keys, "<i8"))[np.frombuffer(tokens, "<i4")]
+                obs = classes_of(np.array(keys, np.int64))[np.frombuffer(tokens, "<i4")]
                 starts, lens, first = segments(np.concatenate(([0], size.cumsum()[:-1])), size, ~np.frombuffer(held, bool))
                 order = np.argsort(-lens, kind="stable")
                 for i in range(0, len(order), 4096):
@@ -242,14 +242,15 @@ def expectation(blocks: DataFrame, p: Params) -> DataFrame:
         val = np.vstack([e.emit[found], e.start, e.move])
         yield {"cls": cls.tolist()} | {f"s{j}": val[:, j].tolist() for j in range(k)}
 
-    got = map_batches(blocks.select("held", "lengths", "tokens", "keys"), run,
+    got = map_batches(blocks.select("held", "lengths", "tokens", "key"), run,
                       "cls bigint, " + ", ".join(f"s{j} double" for j in range(k)))
     return got.groupBy("cls").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)])
 
 
 def train(blocks: DataFrame, states: int = STATES, passes: int = PASSES) -> Params:
     spark = blocks.sparkSession
-    rows = blocks.orderBy(F.xxhash64("block")).select("seed").limit(SEED_BLOCKS).collect()
+    chosen = [r["block"] for r in blocks.select("block").orderBy(F.xxhash64("block")).limit(SEED_BLOCKS).collect()]
+    rows = blocks.filter(F.col("block").isin(chosen)).orderBy("block").select("seed").collect()
     seed = np.concatenate([np.frombuffer(r["seed"], "<i4") for r in rows] or [np.zeros(0, "<i4")]).reshape(-1, SEGMENT)
     p = starting_point(seed, states)
     # A few tasks per core: each sends one table of expected counts.
@@ -308,7 +309,7 @@ def score(docs: DataFrame, folder: str, states: int = STATES, passes: int = PASS
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         r = left.iloc[0]
-        keys = np.frombuffer(r["keys"], "<i8")
+        keys = np.asarray(r["key"], np.int64)
         c = np.zeros(len(keys))
         c[right["pos"].to_numpy()] = right["c"].to_numpy()
         classes, tokens, sizes = classes_of(keys), np.frombuffer(r["tokens"], "<i4"), np.frombuffer(r["lengths"], "<i8")
@@ -324,6 +325,6 @@ def score(docs: DataFrame, folder: str, states: int = STATES, passes: int = PASS
             "n_known": both[:, 2].astype(np.int64), "train_tokens": total, "base_score": both[:, 0],
             "score": both[:, 1] + log_forward(classes[tokens], starts, sizes, p) / LOG10})
 
-    return (blocks.drop("key", "train", "seed").groupBy("block").cogroup(known.groupBy("of_block")).applyInPandas(
+    return (blocks.drop("train", "seed").groupBy("block").cogroup(known.groupBy("of_block")).applyInPandas(
         finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
                 "base_score double, score double"))
