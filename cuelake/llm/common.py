@@ -59,6 +59,25 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], s
     return df.mapInArrow(run, schema)
 
 
+class Cache(dict):
+    """A bounded cache. Full, it takes nothing new until ``capacity`` more
+    misses show that its content is out of date; then it starts again."""
+
+    def __init__(self, capacity: int):
+        super().__init__()
+        self.capacity, self.refused = capacity, 0
+
+    def keep(self, key, value):
+        if len(self) < self.capacity:
+            self[key] = value
+        else:
+            self.refused += 1
+            if self.refused > self.capacity:
+                self.clear()
+                self.refused = 0
+        return value
+
+
 def held_out(doc_id: Column | str, mod: int, remainder: int = 2) -> Column:
     """crc32 of the id as text, modulo ``mod``, equals ``remainder``. A null
     id counts as the empty text."""

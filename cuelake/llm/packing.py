@@ -14,6 +14,7 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 import zlib
 
@@ -21,14 +22,14 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import map_batches
+from .common import Cache, map_batches
 
 WINDOW = 4096
 CLOSING_ID = 2
 #: Pieces that are sorted and packed together in one task (bounds its memory).
 SHARD_PIECES = 200_000
-#: Entries of a worker's word cache; it is emptied when full.
-CACHE_WORDS = 300_000
+#: Entries of a worker's word cache.
+CACHE_WORDS = 600_000
 
 PIECE_SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
                 "sequence_id bigint, offset bigint")
@@ -101,24 +102,33 @@ class WordIds:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True    # their strings are ordinary text
         letters, digits = _latin("L"), _latin("N")
-        self.odd = re.compile(r"[\x1c-\x1f\x85\xa0]|[^\x00-\u017f]")
-        self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\s{letters}{digits}]+").findall
-        self.cache: dict[str, bytes] = {}
+        self.beyond = re.compile(r"[^\x00-\u017f]").search
+        self.words = re.compile(rf"[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d|[{digits}]|[^\s{letters}{digits}]+").findall
+        self.cache = Cache(CACHE_WORDS)
+
+    def plain(self, text: str) -> bool:
+        """Latin letters in composed form, and none of the characters that are
+        white space to one regular expression library only."""
+        if any(c in text for c in "\x1c\x1d\x1e\x1f\x85\xa0"):
+            return False
+        try:
+            text.encode("latin-1")
+            return True
+        except UnicodeEncodeError:
+            return not self.beyond(text) and unicodedata.is_normalized("NFC", text)
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if self.odd.search(text) or not unicodedata.is_normalized("NFC", text):
+        if not self.plain(text):
             return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words, cache = self.words(text.lower()), self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            new = [w for w in dict.fromkeys(words) if w not in cache]
-            for w, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False)):
-                cache[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-            return b"".join([cache[w] for w in words])
+        words = self.words(text.lower())
+        got = list(map(self.cache.get, words))
+        if None in got:
+            new = list({w for w, g in zip(words, got) if g is None})
+            ids = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
+            fresh = {w: self.cache.keep(w, struct.pack(f"<{len(i)}I", *i)) for w, i in zip(new, ids)}
+            got = [fresh[w] if g is None else g for w, g in zip(words, got)]
+        return b"".join(got)
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, closing_id: int = CLOSING_ID,
