@@ -20,10 +20,10 @@ from heapq import heappop, heappush
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_batches
+from .common import Cache, map_batches
 
-#: Entries of a worker's pre-token cache, emptied when full; longer pre-tokens are not kept.
-CACHE_ENTRIES = 300_000
+#: Entries of a worker's pre-token cache; longer pre-tokens are not kept.
+CACHE_ENTRIES = 600_000
 CACHE_BYTES = 64
 
 
@@ -127,16 +127,12 @@ class Codec:
         self.n_ranks = max(self.ranks.values()) + 1
         self.bytes_of = {r: b for b, r in self.ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.cache: dict[str, bytes] = {}
+        self.cache = Cache(CACHE_ENTRIES)
 
     def _miss(self, token: str) -> bytes:
         raw = token.encode("utf-8")
         ids = np.asarray(merge_ranks(raw, self.ranks, self.n_ranks), dtype="<u4").tobytes()
-        if len(raw) <= CACHE_BYTES:
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
-            self.cache[token] = ids
-        return ids
+        return self.cache.keep(token, ids) if len(raw) <= CACHE_BYTES else ids
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
