@@ -17,6 +17,7 @@ import re
 import struct
 import unicodedata
 import zlib
+from functools import lru_cache
 
 import numpy as np
 from pyspark import TaskContext
@@ -131,6 +132,12 @@ class WordIds:
         return b"".join(got)
 
 
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One per worker process: later tasks find the cache warm."""
+    return WordIds(path)
+
+
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, closing_id: int = CLOSING_ID,
          shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Pieces of all ``docs`` (doc_id, text) with their place in a sequence.
@@ -145,7 +152,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, closing_id: int
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids_of, tail = WordIds(tokenizer), np.array([closing_id], "<u4").tobytes()
+        ids_of, tail = word_ids(tokenizer), np.array([closing_id], "<u4").tobytes()
         base, sequences = TaskContext.get().partitionId() << 40, 0
         rest: list[tuple] = []
 
