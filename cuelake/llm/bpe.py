@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
@@ -75,8 +76,9 @@ class RankQueue:
         return at, pos
 
 
-def merge_ranks(piece: bytes, ranks: dict[bytes, int], n_ranks: int) -> list[int]:
-    """Token ids of one pre-token: lowest rank first, leftmost first."""
+def merge_ranks(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
+    """Token ids of one pre-token: lowest rank first, leftmost first. The queue
+    is empty before and after."""
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
@@ -84,7 +86,6 @@ def merge_ranks(piece: bytes, ranks: dict[bytes, int], n_ranks: int) -> list[int
     end = list(range(1, n + 1))                  # end of the part that starts here
     prev = list(range(-1, n - 1))
     pair = [-1] * n                              # rank of the part here joined with the next
-    queue = RankQueue(n_ranks)
 
     def look(i: int) -> None:
         nxt = end[i]
@@ -124,14 +125,14 @@ class Codec:
         import regex
 
         self.ranks = read_ranks(rank_file)
-        self.n_ranks = max(self.ranks.values()) + 1
+        self.queue = RankQueue(max(self.ranks.values()) + 1)
         self.bytes_of = {r: b for b, r in self.ranks.items()}
         self.split = regex.compile(pattern).findall
         self.cache = Cache(CACHE_ENTRIES)
 
     def _miss(self, token: str) -> bytes:
         raw = token.encode("utf-8")
-        ids = np.asarray(merge_ranks(raw, self.ranks, self.n_ranks), dtype="<u4").tobytes()
+        ids = np.asarray(merge_ranks(raw, self.ranks, self.queue), dtype="<u4").tobytes()
         return self.cache.keep(token, ids) if len(raw) <= CACHE_BYTES else ids
 
     def encode(self, text: str) -> bytes:
@@ -143,11 +144,17 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@lru_cache(maxsize=2)
+def codec_of(rank_file: str, pattern: str) -> Codec:
+    """One per worker process: later tasks find the cache warm."""
+    return Codec(rank_file, pattern)
+
+
 def encode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """``doc_id, ids`` (binary, little-endian unsigned 32-bit) for every text."""
 
     def run(batches):
-        codec = Codec(rank_file, pattern)
+        codec = codec_of(rank_file, pattern)
         for b in batches:
             yield {"doc_id": b["doc_id"], "ids": [codec.encode(t or "") for t in b["text"]]}
 
@@ -158,7 +165,7 @@ def decode(ids: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """``doc_id, bytes`` for rows of ``doc_id, ids``."""
 
     def run(batches):
-        codec = Codec(rank_file, pattern)
+        codec = codec_of(rank_file, pattern)
         for b in batches:
             yield {"doc_id": b["doc_id"], "bytes": [codec.decode(x or b"") for x in b["ids"]]}
 
@@ -170,7 +177,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     never leave the worker, so nothing wide is shuffled or written."""
 
     def run(batches):
-        codec = Codec(rank_file, pattern)
+        codec = codec_of(rank_file, pattern)
         for b in batches:
             out = {"doc_id": b["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
             for text in b["text"]:
