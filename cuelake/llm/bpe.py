@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 ``merge_ranks`` merges one pre-token: buckets per merge rank hold positions of
-a linked list of parts, a three-level bitmap says which buckets hold any, and
+a linked list of parts, a two-level bitmap says which buckets hold any, and
 find-first-set gives the next rank; entries whose pair has changed meanwhile
 are stale and skipped. The work is O(n log n) for a pre-token of n bytes, so
 a very long pre-token costs no square.
@@ -24,56 +24,42 @@ from pyspark.sql import DataFrame
 from .common import Cache, map_batches
 
 #: Entries of a worker's pre-token cache; longer pre-tokens are not kept.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_200_000
 CACHE_BYTES = 64
 
 
 class RankQueue:
     """Priority queue over ranks 0..n-1: a heap of positions for each rank in
-    use, and a bitmap of bitmaps of 64-bit words above them."""
+    use, words of 512 bits that tell which ranks these are, and a bitmap of
+    the words that aren't zero."""
 
     def __init__(self, n: int):
-        self.levels = []
-        while True:
-            n = (n + 63) >> 6
-            self.levels.append([0] * n)
-            if n == 1:
-                break
+        self.words, self.top = [0] * ((n >> 9) + 1), 0
         self.buckets: dict[int, list[int]] = {}
 
     def push(self, rank: int, pos: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket is None:
             self.buckets[rank] = [pos]
-            for level in self.levels:
-                word, bit = rank >> 6, 1 << (rank & 63)
-                if level[word]:
-                    level[word] |= bit
-                    break
-                level[word] = bit
-                rank = word
+            self.words[rank >> 9] |= 1 << (rank & 511)
+            self.top |= 1 << (rank >> 9)
         else:
             heappush(bucket, pos)
 
-    def pop(self) -> tuple[int, int] | None:
-        """Least rank, then least position."""
-        if not self.levels[-1][0]:
-            return None
-        at = 0
-        for level in reversed(self.levels):      # find first set, top down
-            word = level[at]
-            at = at << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[at]
+    def pop(self) -> tuple[int, int]:
+        """Least rank, then least position: find first set in both levels."""
+        at = (self.top & -self.top).bit_length() - 1
+        word = self.words[at]
+        rank = at << 9 | (word & -word).bit_length() - 1
+        bucket = self.buckets[rank]
         pos = heappop(bucket)
         if not bucket:
-            del self.buckets[at]
-            rank = at
-            for level in self.levels:
-                level[rank >> 6] &= ~(1 << (rank & 63))
-                if level[rank >> 6]:
-                    break
-                rank >>= 6
-        return at, pos
+            del self.buckets[rank]
+            word &= word - 1
+            self.words[at] = word
+            if not word:
+                self.top &= self.top - 1
+        return rank, pos
 
 
 def merge_ranks(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
@@ -85,29 +71,28 @@ def merge_ranks(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list
     n = len(piece)
     end = list(range(1, n + 1))                  # end of the part that starts here
     prev = list(range(-1, n - 1))
-    pair = [-1] * n                              # rank of the part here joined with the next
-
-    def look(i: int) -> None:
-        nxt = end[i]
-        r = ranks.get(piece[i:end[nxt]], -1) if nxt < n else -1
-        pair[i] = r
+    rank_of, push, pop = ranks.get, queue.push, queue.pop
+    pair = [rank_of(piece[i:i + 2], -1) for i in range(n)]      # rank of the part here joined with the next
+    pair[-1] = -1
+    for i, r in enumerate(pair):
         if r >= 0:
-            queue.push(r, i)
-
-    for i in range(n - 1):
-        look(i)
-    while (top := queue.pop()) is not None:
-        rank, i = top
+            push(r, i)
+    while queue.top:
+        rank, i = pop()
         if pair[i] != rank:                      # stale
             continue
         nxt = end[i]
-        end[i] = end[nxt]
-        pair[nxt] = -1
-        if end[i] < n:
-            prev[end[i]] = i
-        look(i)
-        if prev[i] >= 0:
-            look(prev[i])
+        stop = end[i] = end[nxt]
+        pair[nxt] = pair[i] = -1
+        if stop < n:
+            prev[stop] = i
+            r = pair[i] = rank_of(piece[i:end[stop]], -1)
+            if r >= 0:
+                push(r, i)
+        if (p := prev[i]) >= 0:
+            r = pair[p] = rank_of(piece[p:stop], -1)
+            if r >= 0:
+                push(r, p)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i:end[i]]])
