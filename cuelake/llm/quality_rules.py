@@ -131,18 +131,20 @@ def fit(rows: DataFrame, folder: str, share: float = SHARE, steps: int = STEPS)
     return stage(est.join(scale.select(*keys, "scale", "cell_rows"), keys), folder, "estimate")
 
 
-def quality(docs: DataFrame, folder: str, carry: list[str] | None = None, cut: float = CUT,
-            min_rows: int = MIN_ROWS) -> DataFrame:
-    """Counts, ``base_failed``, ``distance`` and ``kept`` for every row of
-    ``docs`` (doc_id, text, lang, source), with the columns ``carry``.
-
-    The estimates come from all documents that pass the base rules. The counts
-    are staged once (without the text, unless carried).
-    """
-    carry = ["doc_id"] if carry is None else carry
-    cell = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")).alias(f"_{c}") for c in ("lang", "source")]
-    got = docs.select(*carry, *cell, counts().alias("_s")).select(*carry, "_lang", "_source", "_s.*")
-    got = stage(got.withColumn("base_failed", base_failed()), folder, "counts")
+def _cell() -> list[Column]:
+    return [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")).alias(f"_{c}") for c in ("lang", "source")]
+
+
+def counted(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """``carry``, the cell, the counts and ``base_failed`` of every row."""
+    got = docs.select(*carry, *_cell(), counts().alias("_s")).select(*carry, "_lang", "_source", "_s.*")
+    return got.withColumn("base_failed", base_failed())
+
+
+def estimates(got: DataFrame, folder: str, min_rows: int = MIN_ROWS) -> DataFrame:
+    """Estimates for each language and source of ``counted`` rows, from all
+    that pass the base rules. Written to shared storage: its size is then
+    known, and the later join is a broadcast only if that is small."""
     passed = got.filter("not base_failed").select("_lang", "_source", *[v.alias(f"x{i}") for i, v in enumerate(_vector())])
     sizes = stage(passed.groupBy("_lang", "_source").count(), folder, "cells")
     small = sizes.filter(F.col("count") < min_rows).groupBy("_lang").agg(F.sum("count").alias("_pool"))
@@ -151,7 +153,11 @@ def quality(docs: DataFrame, folder: str, carry: list[str] | None = None, cut: f
         F.when((F.col("count") >= min_rows) | (F.col("_pool") >= min_rows), F.col("_lang")).otherwise("*").alias("g1"),
         F.when(F.col("count") >= min_rows, F.col("_source")).otherwise("*").alias("g2")), folder, "keys")
     est = fit(passed.join(cells, ["_lang", "_source"]).select("g1", "g2", *[f"x{i}" for i in range(DIM)]), folder)
-    params = cells.join(est, ["g1", "g2"])
+    return stage(cells.join(est, ["g1", "g2"]), folder, "params")
+
+
+def judge(got: DataFrame, params: DataFrame, carry: list[str], cut: float = CUT, min_rows: int = MIN_ROWS) -> DataFrame:
+    """Distance and verdict of ``counted`` rows."""
     joined = got.join(params, ["_lang", "_source"], "left").select(
         "*", *[v.alias(f"x{i}") for i, v in enumerate(_vector())])
     d = _distance() / F.col("scale")
@@ -159,3 +165,19 @@ def quality(docs: DataFrame, folder: str, carry: list[str] | None = None, cut: f
             .withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut))
             .select(*carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                     "base_failed", "distance", "kept"))
+
+
+def quality(docs: DataFrame, folder: str) -> DataFrame:
+    """Counts, ``base_failed``, ``distance`` and ``kept`` for every row of
+    ``docs`` (doc_id, text, lang, source). The counts are staged once."""
+    got = stage(counted(docs, ["doc_id"]), folder, "counts")
+    return judge(got, estimates(got, folder), ["doc_id"])
+
+
+def kept_rows(docs: DataFrame, folder: str) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns. The texts
+    are read twice (for the estimates, for the verdicts) and never staged or
+    shuffled."""
+    narrow = stage(counted(docs, []), folder, "counts")
+    rows = docs.select("text", "lang", "source", F.struct("*").alias("_row"))
+    return judge(counted(rows, ["_row"]), estimates(narrow, folder), ["_row"]).filter("kept").select("_row.*")
