@@ -29,8 +29,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that fail the base rules or are outliers (operator 5)."""
-    rows = docs.select("text", "lang", "source", F.struct("*").alias("row"))
-    return quality_rules.quality(rows, scratch(spark), carry=["row"]).filter("kept").select("row.*")
+    return quality_rules.kept_rows(docs, scratch(spark))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
