@@ -116,7 +116,9 @@ def attach_pages(urls: DataFrame, crawl: DataFrame | None, fetch: str = "get",
     if bounded:
         # The URL side has at most `limit` rows: broadcast it into the crawl scan.
         c = c.join(F.broadcast(urls.select("url").distinct()), "url", "left_semi")
-    one = c.groupBy("url").agg(F.min_by(F.struct(*[x for x in c.columns if x != "url"]), F.col("final_url")).alias("pg"))
+    # Ties of final_url go by the other columns, so the order of rows doesn't matter.
+    rest = [x for x in c.columns if x not in ("url", "final_url")]
+    one = c.groupBy("url").agg(F.min(F.struct("final_url", *rest)).alias("pg"))
     j = urls.join(one, "url", "left")
     is_html = F.lower(F.coalesce(F.col("pg.content_type"), F.lit(""))).contains("text/html")
     text = page_text(F.col("pg.html"), F.col("pg.final_url")) if fetch == "get" else F.lit("")

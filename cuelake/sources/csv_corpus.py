@@ -61,9 +61,12 @@ def _records(spark: SparkSession, root: str, glob: str, max_columns: int) -> Dat
     )
     # Per-column translate (generated code), not a lambda over every slot.
     vals = F.array(*[F.translate(F.col(f"_c{i}"), "\ufffd", "") for i in range(max_columns)])
+    # The metadata path is URI-encoded, the listing's is plain: decode, so both
+    # spell a file alike ('+' stands for itself in a path).
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return raw.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_name").alias("file_name"),
+        path.alias("file"),
+        F.regexp_extract(path, "[^/]*$", 0).alias("file_name"),
         F.monotonically_increasing_id().alias("_mid"),
         vals.alias("vals"),
     )

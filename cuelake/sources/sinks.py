@@ -28,7 +28,8 @@ def flat_csv(df: DataFrame, path: str, clean_newlines: bool = True) -> None:
         if clean_newlines and isinstance(f.dataType, StringType):
             c = F.translate(c, "\r\n", "  ")
         cols.append(c.alias(f.name))
-    df.select(*cols).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+    df.select(*cols).write.mode("overwrite").option("header", "true").option("escape", '"') \
+        .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
 
 
 def nested_json(df: DataFrame, path: str) -> None:
