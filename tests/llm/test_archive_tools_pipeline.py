@@ -130,8 +130,8 @@ def test_tool_calls_query_covers_all_turns(spark):
 
 def test_pipeline_equals_its_parts(spark, docs):
     import corpus_pipeline
-    from test_pairs import brute_join
-    from test_rules_and_tokens import check_pieces
+    from .test_pairs import brute_join
+    from .test_rules_and_tokens import check_pieces
 
     rows = {r["doc_id"]: r for r in docs.collect()}
     lang = corpus_pipeline.language_stage(spark, docs, SF)
