@@ -40,7 +40,7 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 4).alias("held_out"))
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(docs.filter("not held_out").join(labels, "doc_id"))
+    model = toxicity.fit_joined(docs.filter("not held_out"), labels, scratch(spark))
     return docs.select("doc_id", "held_out", toxicity.toxicity(model)("text").alias("score")).withColumn(
         "predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 

@@ -29,6 +29,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 WINDOW = 128
 THRESHOLD = 0.3
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 1500, 4500, 60_000
@@ -140,25 +142,60 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(labelled: DataFrame, toxic_rows: int = SAMPLE_TOXIC, ordinary_rows: int = SAMPLE_ORDINARY) -> Model:
-    """Model from ``labelled`` (doc_id, text, toxic). One task trains on the
-    bounded sample; the driver receives two dictionaries and five numbers."""
-    rows = labelled.filter(f"toxic IN (0, 1) AND char_length(text) BETWEEN 1 AND {SAMPLE_CHARS}").select("doc_id", "text", "toxic")
+def _unit(crc: Column) -> Column:
+    """A row's place in 0..1, by its id and the checksum of its text."""
+    return F.pmod(F.xxhash64("doc_id", crc), F.lit(1 << 30)) / float(1 << 30)
+
+
+def _shares(rows: DataFrame, toxic_rows: int, ordinary_rows: int) -> dict[int, float]:
+    """Per label, the share of its rows that the sample takes."""
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = {y: min(1.0, cap / n.get(y, 1)) for y, cap in ((0, ordinary_rows), (1, toxic_rows))}
-    u = F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.withColumn("u", u).filter(F.col("u") < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
+    return {y: min(1.0, cap / n.get(y, 1)) for y, cap in ((0, ordinary_rows), (1, toxic_rows))}
+
+
+def _taken(rows: DataFrame, share: dict[int, float]) -> DataFrame:
+    return rows.filter(F.col("u") < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
 
+
+def _train(sample: DataFrame, share: dict[int, float]) -> Model:
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["u", "text"])
         y = pdf["toxic"].to_numpy()
         m = fit_texts(pdf["text"].tolist(), y, np.where(y == 1, 1 / share[1], 1 / share[0]))
         return pd.DataFrame({"ordinary": [m.ordinary], "toxic": [m.toxic], "curve": [list(m.curve)]})
 
-    got = sample.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(solve, "ordinary binary, toxic binary, curve array<double>").collect()
+    got = (sample.select("text", "toxic", "u").withColumn("all", F.lit(0)).groupBy("all")
+           .applyInPandas(solve, "ordinary binary, toxic binary, curve array<double>").collect())
     return Model(bytes(got[0]["ordinary"]), bytes(got[0]["toxic"]), tuple(got[0]["curve"])) if got else Model(b"", b"", ())
 
 
+_USABLE = f"char_length(text) BETWEEN 1 AND {SAMPLE_CHARS}"
+
+
+def fit(labelled: DataFrame, toxic_rows: int = SAMPLE_TOXIC, ordinary_rows: int = SAMPLE_ORDINARY) -> Model:
+    """Model from ``labelled`` (doc_id, text, toxic). One task trains on the
+    bounded sample; the driver receives two dictionaries and five numbers."""
+    rows = labelled.filter("toxic IN (0, 1)").filter(_USABLE).select(
+        "doc_id", "text", "toxic", _unit(F.crc32(F.col("text").cast("binary"))).alias("u"))
+    share = _shares(rows, toxic_rows, ordinary_rows)
+    return _train(_taken(rows, share), share)
+
+
+def fit_joined(docs: DataFrame, labels: DataFrame, folder: str, toxic_rows: int = SAMPLE_TOXIC,
+               ordinary_rows: int = SAMPLE_ORDINARY) -> Model:
+    """``fit`` for labels in a table of their own: ``docs`` (doc_id, text) and
+    ``labels`` (doc_id, toxic). Ids and checksums meet the labels; the chosen
+    ones are written below ``folder``, and only their texts are fetched. The
+    written table's size is known to Spark, which broadcasts it below its
+    threshold and shuffles beyond. Rows repeated in full train once."""
+    rows = docs.filter(_USABLE).select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc")).join(
+        labels.filter("toxic IN (0, 1)").select("doc_id", "toxic"), "doc_id").distinct().withColumn("u", _unit(F.col("crc")))
+    share = _shares(rows, toxic_rows, ordinary_rows)
+    chosen = stage(_taken(rows, share), folder, "toxicity-sample")
+    texts = docs.filter(_USABLE).select("doc_id", "text", F.crc32(F.col("text").cast("binary")).alias("crc"))
+    return _train(texts.join(chosen, ["doc_id", "crc"]).dropDuplicates(["doc_id", "crc", "toxic"]), share)
+
+
 def toxicity(model: Model) -> Column:
     """A function of a text column: score, DOUBLE. The model is twenty kilobytes."""
 

@@ -115,3 +115,14 @@ def test_toxicity_hard_rows(spark, hard, docs):
 def test_windows_cover_every_byte():
     text = "abc def " * 100 + "z" * 1000 + " end"
     assert b"".join(w.strip() for w in toxicity.windows(text)).replace(b" ", b"") == text.replace(" ", "").encode()
+
+
+def test_toxicity_fit_on_separate_labels(spark, tmp_path):
+    """Labels in a table of their own give the model of the joined rows, and no text meets the labels' join."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    a = toxicity.fit(docs.join(labels, "doc_id"))
+    assert toxicity.fit_joined(docs, labels, f"{tmp_path}/a") == a
+    assert toxicity.fit_joined(docs.union(docs), labels.union(labels), f"{tmp_path}/b") == a
+    assert toxicity.fit_joined(docs, labels.limit(0), f"{tmp_path}/c").score("x") == 0.0
