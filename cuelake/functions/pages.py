@@ -1,7 +1,8 @@
 """Page text for cue detection (T11) as Column expressions.
 
-A stored page contributes its title, its final URL and the text of up to 200
-non-empty anchors (each cut to 200 characters), joined by ``" \\n "``. Anchor
+A stored page contributes its title, its final URL and the text of its
+non-empty anchors, joined by ``" \\n "``; ``max_links`` and ``max_chars`` limit
+them on request (``MAX_LINKS`` and ``MAX_LINK_CHARS`` are usual values). Anchor
 text follows ``get_text(strip=True)``: every text node stripped, empty ones
 dropped, the rest joined without separator. Common entities are decoded; a
 full HTML parser is not built (see README).
@@ -12,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lexicon import MAX_LINK_CHARS, MAX_LINKS
 from .regex import WS
 from .text import blank_to_empty, py_strip
 
@@ -43,20 +43,21 @@ def page_title(html) -> Column:
     return decode_entities(F.coalesce(kept, F.lit("")))
 
 
-def anchor_texts(html, max_links: int = MAX_LINKS, max_chars: int = MAX_LINK_CHARS) -> Column:
-    """ARRAY of the first ``max_links`` non-empty anchor texts."""
+def anchor_texts(html, max_links: int | None = None, max_chars: int | None = None) -> Column:
+    """ARRAY of the non-empty anchor texts (the first ``max_links``, each cut
+    to ``max_chars`` characters; None: all)."""
     inner = F.regexp_extract_all(blank_to_empty(html), F.lit(ANCHOR_PATTERN), F.lit(1))
 
     def one(a: Column) -> Column:
         nodes = F.transform(F.split(a, TAG_SPLIT), lambda s: py_strip(decode_entities(s)))
         joined = F.array_join(F.filter(nodes, lambda s: s != ""), "")
-        return F.substring(joined, 1, max_chars)
+        return joined if max_chars is None else F.substring(joined, 1, max_chars)
 
     texts = F.filter(F.transform(inner, one), lambda t: t != "")
-    return F.slice(texts, 1, max_links)
+    return texts if max_links is None else F.slice(texts, 1, max_links)
 
 
-def page_text(html, final_url, max_links: int = MAX_LINKS, max_chars: int = MAX_LINK_CHARS) -> Column:
+def page_text(html, final_url, max_links: int | None = None, max_chars: int | None = None) -> Column:
     """Title, final URL, anchor texts; non-empty parts joined by ' \\n '."""
     parts = F.concat(
         F.array(page_title(html), blank_to_empty(final_url)),

@@ -12,12 +12,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicon import DEFAULT_LEXICON, EXTRA_COLUMNS, Lexicon
 
+#: Sources in the order of the report.
+SOURCES = ("images", "emails", "urls")
 TOTAL_LABEL = "TOTAL"
 TOTAL_TIMESTAMP = "—"
 
@@ -60,3 +62,27 @@ def rollup_sources(rows: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataF
         "errors",
         *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in wanted],
     )
+
+
+def _place(source: Column) -> Column:
+    known = F.array_position(F.array(*[F.lit(s) for s in SOURCES]), source)
+    return F.when(source == TOTAL_LABEL, len(SOURCES) + 2).when(known > 0, known).otherwise(len(SOURCES) + 1)
+
+
+def ordered(summary: DataFrame) -> DataFrame:
+    """The summary (one row per source and TOTAL) in one file: sources in
+    their order, then TOTAL."""
+    return summary.coalesce(1).sortWithinPartitions(_place(F.col("source")), "source")
+
+
+def summary_record(summary: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
+    """The same as one nested record: ``sources`` (array) and ``overall``."""
+    body = [F.col("n_items"), F.col("errors"), F.struct(*[F.col(f"sum_{c}").alias(c) for c in lexicon.names]).alias("totals"),
+            F.struct(*EXTRA_COLUMNS).alias("extras")]
+    one = F.struct("source", "timestamp", *body)
+    total = F.col("source") == TOTAL_LABEL
+    placed = F.struct(_place(F.col("source")).alias("p"), one.alias("r"))
+    return summary.agg(
+        F.transform(F.array_sort(F.collect_list(F.when(~total, placed))), lambda x: x["r"]).alias("sources"),
+        F.first(F.when(total, F.struct(*body)), ignorenulls=True).alias("overall"),
+    )

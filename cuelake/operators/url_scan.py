@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions.cues import add_category_totals
-from ..functions.lexicon import DEFAULT_LEXICON, DEFAULT_URL_LIMIT, DEFAULT_URL_SEED, Lexicon
+from ..functions.lexicon import DEFAULT_LEXICON, DEFAULT_URL_SEED, Lexicon
 from ..functions.pages import page_text
 from ..plans.indexing import dense_index
 
@@ -58,7 +58,7 @@ def dedupe_by_apex(urls: DataFrame, mode: str = "apex") -> DataFrame:
     return first.select("_first.row_idx", "_first.url")
 
 
-def sample_urls(urls: DataFrame, limit: int | None = DEFAULT_URL_LIMIT, random_pick: bool = True,
+def sample_urls(urls: DataFrame, limit: int | None = None, random_pick: bool = True,
                 seed: int = DEFAULT_URL_SEED) -> DataFrame:
     """L3 + W4: up to ``limit`` URLs with their 1-based number ``n``.
 
@@ -162,7 +162,7 @@ def score_urls(fetched: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFr
     )
 
 
-def url_scan(url_rows: DataFrame, crawl: DataFrame | None, limit: int | None = DEFAULT_URL_LIMIT,
+def url_scan(url_rows: DataFrame, crawl: DataFrame | None, limit: int | None = None,
              random_pick: bool = True, seed: int = DEFAULT_URL_SEED, dedupe: str = "apex",
              fetch: str = "get", lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
     """The whole URL job over (row_idx, url) rows of a URL list (after S5)."""

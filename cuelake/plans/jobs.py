@@ -14,7 +14,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lexicon import DEFAULT_LEXICON, DEFAULT_URL_LIMIT, DEFAULT_URL_SEED, Lexicon
+from ..functions.lexicon import DEFAULT_LEXICON, DEFAULT_URL_SEED, Lexicon
 from ..operators import census as CS
 from ..operators import images as IM
 from ..operators import mail as ML
@@ -36,7 +36,7 @@ class RunConfig:
     urls_csv: str | None = None          # CSV with a 'url' column
     crawl: str | None = None             # parquet: url, html [, status, redirects, final_url, content_type, error]
     run_id: str = field(default_factory=new_run_id)
-    url_limit: int | None = DEFAULT_URL_LIMIT
+    url_limit: int | None = None         # None: every URL; a number: a sample of so many
     url_random: bool = True
     url_seed: int = DEFAULT_URL_SEED
     url_dedupe: str = "apex"
@@ -56,7 +56,7 @@ def email_job(spark: SparkSession, cfg: RunConfig) -> DataFrame | None:
     bad = C.unreadable_files(spark, cfg.emails_root, headers)
     scan = scan.unionByName(bad, allowMissingColumns=True)
     K.nested_json(K.scan_records(scan, cfg.lexicon), K.run_path(cfg.out_root, "emails", cfg.run_id, "json"))
-    K.flat_csv(scan.drop("status"), K.run_path(cfg.out_root, "emails", cfg.run_id))
+    K.flat_csv(scan.drop("status", "to"), K.run_path(cfg.out_root, "emails", cfg.run_id))
     return scan
 
 
@@ -98,7 +98,7 @@ def url_job(spark: SparkSession, cfg: RunConfig) -> DataFrame | None:
 
 def summary_job(spark: SparkSession, cfg: RunConfig) -> DataFrame | None:
     frames = []
-    for source in ("images", "emails", "urls"):
+    for source in SM.SOURCES:
         base = f"{cfg.out_root.rstrip('/')}/{source}_csv"
         if not _exists(spark, base):
             continue
@@ -108,8 +108,8 @@ def summary_job(spark: SparkSession, cfg: RunConfig) -> DataFrame | None:
     if not frames:
         return None
     summary = SM.rollup_sources(SM.union_sources(frames), cfg.lexicon)
-    K.flat_csv(summary, K.run_path(cfg.out_root, "summary", cfg.run_id))
-    K.nested_json(summary, K.run_path(cfg.out_root, "summary", cfg.run_id, "json"))
+    K.flat_csv(SM.ordered(summary), K.run_path(cfg.out_root, "summary", cfg.run_id))
+    K.nested_json(SM.summary_record(summary, cfg.lexicon), K.run_path(cfg.out_root, "summary", cfg.run_id, "json"))
     return summary
 
 

@@ -246,7 +246,7 @@ def decode_entities(x: str) -> str:
     return t
 
 
-def page_text(html: str, final_url: str, max_links: int = 200, max_chars: int = 200) -> str:
+def page_text(html: str, final_url: str) -> str:
     ws = WS_RE2
     title_re = f"(?is)<title(?:{ws}[^>]*)?>(.*?)</title{ws}*>"
     anchor_re = f"(?is)<a(?:{ws}[^>]*)?>(.*?)</a{ws}*>"
@@ -255,9 +255,9 @@ def page_text(html: str, final_url: str, max_links: int = 200, max_chars: int =
     anchors = f"regexp_extract_all({coalesce_empty(html)}, {q(anchor_re)}, 1)"
     node = f"lambda s: {py_strip(decode_entities('s'))}"
     one = (
-        f"lambda a: substr(array_to_string(list_filter(list_transform(string_split_regex(a, '<[^>]*>'), {node}), "
-        f"lambda s: s <> ''), ''), 1, {max_chars})"
+        f"lambda a: array_to_string(list_filter(list_transform(string_split_regex(a, '<[^>]*>'), {node}), "
+        f"lambda s: s <> ''), '')"
     )
-    texts = f"list_slice(list_filter(list_transform({anchors}, {one}), lambda t: t <> ''), 1, {max_links})"
+    texts = f"list_filter(list_transform({anchors}, {one}), lambda t: t <> '')"
     parts = f"list_concat([{title}, {coalesce_empty(final_url)}], {texts})"
     return f"array_to_string(list_filter({parts}, lambda s: s <> ''), ' ' || chr(10) || ' ')"

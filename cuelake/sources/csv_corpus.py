@@ -1,7 +1,7 @@
 """E-mail CSV corpus.
 
-Every CSV under a root is read in one pass with a wide all-string schema and
-``header=False``: the first record of each file is its header. Headers are
+Every CSV under a root is read with an all-string schema as wide as the widest
+header and ``header=False``: the first record of each file is its header. Headers are
 collected per file (one small row per file) and joined back, so files with
 different headers need no driver-side loop and no per-header-group read.
 A multi-line CSV file is not split, so ``monotonically_increasing_id`` gives
@@ -24,7 +24,6 @@ from ..functions.lexicon import SCAN_BODY_KEYS, SCAN_HTML_KEYS, SCAN_META_KEYS,
 
 SCAN_GLOB = "*.[cC][sS][vV]"   # the scan: suffix compared case-insensitively
 CENSUS_GLOB = "*.csv"          # the census: case-sensitive glob
-MAX_COLUMNS = 256
 BROADCAST_FILES = 200_000      # per-file header table broadcast up to this many files
 
 
@@ -48,17 +47,51 @@ def list_files(spark: SparkSession, root: str, glob: str = SCAN_GLOB) -> DataFra
                      F.col("length").cast("bigint"))
 
 
-def _records(spark: SparkSession, root: str, glob: str, max_columns: int) -> DataFrame:
-    schema = StructType([StructField(f"_c{i}", StringType()) for i in range(max_columns)])
-    raw = (
+def _raw(spark: SparkSession, root: str, glob: str, width: int) -> DataFrame:
+    schema = StructType([StructField(f"_c{i}", StringType()) for i in range(width)])
+    return (
         spark.read.schema(schema)
         .option("header", "false").option("multiLine", "true")
         .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
         .option("encoding", "UTF-8").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob).option("ignoreCorruptFiles", "true")
-        .option("maxCharsPerColumn", "-1")
+        .option("maxCharsPerColumn", "-1").option("maxColumns", str(max(20480, 2 * width)))
         .csv(root)
     )
+
+
+def header_width(spark: SparkSession, root: str, glob: str) -> int:
+    """Number of columns of the widest header under ``root``.
+
+    The commas of each file's first line bound it (an aggregate of one row per
+    file over the first split of each file). Only if a header goes on over
+    several lines is the bound doubled until no header fills its last column.
+    Cells beyond its header's width belong to no column of a record.
+    """
+    lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+             .option("ignoreCorruptFiles", "true").text(root)
+             .where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != "")))
+    seen = lambda ch: F.length("value") - F.length(F.replace(F.col("value"), F.lit(ch), F.lit("")))
+    mid = F.monotonically_increasing_id()
+    first = (lines.select(F.col("_metadata.file_path").alias("file"), mid.alias("mid"), (seen(",") + 1).alias("n"),
+                          (seen('"') % 2 == 1).alias("open"))
+             .groupBy("file").agg(F.min_by(F.struct("n", "open"), "mid").alias("h"))
+             .agg(F.max("h.n").alias("n"), F.max("h.open").alias("open")).first())
+    width = first["n"] or 1
+    if not first["open"]:
+        return width
+    while True:
+        width *= 2
+        last = F.col(f"_c{width - 1}")
+        headers = (_raw(spark, root, glob, width).select(F.col("_metadata.file_path").alias("file"), mid.alias("mid"),
+                                                         last.isNotNull().alias("full"))
+                   .groupBy("file").agg(F.min_by("full", "mid").alias("full")))
+        if headers.filter("full").isEmpty():
+            return width
+
+
+def _records(spark: SparkSession, root: str, glob: str, max_columns: int) -> DataFrame:
+    raw = _raw(spark, root, glob, max_columns)
     # Per-column translate (generated code), not a lambda over every slot.
     vals = F.array(*[F.translate(F.col(f"_c{i}"), "\ufffd", "") for i in range(max_columns)])
     # The metadata path is URI-encoded, the listing's is plain: decode, so both
@@ -73,14 +106,14 @@ def _records(spark: SparkSession, root: str, glob: str, max_columns: int) -> Dat
 
 
 def corpus_rows(spark: SparkSession, root: str, glob: str = SCAN_GLOB,
-                max_columns: int = MAX_COLUMNS, balance: bool = True) -> DataFrame:
+                max_columns: int | None = None, balance: bool = True) -> DataFrame:
     """S1 + S3: data records of every CSV with file, file_name, row_idx
     (1-based), the file's header array and the value array."""
     return read_corpus(spark, root, glob, max_columns, balance)[0]
 
 
 def read_corpus(spark: SparkSession, root: str, glob: str = SCAN_GLOB,
-                max_columns: int = MAX_COLUMNS, balance: bool = True) -> tuple[DataFrame, DataFrame]:
+                max_columns: int | None = None, balance: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows, headers): the data records and the per-file header table.
 
     A multi-line CSV file is parsed by one task, so one file holding a third
@@ -88,7 +121,8 @@ def read_corpus(spark: SparkSession, root: str, glob: str = SCAN_GLOB,
     downstream. ``balance=True`` (default) round-robins the parsed records
     over the cluster once, after the row numbers are fixed; the shuffle costs
     far less than the per-row scan it spreads. Pass ``balance=False`` for a
-    corpus of many similar files.
+    corpus of many similar files. ``max_columns`` saves the look at the headers
+    where their greatest width is known.
     """
     schema = StructType([
         StructField("file", StringType()), StructField("file_name", StringType()),
@@ -100,7 +134,7 @@ def read_corpus(spark: SparkSession, root: str, glob: str = SCAN_GLOB,
             F.array().cast("array<string>").alias("vals"),
             *[F.array().cast("array<int>").alias(c) for c in ("subj_pos", "body_pos", "html_pos")],
         ), spark.createDataFrame([], "file string")
-    rec = _records(spark, root, glob, max_columns)
+    rec = _records(spark, root, glob, max_columns or header_width(spark, root, glob))
     hdr = rec.groupBy("file").agg(F.min_by("vals", "_mid").alias("_h"), F.min("_mid").alias("_mid0"))
     hdr = hdr.select(
         "file", "_mid0",

@@ -90,3 +90,16 @@ def test_missing_root(spark):
     assert rows.count() == 0
     assert finish_scan(C.scan_frame(rows)).count() == 0
     assert C.list_files(spark, "/nonexistent/cuelake/root").count() == 0
+
+
+def test_wide_headers_lose_no_column(spark, tmp_path):
+    """A 400-column header, and one that goes on over three lines."""
+    names = [f"c{i}" for i in range(398)] + ["subject", "body"]
+    (tmp_path / "wide.csv").write_text(",".join(names) + "\n" + "," * 398 + "hello,verify account\n")
+    r = C.scan_frame(C.corpus_rows(spark, str(tmp_path))).collect()
+    assert [(x["subject_raw"], x["raw_text"]) for x in r] == [("hello", "verify account")]
+    (tmp_path / "lines.csv").write_text('"a\nb","c\nd",' + ",".join(names[:50]) + ",subject,body\n" + "," * 52 + "hi,login now\n")
+    assert C.header_width(spark, str(tmp_path), C.SCAN_GLOB) >= 400
+    (tmp_path / "wide.csv").unlink()
+    r = C.scan_frame(C.corpus_rows(spark, str(tmp_path))).collect()
+    assert [(x["subject_raw"], x["raw_text"]) for x in r] == [("hi", "login now")]

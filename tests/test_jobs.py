@@ -35,6 +35,12 @@ def test_run_all_and_census(spark):
     assert int(s["urls"]["n_items"]) == 3          # apex dedupe drops a.paypal.com; blank dropped
     assert int(s["TOTAL"]["n_items"]) == sum(int(s[k]["n_items"]) for k in ("images", "emails", "urls"))
     assert s["TOTAL"]["timestamp"] == "—"
+    assert list(s) == ["images", "emails", "urls", "TOTAL"]          # the order of the file
+    nested = spark.read.json(os.path.join(out, "summary_json")).first()
+    assert [x["source"] for x in nested["sources"]] == ["images", "emails", "urls"]
+    assert nested["overall"]["n_items"] == int(s["TOTAL"]["n_items"])
+    assert nested["overall"]["totals"]["urgency"] == int(s["TOTAL"]["sum_urgency"])
+    assert "to" not in spark.read.option("header", "true").csv(os.path.join(out, "emails_csv")).columns
     js = spark.read.json(os.path.join(out, "emails_json"))
     assert set(js.schema["cues_total"].dataType.names) == {
         "authority", "urgency", "scarcity", "fear_loss", "consistency_commitment", "similarity_socialproof",

@@ -105,3 +105,13 @@ def test_property_parts_match_urlparse(spark, batch):
             continue
         assert r["error"] is None, u
         assert (r["scheme"], r["path"], r["query"], r["host"]) == want, u
+
+
+def test_page_text_reads_every_anchor_unless_told_otherwise(spark):
+    from cuelake.functions.pages import anchor_texts
+
+    html = "".join(f"<a href=x>link {i} {'y' * 300}</a>" for i in range(250))
+    df = spark.createDataFrame([(html,)], "h string")
+    every, some = df.select(anchor_texts("h"), anchor_texts("h", max_links=200, max_chars=200)).first()
+    assert len(every) == 250 and all(len(t) > 300 for t in every)
+    assert len(some) == 200 and {len(t) for t in some} == {200}
