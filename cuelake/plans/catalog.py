@@ -202,7 +202,7 @@ def url_dedupe_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- T11 page text ------------------------------------------------------------------
 @register("page_text", f"""
-WITH {D.CRAWL_SQL}
+WITH {D.SITE_PAGES_SQL}, {D.CRAWL_SQL}
 SELECT url, {O.page_text('html', 'final_url')} AS page_text FROM crawl
 """)
 def page_text_q(spark: SparkSession, sf_dir: str) -> DataFrame:

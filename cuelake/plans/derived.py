@@ -157,11 +157,24 @@ SCREENSHOTS_SQL = f"""screenshots AS (
 URL_VARIANTS = 10
 
 
+def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages with a registrable domain of its own per page, so that apex
+    de-duplication keeps one URL of every page."""
+    p = table(spark, sf_dir, "pages")
+    own = F.concat(F.lit(".example"), F.col("page_id").cast("string"), F.lit("."))
+    return p.withColumn("url", F.replace(F.col("url"), F.lit(".example."), own))
+
+
+SITE_PAGES_SQL = """site_pages AS (
+  SELECT * REPLACE (replace(url, '.example.', '.example' || CAST(page_id AS VARCHAR) || '.') AS url) FROM pages
+)"""
+
+
 def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pages -> (url_id, url): every page URL plus nine variants (no scheme,
+    """site_pages -> (url_id, url): every page URL plus nine variants (no scheme,
     IP host, user info, port, www. without scheme, upper-case scheme with
     padding and punycode, IPv6, an unbalanced bracket, a blank)."""
-    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    p = site_pages(spark, sf_dir).select("page_id", "url")
     k = F.col("page_id")
     u = F.col("url")
     no_scheme = F.regexp_replace(u, "^https?://", "")
@@ -176,7 +189,7 @@ def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("  HTTPS://xn--pypal-4ve."), F.regexp_replace(no_scheme, "[/?#].*$", ""),
                  F.lit("/secure-login/update?acct="), k.cast("string"), F.lit(" ")),
         F.concat(F.lit("http://[fe80::"), (k % 9).cast("string"), F.lit("]:8/a/b;c")),
-        F.concat(F.lit("http://[bad"), k.cast("string"), F.lit(".example.com/x")),
+        F.concat(F.lit("http://[bad"), (k % 5).cast("string"), F.lit(".example.com/x")),
         F.lit("   "),
     ]
     arr = F.array(*[F.struct(F.lit(i).alias("v"), c.alias("url")) for i, c in enumerate(variants)])
@@ -185,42 +198,61 @@ def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-URL_LIST_SQL = f"""url_list AS (
+URL_LIST_SQL = f"""{SITE_PAGES_SQL},
+url_list AS (
   SELECT page_id * {URL_VARIANTS} + v AS url_id, url FROM (
-    SELECT page_id, 0 AS v, url FROM pages
-    UNION ALL SELECT page_id, 1, regexp_replace(url, '^https?://', '') FROM pages
+    SELECT page_id, 0 AS v, url FROM site_pages
+    UNION ALL SELECT page_id, 1, regexp_replace(url, '^https?://', '') FROM site_pages
     UNION ALL SELECT page_id, 2, 'http://10.' || CAST(page_id % 250 AS VARCHAR) || '.' || CAST(page_id % 7 AS VARCHAR)
-                                  || '.1/Login/x;p=1?q=verify&id=' || CAST(page_id AS VARCHAR) FROM pages
-    UNION ALL SELECT page_id, 3, replace(url, '://', '://admin@') FROM pages
-    UNION ALL SELECT page_id, 4, regexp_replace(url, '^(https?://[^/?#]+)', '\\1:8080') FROM pages
-    UNION ALL SELECT page_id, 5, 'www.' || regexp_replace(url, '^https?://', '') FROM pages
+                                  || '.1/Login/x;p=1?q=verify&id=' || CAST(page_id AS VARCHAR) FROM site_pages
+    UNION ALL SELECT page_id, 3, replace(url, '://', '://admin@') FROM site_pages
+    UNION ALL SELECT page_id, 4, regexp_replace(url, '^(https?://[^/?#]+)', '\\1:8080') FROM site_pages
+    UNION ALL SELECT page_id, 5, 'www.' || regexp_replace(url, '^https?://', '') FROM site_pages
     UNION ALL SELECT page_id, 6, '  HTTPS://xn--pypal-4ve.' || regexp_replace(regexp_replace(url, '^https?://', ''), '[/?#].*$', '')
-                                  || '/secure-login/update?acct=' || CAST(page_id AS VARCHAR) || ' ' FROM pages
-    UNION ALL SELECT page_id, 7, 'http://[fe80::' || CAST(page_id % 9 AS VARCHAR) || ']:8/a/b;c' FROM pages
-    UNION ALL SELECT page_id, 8, 'http://[bad' || CAST(page_id AS VARCHAR) || '.example.com/x' FROM pages
-    UNION ALL SELECT page_id, 9, '   ' FROM pages
+                                  || '/secure-login/update?acct=' || CAST(page_id AS VARCHAR) || ' ' FROM site_pages
+    UNION ALL SELECT page_id, 7, 'http://[fe80::' || CAST(page_id % 9 AS VARCHAR) || ']:8/a/b;c' FROM site_pages
+    UNION ALL SELECT page_id, 8, 'http://[bad' || CAST(page_id % 5 AS VARCHAR) || '.example.com/x' FROM site_pages
+    UNION ALL SELECT page_id, 9, '   ' FROM site_pages
   )
 )"""
 
 
 # --- stored crawl ------------------------------------------------------------
+LONG_LIST = '<a href="/r">read <i>more</i> &amp; more</a>' * 220
+
+
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pages as a stored crawl: one row per URL (the first page_id)."""
-    p = table(spark, sf_dir, "pages")
+    """site_pages as a stored crawl: one row per URL (the first page_id). Every
+    title ends in, and a last anchor holds, lexicon phrases; every 25th page
+    has 220 anchors before it, every 17th is no HTML."""
+    p = site_pages(spark, sf_dir)
     first = p.groupBy("url").agg(F.min_by(F.struct("page_id", "html"), F.col("page_id")).alias("p"))
+    k = F.col("p.page_id")
+    phrases = salt(F.lit(""), k)
+    html = F.concat(
+        F.replace(F.coalesce(F.col("p.html"), F.lit("")), F.lit("</title>"), F.concat(F.lit(" "), phrases, F.lit("</title>"))),
+        F.when(k % 25 == 0, F.lit(LONG_LIST)).otherwise(F.lit("")),
+        F.lit('<a href="/s">' + "long " * 50 + "<b>"), phrases, F.lit("</b></a>"))
     return first.select(
         "url",
         F.lit(200).alias("status"),
         F.lit(0).alias("redirects"),
         F.col("url").alias("final_url"),
-        F.lit("text/html; charset=utf-8").alias("content_type"),
+        F.when(k % 17 == 5, F.lit("application/pdf")).otherwise(F.lit("text/html; charset=utf-8")).alias("content_type"),
         F.lit("").alias("error"),
-        F.col("p.html").alias("html"),
+        html.alias("html"),
     )
 
 
-CRAWL_SQL = """crawl AS (
-  SELECT url, 200 AS status, 0 AS redirects, url AS final_url, 'text/html; charset=utf-8' AS content_type,
-         '' AS error, arg_min(html, page_id) AS html
-  FROM pages GROUP BY url
+#: Follows URL_LIST_SQL or SITE_PAGES_SQL.
+CRAWL_SQL = f"""first_pages AS (
+  SELECT url, min(page_id) AS k, coalesce(arg_min(html, page_id), '') AS h FROM site_pages GROUP BY url
+),
+phrased AS (SELECT *, {salt_sql("''", 'k')} AS phrases FROM first_pages),
+crawl AS (
+  SELECT url, 200 AS status, 0 AS redirects, url AS final_url,
+         CASE WHEN k % 17 = 5 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END AS content_type, '' AS error,
+         replace(h, '</title>', ' ' || phrases || '</title>') || CASE WHEN k % 25 = 0 THEN '{LONG_LIST}' ELSE '' END
+         || '<a href="/s">{"long " * 50}<b>' || phrases || '</b></a>' AS html
+  FROM phrased
 )"""
