@@ -1,17 +1,20 @@
 """Embedding near-duplicates by NN-descent.
 
 Vectors are compared only within a label. Equal vectors are one point from the
-start. Every point keeps the ``NEIGHBOURS`` best neighbours known so far:
+start. Every point keeps the ``NEIGHBOURS`` best neighbours known so far inside
+its component, and as many outside it (at first each point is a component):
 
 1. Start: in each of ``TABLES`` random-hyperplane signatures, points that are
-   close in the sorted order of signatures become neighbours.
+   close in the sorted order of signatures become neighbours. A component's
+   points that follow each other there count as one place for the others.
 2. Refine: a point's neighbours (and those it is a neighbour of) are compared
    with each other; pairs that beat the worst entry of either list go in.
    Rounds end when few lists change.
-3. Links are the pairs of cosine ``THRESHOLD`` or more. A list that is full of
-   links is saturated: it may miss some. Lists are then enlarged to the whole
-   connected component, compared in blocks; each point's links are counted
-   without a list of pairs.
+3. Links are the pairs of cosine ``THRESHOLD`` or more; they join components.
+   A list whose outside places are all links is saturated: it may miss some.
+   The joined points then leave the outside places, and steps 1 to 3 go on
+   until no list is saturated. At the end each component is compared in blocks;
+   each point's links are counted without a list of pairs.
 4. Audit: ``AUDIT`` points are compared with all points of their label. If
    fewer than ``RECALL`` of their links are found, the refinement goes on with
    fresh signatures, ``REPEATS`` times at most.
@@ -73,7 +76,7 @@ def _signatures(seed: int):
     def run(batches):
         planes: dict[int, np.ndarray] = {}
         for b in batches:
-            out = {"id": [], "grp": [], "tab": [], "sig": []}
+            out = {"id": [], "grp": [], "own": [], "tab": [], "sig": []}
             by_size: dict[int, list[int]] = {}
             for k, raw in enumerate(b["vec"]):
                 by_size.setdefault(len(raw) // 4, []).append(k)
@@ -85,6 +88,7 @@ def _signatures(seed: int):
                 for t in range(TABLES):
                     out["id"] += [b["id"][k] for k in at]
                     out["grp"] += [b["grp"][k] for k in at]
+                    out["own"] += [b["own"][k] for k in at]
                     out["tab"] += [t] * len(at)
                     out["sig"] += sig[:, t].tolist()
             yield out
@@ -93,79 +97,109 @@ def _signatures(seed: int):
 
 
 def start_pairs(points: DataFrame, n: int, seed: int) -> DataFrame:
-    """Pairs ``a, b`` of points that are near in the order of a signature."""
-    sig = map_batches(points.select("id", "grp", "vec"), _signatures(seed), "id bigint, grp string, tab int, sig bigint")
+    """Pairs ``a, b, inside`` of points that are near in the order of a
+    signature: the next points, and the next ones of other components, where
+    only the first and last of a component's neighbours in the order stand."""
+    sig = map_batches(points.select("id", "grp", "own", "vec"), _signatures(seed), "id bigint, grp string, own bigint, tab int, sig bigint")
     split = max(0, math.ceil(math.log2(max(1, n / WINDOW_ROWS))))
     w = Window.partitionBy("grp", "tab", F.shiftright("sig", max(0, BITS - split))).orderBy("sig", "id")
-    near = sig.select("id", *[F.lead("id", k).over(w).alias(f"n{k}") for k in range(1, ADJACENT + 1)])
-    return near.select(F.col("id").alias("a"), F.explode(F.array(*[f"n{k}" for k in range(1, ADJACENT + 1)])).alias("b")).filter(
-        "b IS NOT NULL").distinct()
+
+    def following(rows: DataFrame) -> DataFrame:
+        after = F.array(*[F.struct(F.lead("id", k).over(w).alias("b"), F.lead("own", k).over(w).alias("own_b"))
+                          for k in range(1, ADJACENT + 1)])
+        return rows.select("id", "own", after.alias("after")).select(
+            F.col("id").alias("a"), "own", F.explode("after").alias("x")).filter("x.b IS NOT NULL").select(
+            "a", F.col("x.b").alias("b"), (F.col("own") == F.col("x.own_b")).alias("inside"))
+
+    ends = sig.withColumns({"before": F.lag("own").over(w), "after": F.lead("own").over(w)}).filter(
+        "NOT (before <=> own AND after <=> own)").drop("before", "after")
+    return following(sig).union(following(ends).filter("NOT inside")).distinct()
 
 
 def _cosines(batches):
     for b in batches:
-        out = {"a": [], "b": [], "sim": []}
+        out = {"a": [], "b": [], "inside": b["inside"], "sim": [0.0] * len(b["a"])}
         if b["a"]:
             by_size: dict[int, list[int]] = {}
             for k, raw in enumerate(b["va"]):
                 by_size.setdefault(len(raw), []).append(k)
             for at in by_size.values():
                 sim = (unit([b["va"][k] for k in at]) * unit([b["vb"][k] for k in at])).sum(axis=1)
-                out["a"] += [b["a"][k] for k in at]
-                out["b"] += [b["b"][k] for k in at]
-                out["sim"] += sim.tolist()
+                for k, x in zip(at, sim.tolist()):
+                    out["sim"][k] = x
+            out["a"], out["b"] = b["a"], b["b"]
         yield out
 
 
 def with_cosine(pairs: DataFrame, points: DataFrame) -> DataFrame:
     a = points.select(F.col("id").alias("a"), F.col("vec").alias("va"))
     b = points.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
-    return map_batches(pairs.join(a, "a").join(b, "b").select("a", "b", "va", "vb"), _cosines, "a bigint, b bigint, sim double")
+    return map_batches(pairs.join(a, "a").join(b, "b").select("a", "b", "inside", "va", "vb"), _cosines,
+                       "a bigint, b bigint, inside boolean, sim double")
 
 
 def best(entries: DataFrame, k: int) -> DataFrame:
-    """The k best distinct entries of each list; fresh: not known before."""
-    one = entries.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
-    w = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
+    """The k best distinct entries inside and outside of each list; fresh: not known before."""
+    one = entries.groupBy("src", "dst", "inside").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
+    w = Window.partitionBy("src", "inside").orderBy(F.desc("sim"), "dst")
     return one.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= k).drop("nth")
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
-    return (pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "sim", F.lit(1).alias("fresh"))
-            .union(pairs.select(F.col("b"), F.col("a"), "sim", F.lit(1))))
+    return (pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "inside", "sim", F.lit(1).alias("fresh"))
+            .union(pairs.select(F.col("b"), F.col("a"), "inside", "sim", F.lit(1))))
+
+
+def known_entries(lists: DataFrame, points: DataFrame) -> DataFrame:
+    """Entries of earlier lists, inside or outside by the components of now."""
+    src = points.select(F.col("id").alias("src"), F.col("own").alias("_s"))
+    dst = points.select(F.col("id").alias("dst"), F.col("own").alias("_d"))
+    return lists.join(src, "src").join(dst, "dst").select(
+        "src", "dst", (F.col("_s") == F.col("_d")).alias("inside"), "sim", F.lit(0).alias("fresh"))
 
 
 def _local_join(batches):
     """Compare the members of each point's neighbourhood with each other: give
-    the pairs with a new entry that beat the worst entry of either list."""
+    the pairs with a new entry that beat the worst entry of either list, among
+    those inside or outside the component."""
     for b in batches:
-        out = {"src": [], "dst": [], "sim": []}
+        out = {"src": [], "dst": [], "inside": [], "sim": []}
         for members in b["m"]:
             if len(members) < 2:
                 continue
             ids = np.array([x["id"] for x in members])
-            floor = np.array([x["floor"] for x in members])
+            own = np.array([x["own"] for x in members])
+            same = own[:, None] == own[None, :]
+            floor = np.where(same, np.array([x["floor_in"] for x in members])[:, None], np.array([x["floor_out"] for x in members])[:, None])
             fresh = np.array([x["fresh"] for x in members], bool)
             x = unit([x["vec"] for x in members])
             sim = x @ x.T
             new = fresh[:, None] | fresh[None, :]
-            i, j = np.nonzero(new & (sim > floor[:, None]) & (ids[:, None] != ids[None, :]))
+            i, j = np.nonzero(new & (sim > floor) & (ids[:, None] != ids[None, :]))
             out["src"] += ids[i].tolist()
             out["dst"] += ids[j].tolist()
+            out["inside"] += same[i, j].tolist()
             out["sim"] += sim[i, j].tolist()
         yield out
 
 
 def refine(lists: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """One round: lists ``src, dst, sim, fresh`` -> improved lists."""
-    floors = lists.groupBy("src").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(-2.0).alias("floor"))
-    known = points.join(floors, points["id"] == floors["src"]).select("id", "vec", "floor")
-    around = best(lists.select("src", "dst", "sim", "fresh").union(
-        lists.select(F.col("dst"), F.col("src"), "sim", "fresh")), 2 * k)
-    groups = (around.join(known, around["dst"] == known["id"])
-              .groupBy("src").agg(F.collect_list(F.struct("id", "vec", "floor", "fresh")).alias("m")).filter("exists(m, x -> x.fresh = 1)"))
-    new = map_batches(groups.select("m"), _local_join, "src bigint, dst bigint, sim double")
-    return best(lists.withColumn("fresh", F.lit(0)).union(new.distinct().withColumn("fresh", F.lit(1))), k)
+    """One round: lists ``src, dst, inside, sim, fresh`` -> improved lists."""
+    floors = lists.groupBy("src").agg(*[
+        F.when(F.count_if(c) >= k, F.min(F.when(c, F.col("sim")))).otherwise(-2.0).alias(name)
+        for c, name in ((F.col("inside"), "floor_in"), (~F.col("inside"), "floor_out"))])
+    known = points.join(floors, points["id"] == floors["src"]).select("id", "own", "vec", "floor_in", "floor_out")
+    around = best(lists.select("src", "dst", "inside", "sim", "fresh").union(
+        lists.select(F.col("dst"), F.col("src"), "inside", "sim", "fresh")), 2 * k)
+    groups = (around.join(known, around["dst"] == known["id"]).groupBy("src")
+              .agg(F.collect_list(F.struct("id", "own", "vec", "floor_in", "floor_out", "fresh")).alias("m")).filter("exists(m, x -> x.fresh = 1)"))
+    new = map_batches(groups.select("m"), _local_join, "src bigint, dst bigint, inside boolean, sim double")
+    return best(lists.select("src", "dst", "inside", "sim", F.lit(0).alias("fresh")).union(new.distinct().withColumn("fresh", F.lit(1))), k)
+
+
+def saturated(lists: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Points whose outside places are all links: more may have found no place."""
+    return lists.filter(~F.col("inside") & (F.col("sim") >= threshold)).groupBy("src").count().filter(F.col("count") >= k)
 
 
 def _count_block(threshold: float):
@@ -234,20 +268,28 @@ def near_duplicates(vectors: DataFrame, folder: str, threshold: float = THRESHOL
                                                       F.min("vec_id").alias("least")), folder, "classes")
     points = stage(classes.join(made.select(F.col("_rid").alias("id"), "vec"), "id").select("id", "grp", "vec", "copies"), folder, "points")
     n = points.count()
-    lists = None
-    for attempt in range(REPEATS):
-        fresh = both_ways(with_cosine(start_pairs(points, n, attempt), points))
-        lists = stage(best(fresh if lists is None else fresh.union(lists.withColumn("fresh", F.lit(0))), neighbours),
+    lists = comp = None
+    attempt, passed = 0, False
+    while not passed:
+        placed = points.withColumn("own", F.col("id")) if comp is None else (
+            points.join(comp, "id", "left").withColumn("own", F.coalesce("component", "id")).drop("component"))
+        fresh = stage(with_cosine(start_pairs(placed, n, attempt), points), folder, f"fresh-{attempt}")
+        lists = stage(best(both_ways(fresh) if lists is None else both_ways(fresh).union(known_entries(lists, placed)), neighbours),
                       folder, f"lists-{attempt}-0")
         for k in range(1, ROUNDS + 1):
-            lists = stage(refine(lists, points, neighbours), folder, f"lists-{attempt}-{k}")
+            lists = stage(refine(lists, placed, neighbours), folder, f"lists-{attempt}-{k}")
             if lists.filter("fresh = 1").count() <= LEAST_CHANGE * n * neighbours:
                 break
-        near = lists.filter(F.col("sim") >= threshold).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        near = lists.filter(F.col("sim") >= threshold).select(F.col("src").alias("a"), F.col("dst").alias("b")).union(
+            fresh.filter(F.col("sim") >= threshold).select("a", "b"))
+        near = near if comp is None else near.union(comp.filter("id <> component").toDF("a", "b"))
         comp = components(near, f"{folder}/components-{attempt}")
+        attempt += 1
+        # A saturated list's points are joined now: their places are free for others.
+        if not saturated(lists, neighbours, threshold).isEmpty():
+            continue
         links = stage(count_links(comp, points, threshold), folder, f"links-{attempt}")
-        if audit(points, links, threshold) >= recall:
-            break
+        passed = attempt >= REPEATS or audit(points, links, threshold) >= recall
     per = (classes.join(links, "id", "left").join(comp, "id", "left")
            .select("grp", "point", "least", F.coalesce("component", "id").alias("component"),
                    (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))

@@ -143,6 +143,20 @@ def test_vectors_hard_rows(spark, folder):
     assert nn_descent.near_duplicates(df.limit(0), scratch(spark)).count() == 0
 
 
+def test_vectors_of_nested_clusters(spark, folder):
+    """Two tight subgroups fill each other's lists with their own points."""
+    rng = np.random.default_rng(5)
+    rows = [(1000 + i, rng.standard_normal(64).tolist(), 1, "x") for i in range(200)]
+    for pair in range(4):
+        q, _ = np.linalg.qr(rng.standard_normal((64, 2)))
+        for side in (1, -1):
+            centre = q[:, 0] + side * 0.087 * q[:, 1]           # cosine 0.985 between the centres
+            for _ in range(25):
+                rows.append((len(rows), (centre + 0.0035 * rng.standard_normal(64)).tolist(), 1, "x"))
+    got = nn_descent.near_duplicates(spark.createDataFrame(rows, VEC), folder)
+    assert Counter(map(tuple, got.collect())) == brute_vectors([r[:3] for r in rows])
+
+
 @pytest.mark.parametrize("recall", [1.0])
 def test_audit_measures_recall(spark, folder, recall):
     rows = spark.createDataFrame([(i, "g", np.array([1.0, 0.001 * i], np.float32).tobytes(), 1) for i in range(30)],
