@@ -4,8 +4,9 @@ Vectors are compared only within a label. Equal vectors are one point from the
 start. Every point keeps the ``NEIGHBOURS`` best neighbours known so far inside
 its component, and as many outside it (at first each point is a component):
 
-1. Start: in each of ``TABLES`` random-hyperplane signatures, points that are
-   close in the sorted order of signatures become neighbours. A component's
+1. Start: in each of several random-hyperplane signatures (so many that a pair
+   at the threshold is expected to be missed with probability ``MISS``; they
+   grow with the size of the largest label), points that are close in the sorted order of signatures become neighbours. A component's
    points that follow each other there count as one place for the others.
 2. Refine: a point's neighbours (and those it is a neighbour of) are compared
    with each other; pairs that beat the worst entry of either list go in.
@@ -15,9 +16,14 @@ its component, and as many outside it (at first each point is a component):
    The joined points then leave the outside places, and steps 1 to 3 go on
    until no list is saturated. At the end each component is compared in blocks;
    each point's links are counted without a list of pairs.
-4. Audit: ``AUDIT`` points are compared with all points of their label. If
-   fewer than ``RECALL`` of their links are found, the refinement goes on with
-   fresh signatures, ``REPEATS`` times at most.
+4. Audit, by points and components, so that dense clusters hide nothing:
+   - fresh signatures find links that don't depend on the search so far. Of the
+     components in which they find a link, the share is taken that was whole
+     before (small and large components apart);
+   - ``AUDIT`` linked points, as many unlinked ones with a near candidate, and
+     as many others are compared with all points of their label.
+   Steps 1 to 4 go on with fresh signatures until both shares are ``RECALL``
+   or more; after ``ATTEMPTS`` without that, an error gives the shares.
 
 Cosines are in double precision. A vector that is null, empty, zero or holds a
 null or non-finite component, or has a null label, links with nothing and is
@@ -40,10 +46,12 @@ from .common import components, map_batches, stage
 
 THRESHOLD = 0.98
 NEIGHBOURS = 10
-TABLES, BITS, ADJACENT = 8, 30, 2
+TABLES, BITS, ADJACENT = 8, 30, 2       # at least so many tables and bits
+MISS = 0.01             # chance that the start misses a pair at the threshold
 ROUNDS = 5
 LEAST_CHANGE = 0.01     # of all list entries
-AUDIT, RECALL, REPEATS = 400, 0.99, 3
+AUDIT, RECALL, ATTEMPTS = 400, 0.99, 20
+NEAR = 0.05             # an unlinked point's candidate so far below the threshold is near
 WINDOW_ROWS = 20_000    # rows of a label whose signatures are sorted together
 BLOCK = 512
 
@@ -72,7 +80,16 @@ def unit(raw: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _signatures(seed: int):
+def effort(n: int, threshold: float) -> tuple[int, int]:
+    """Tables and bits for labels of ``n`` points. A pair is adjacent in a table
+    if it shares the bits that set its place apart from n others, and two more."""
+    bits = math.log2(max(2, n)) + 2
+    share = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    tables = math.ceil(math.log(MISS) / math.log(1 - share)) if 0 < share < 1 else 1
+    return max(TABLES, tables), max(BITS, math.ceil(bits) + 4)
+
+
+def _signatures(seed: int, tables: int, n_bits: int):
     def run(batches):
         planes: dict[int, np.ndarray] = {}
         for b in batches:
@@ -82,10 +99,10 @@ def _signatures(seed: int):
                 by_size.setdefault(len(raw) // 4, []).append(k)
             for size, at in by_size.items():
                 if size not in planes:
-                    planes[size] = np.random.default_rng([seed, size]).standard_normal((size, TABLES * BITS))
-                bits = (unit([b["vec"][k] for k in at]) @ planes[size] > 0).reshape(len(at), TABLES, BITS)
-                sig = (bits * (1 << np.arange(BITS - 1, -1, -1))).sum(axis=2)
-                for t in range(TABLES):
+                    planes[size] = np.random.default_rng([seed, size]).standard_normal((size, tables * n_bits))
+                bits = (unit([b["vec"][k] for k in at]) @ planes[size] > 0).reshape(len(at), tables, n_bits)
+                sig = (bits * (1 << np.arange(n_bits - 1, -1, -1))).sum(axis=2)
+                for t in range(tables):
                     out["id"] += [b["id"][k] for k in at]
                     out["grp"] += [b["grp"][k] for k in at]
                     out["own"] += [b["own"][k] for k in at]
@@ -96,13 +113,13 @@ def _signatures(seed: int):
     return run
 
 
-def start_pairs(points: DataFrame, n: int, seed: int) -> DataFrame:
+def start_pairs(points: DataFrame, n: int, seed: int, tables: int = TABLES, bits: int = BITS) -> DataFrame:
     """Pairs ``a, b, inside`` of points that are near in the order of a
     signature: the next points, and the next ones of other components, where
     only the first and last of a component's neighbours in the order stand."""
-    sig = map_batches(points.select("id", "grp", "own", "vec"), _signatures(seed), "id bigint, grp string, own bigint, tab int, sig bigint")
+    sig = map_batches(points.select("id", "grp", "own", "vec"), _signatures(seed, tables, bits), "id bigint, grp string, own bigint, tab int, sig bigint")
     split = max(0, math.ceil(math.log2(max(1, n / WINDOW_ROWS))))
-    w = Window.partitionBy("grp", "tab", F.shiftright("sig", max(0, BITS - split))).orderBy("sig", "id")
+    w = Window.partitionBy("grp", "tab", F.shiftright("sig", max(0, bits - split))).orderBy("sig", "id")
 
     def following(rows: DataFrame) -> DataFrame:
         after = F.array(*[F.struct(F.lead("id", k).over(w).alias("b"), F.lead("own", k).over(w).alias("own_b"))
@@ -226,10 +243,30 @@ def count_links(comp: DataFrame, points: DataFrame, threshold: float, block: int
     return got.groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def audit(points: DataFrame, links: DataFrame, threshold: float, size: int = AUDIT) -> float:
-    """Share of the true links of ``size`` points (chosen by hash, compared with
-    every point of their group) that ``links`` (id, links) holds."""
-    asked = points.orderBy(F.xxhash64("id")).limit(size).select("id", "grp", "vec").collect()
+def recapture(fresh: DataFrame, comp: DataFrame, later: DataFrame, threshold: float, small: int) -> float:
+    """Share of the components (``later``) with a link in ``fresh`` that were
+    whole before (``comp``, none of whose links come from ``fresh``); the lower
+    share of those of up to ``small`` points and of the others."""
+    old = comp.toDF("a", "old_a"), comp.toDF("b", "old_b")
+    sizes = later.groupBy("component").agg(F.count("*").alias("size"))
+    links = (fresh.filter(F.col("sim") >= threshold).join(later.withColumnRenamed("id", "a"), "a")
+             .join(old[0], "a", "left").join(old[1], "b", "left"))
+    seen = links.groupBy("component").agg(F.min(F.coalesce("old_a", "a") == F.coalesce("old_b", "b")).alias("whole"))
+    shares = seen.join(sizes, "component").groupBy(F.col("size") <= small).agg(F.avg(F.col("whole").cast("int")).alias("share"))
+    return min((r["share"] for r in shares.collect()), default=1.0)
+
+
+def audit(points: DataFrame, links: DataFrame, threshold: float, size: int = AUDIT, candidates: DataFrame | None = None) -> float:
+    """Estimated share of the points with true links whose links ``links`` (id,
+    links) holds in full: ``size`` points (chosen by hash) of each stratum are
+    compared with every point of their group. Strata: linked points, unlinked
+    ones whose best candidate (``candidates``: id, sim) is near, the others."""
+    near = points.select("id").limit(0).withColumn("sim", F.lit(0.0)) if candidates is None else candidates
+    strata = (points.join(links.filter("links > 0").select("id", F.lit(True).alias("linked")), "id", "left").join(near, "id", "left")
+              .select("id", "grp", "vec", F.when(F.col("linked"), 0).when(F.col("sim") >= threshold - NEAR, 1).otherwise(2).alias("stratum")))
+    total = {r["stratum"]: r["count"] for r in strata.groupBy("stratum").count().collect()}
+    asked = [r for k in total for r in strata.filter(F.col("stratum") == k).orderBy(F.xxhash64("id")).limit(size).collect()]
+    weight = {r["id"]: total[r["stratum"]] / min(size, total[r["stratum"]]) for r in asked}
     by_grp: dict[str, list] = {}
     for r in asked:
         by_grp.setdefault(r["grp"], []).append(r)
@@ -252,8 +289,9 @@ def audit(points: DataFrame, links: DataFrame, threshold: float, size: int = AUD
 
     true = (map_batches(points.select("id", "grp", "vec", "copies"), run, "id bigint, n bigint").groupBy("id")
             .agg(F.sum("n").alias("n")).filter("n > 0"))
-    r = true.join(links, "id", "left").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("links", F.lit(0)))).alias("got")).first()
-    return 1.0 if not r["n"] else r["got"] / r["n"]
+    rows = true.join(links, "id", "left").select("id", (F.coalesce("links", F.lit(0)) >= F.col("n")).alias("whole")).collect()
+    share = sum(weight[r["id"]] for r in rows)
+    return sum(weight[r["id"]] for r in rows if r["whole"]) / share if share else 1.0
 
 
 def near_duplicates(vectors: DataFrame, folder: str, threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS,
@@ -267,13 +305,15 @@ def near_duplicates(vectors: DataFrame, folder: str, threshold: float = THRESHOL
     classes = stage(valid.groupBy("grp", "point").agg(F.min("_rid").alias("id"), F.count("*").alias("copies"),
                                                       F.min("vec_id").alias("least")), folder, "classes")
     points = stage(classes.join(made.select(F.col("_rid").alias("id"), "vec"), "id").select("id", "grp", "vec", "copies"), folder, "points")
-    n = points.count()
+    per_group = points.groupBy("grp").count().agg(F.sum("count"), F.max("count")).first()
+    n = per_group[0] or 0
+    tables, bits = effort(per_group[1] or 0, threshold)
     lists = comp = None
     attempt, passed = 0, False
     while not passed:
         placed = points.withColumn("own", F.col("id")) if comp is None else (
             points.join(comp, "id", "left").withColumn("own", F.coalesce("component", "id")).drop("component"))
-        fresh = stage(with_cosine(start_pairs(placed, n, attempt), points), folder, f"fresh-{attempt}")
+        fresh = stage(with_cosine(start_pairs(placed, n, attempt, tables, bits), points), folder, f"fresh-{attempt}")
         lists = stage(best(both_ways(fresh) if lists is None else both_ways(fresh).union(known_entries(lists, placed)), neighbours),
                       folder, f"lists-{attempt}-0")
         for k in range(1, ROUNDS + 1):
@@ -283,13 +323,20 @@ def near_duplicates(vectors: DataFrame, folder: str, threshold: float = THRESHOL
         near = lists.filter(F.col("sim") >= threshold).select(F.col("src").alias("a"), F.col("dst").alias("b")).union(
             fresh.filter(F.col("sim") >= threshold).select("a", "b"))
         near = near if comp is None else near.union(comp.filter("id <> component").toDF("a", "b"))
-        comp = components(near, f"{folder}/components-{attempt}")
+        before, comp = comp, components(near, f"{folder}/components-{attempt}")
         attempt += 1
         # A saturated list's points are joined now: their places are free for others.
-        if not saturated(lists, neighbours, threshold).isEmpty():
-            continue
-        links = stage(count_links(comp, points, threshold), folder, f"links-{attempt}")
-        passed = attempt >= REPEATS or audit(points, links, threshold) >= recall
+        full = not saturated(lists, neighbours, threshold).isEmpty()
+        again = 0.0 if before is None else recapture(fresh, before, comp, threshold, neighbours)
+        compared = None
+        if not full and again >= recall:
+            links = stage(count_links(comp, points, threshold), folder, f"links-{attempt}")
+            candidates = lists.groupBy(F.col("src").alias("id")).agg(F.max("sim").alias("sim"))
+            compared = audit(points, links, threshold, candidates=candidates)
+            passed = compared >= recall
+        if not passed and attempt >= ATTEMPTS:
+            raise RuntimeError(f"near duplicates after {attempt} attempts: recall {recall} not reached; share of components found "
+                               f"again {again}, of compared points {compared}, saturated lists {full}")
     per = (classes.join(links, "id", "left").join(comp, "id", "left")
            .select("grp", "point", "least", F.coalesce("component", "id").alias("component"),
                    (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))

@@ -164,3 +164,38 @@ def test_audit_measures_recall(spark, folder, recall):
     links = spark.createDataFrame([(i, 29) for i in range(30)], "id bigint, links bigint")
     assert nn_descent.audit(rows, links, 0.98) == recall
     assert nn_descent.audit(rows, links.filter("id < 15"), 0.98) == 0.5
+
+
+def test_audit_sees_isolated_lost_pairs(spark):
+    """A dense cluster whose links are all known hides no lost pair, and a rare lost pair is seen by its near candidate."""
+    rng = np.random.default_rng(6)
+    cluster = [np.array([1.0, 0.001 * i] + [0.0] * 30, np.float32) for i in range(60)]
+    pairs = [v + d for v in rng.standard_normal((10, 32)) for d in (0.0, 0.02 * rng.standard_normal(32))]
+    vectors = cluster + pairs + list(rng.standard_normal((3000, 32)))
+    points = spark.createDataFrame([(i, "g", v.astype(np.float32).tobytes(), 1) for i, v in enumerate(vectors)],
+                                   "id bigint, grp string, vec binary, copies bigint")
+    links = spark.createDataFrame([(i, 59) for i in range(60)], "id bigint, links bigint")
+    near = spark.createDataFrame([(60 + i, 0.95) for i in range(20)], "id bigint, sim double")
+    assert nn_descent.audit(points, links, 0.98, candidates=near) == pytest.approx(60 / 80)
+
+
+def test_fresh_signatures_count_components(spark):
+    """One lost pair among two components lowers the share to a half, however many links the other has."""
+    fresh = spark.createDataFrame([(i, i + 1, 0.99) for i in range(5)] + [(20, 21, 0.985)], "a bigint, b bigint, sim double")
+    known = spark.createDataFrame([(i, 0) for i in range(6)], "id bigint, component bigint")
+    later = known.union(spark.createDataFrame([(20, 20), (21, 20)], "id bigint, component bigint"))
+    assert nn_descent.recapture(fresh, known, later, 0.98, 10) == 0.5
+    assert nn_descent.recapture(fresh, later, later, 0.98, 10) == 1.0
+    assert nn_descent.recapture(fresh, known, later, 0.98, 3) == 0.0
+
+
+def test_effort_grows_with_the_label():
+    assert [nn_descent.effort(n, 0.98)[0] for n in (100, 10_000, 10_000_000)] == sorted({nn_descent.effort(n, 0.98)[0] for n in (100, 10_000, 10_000_000)})
+
+
+def test_missed_recall_is_an_error(spark, folder, monkeypatch):
+    monkeypatch.setattr(nn_descent, "audit", lambda *a, **b: 0.5)
+    monkeypatch.setattr(nn_descent, "ATTEMPTS", 2)
+    rows = [(i, [1.0, 0.001 * i], 1, "x") for i in range(5)]
+    with pytest.raises(RuntimeError, match="0.5"):
+        nn_descent.near_duplicates(spark.createDataFrame(rows, VEC), folder)
