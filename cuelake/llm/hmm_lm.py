@@ -3,16 +3,17 @@
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; every text ends with
 one end token. A token of class ``c`` (hash of the word modulo ``CLASSES``,
 the end token has a class of its own) has in state ``s`` the probability
-``P(c | s) * P(word | c)``:
-
-* ``P(c | s)``, the start vector and the transitions are trained by
-  Baum-Welch. ``PASSES`` passes go over all training tokens; each task adds up
-  expected counts of its blocks, the sums meet by class in one aggregate, and
-  the driver receives ``CLASSES x STATES`` numbers, whatever the corpus size.
-  A bounded sample of segments gives the first pass its starting point.
-* ``P(word | c) = (count + 1) / (class count + class words + 1)`` from counts
-  of all training words; the added one is the class's unseen word. Counts
-  stay in a distributed table and meet the texts by a join on word keys.
+``(E(word, s) + r(c, s)) / Z(s)``:
+
+* ``E`` are the expected counts by word and state, the start vector and the
+  transitions those of Baum-Welch. ``PASSES`` passes go over all training
+  tokens. ``E`` stays in a distributed table and meets the blocks by a join on
+  word keys; the driver receives sums by class, ``CLASSES x STATES`` numbers.
+  A bounded sample of segments, by classes, gives the first pass its start.
+* ``r(c, s)`` is the share of state ``s`` in the expected counts of the class:
+  the back-off of rare words. As in the base, all words that training texts
+  don't hold are one word; its weight is the share of the state in all counts.
+  ``Z`` makes the probabilities of a state add up to 1.
 
 The score is the exact likelihood of the whole sequence by the scaled forward
 recursion. Only in training are texts cut into segments of ``SEGMENT`` tokens
@@ -29,7 +30,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+import atexit
 import math
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stage
+from .common import map_batches, remove, stage
 
 STATES = 8
 CLASSES = 32768
@@ -134,14 +137,24 @@ def segments(starts: np.ndarray, sizes: np.ndarray, use: np.ndarray):
 class Params:
     start: np.ndarray        # (2, K): first segment of a text, later segment
     move: np.ndarray         # (K, K)
-    emit: np.ndarray         # (CLASSES + 1, K), each column sums to 1
+    emit: np.ndarray         # (CLASSES + 1, K): each column sums to 1, or back-off shares if there is a total
+    total: np.ndarray | None = None     # (K,): sum of the weights of all words
+    unseen: np.ndarray | None = None    # (K,): weight of the unseen word
+
+
+def emissions(p: Params, classes: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Emission of each word of a block, from its class and expected counts
+    (before the first pass by class: a factor of the word alone is left out)."""
+    if p.total is None:
+        return p.emit[classes]
+    return np.where(e.any(1)[:, None], e + p.emit[classes], p.unseen) / p.total
 
 
 class Expected:
     """Sums of expected counts."""
 
-    def __init__(self, k: int):
-        self.start, self.move, self.emit = np.zeros((2, k)), np.zeros((k, k)), np.zeros((CLASSES + 1, k))
+    def __init__(self, k: int, n: int = CLASSES + 1):
+        self.start, self.move, self.emit = np.zeros((2, k)), np.zeros((k, k)), np.zeros((n, k))
 
     def add(self, obs: np.ndarray, lens: np.ndarray, first: np.ndarray, p: Params) -> None:
         """Forward and backward recursions over many segments at once.
@@ -173,7 +186,7 @@ class Expected:
         np.add.at(self.start, np.where(first, 0, 1), gamma[0])
         flat = obs.ravel()
         for s in range(k):
-            self.emit[:, s] += np.bincount(flat, weights=gamma[:, :, s].ravel(), minlength=CLASSES + 1)
+            self.emit[:, s] += np.bincount(flat, weights=gamma[:, :, s].ravel(), minlength=len(self.emit))
 
 
 def maximise(start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Params:
@@ -220,53 +233,97 @@ def starting_point(seed: np.ndarray, k: int = STATES, rounds: int = SEED_ROUNDS)
     return p
 
 
-def expectation(blocks: DataFrame, p: Params) -> DataFrame:
-    """Expected counts of all training texts under ``p``, summed by class.
-    Rows -1 and -2 are the start vectors, -3-s is the row of transitions from s."""
-    k = p.move.shape[0]
+def maximise_words(start: np.ndarray, move: np.ndarray, by_class: np.ndarray, words: np.ndarray) -> Params:
+    """Re-estimates from sums of expected counts; ``by_class``: (CLASSES + 1, K),
+    ``words``: training words of each class."""
+    unseen = by_class.sum(0) + 0.5
+    unseen /= unseen.sum()
+    back = by_class + unseen
+    back /= back.sum(1, keepdims=True)
+    move, start = move + 0.1, start + 0.1
+    return Params(start / start.sum(1, keepdims=True), move / move.sum(1, keepdims=True), back,
+                  by_class.sum(0) + words @ back + unseen, unseen)
 
-    def run(batches):
-        e = Expected(k)
-        for b in batches:
-            for held, lengths, tokens, keys in zip(b["held"], b["lengths"], b["tokens"], b["key"]):
-                size = np.frombuffer(lengths, "<i8")
-                obs = classes_of(np.array(keys, np.int64))[np.frombuffer(tokens, "<i4")]
-                starts, lens, first = segments(np.concatenate(([0], size.cumsum()[:-1])), size, ~np.frombuffer(held, bool))
-                order = np.argsort(-lens, kind="stable")
-                for i in range(0, len(order), 4096):
-                    o = order[i:i + 4096]
-                    at = starts[o][None, :] + np.arange(lens[o[0]])[:, None]
-                    e.add(obs[np.minimum(at, len(obs) - 1)], lens[o], first[o], p)
+
+def class_of(key: str = "key"):
+    """``classes_of`` as a column: an unsigned remainder, as CLASSES divides 2^64."""
+    end = int(np.array([xxhash.xxh64_intdigest(END)], np.uint64).view(np.int64)[0])
+    return F.when(F.col(key) == end, CLASSES).otherwise(F.pmod(key, F.lit(CLASSES)))
+
+
+def _states(k: int) -> list[str]:
+    return [f"s{j}" for j in range(k)]
+
+
+def with_words(blocks: DataFrame, words: DataFrame):
+    """Blocks cogrouped with the rows of ``words`` (key, ..) of their own words.
+    Blocks are bucketed by ``block``: they are not shuffled."""
+    known = blocks.select(F.col("block").alias("of_block"), F.posexplode("key").alias("pos", "key")).join(words, "key").drop("key")
+    return blocks.drop("train", "seed").groupBy("block").cogroup(known.groupBy("of_block"))
+
+
+def expectation(blocks: DataFrame, p: Params, words: DataFrame | None) -> DataFrame:
+    """Expected counts of all training texts under ``p``: ``row, key, s0..``.
+    Row 0 holds words; rows -1 and -2 are the start vectors, -3-s the transitions from s."""
+    k = p.move.shape[0]
+    schema = "row int, key bigint, " + ", ".join(f"{c} double" for c in _states(k))
+
+    def of_block(held, lengths, tokens, keys, counts) -> dict:
+        size, keys, flat = np.frombuffer(lengths, "<i8"), np.asarray(keys, np.int64), np.frombuffer(tokens, "<i4")
+        e = Expected(k, len(keys))
+        q = Params(p.start, p.move, emissions(p, classes_of(keys), counts))
+        starts, lens, first = segments(np.concatenate(([0], size.cumsum()[:-1])), size, ~np.frombuffer(held, bool))
+        order = np.argsort(-lens, kind="stable")
+        for i in range(0, len(order), 4096):
+            o = order[i:i + 4096]
+            at = starts[o][None, :] + np.arange(lens[o[0]])[:, None]
+            e.add(flat[np.minimum(at, len(flat) - 1)], lens[o], first[o], q)
         found = np.flatnonzero(e.emit.any(1))
-        cls = np.concatenate([found, [-1, -2], -3 - np.arange(k)])
         val = np.vstack([e.emit[found], e.start, e.move])
-        yield {"cls": cls.tolist()} | {f"s{j}": val[:, j].tolist() for j in range(k)}
+        return {"row": [0] * len(found) + [-1, -2] + [-3 - j for j in range(k)],
+                "key": keys[found].tolist() + [0] * (2 + k)} | {c: val[:, j].tolist() for j, c in enumerate(_states(k))}
+
+    if words is None:
+        def run(batches):
+            for b in batches:
+                for held, lengths, tokens, keys in zip(b["held"], b["lengths"], b["tokens"], b["key"]):
+                    yield of_block(held, lengths, tokens, keys, None)
+
+        return map_batches(blocks.select("held", "lengths", "tokens", "key"), run, schema)
 
-    got = map_batches(blocks.select("held", "lengths", "tokens", "key"), run,
-                      "cls bigint, " + ", ".join(f"s{j} double" for j in range(k)))
-    return got.groupBy("cls").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)])
+    def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        r = left.iloc[0]
+        counts = np.zeros((len(r["key"]), k))
+        counts[right["pos"].to_numpy()] = right[_states(k)].to_numpy()
+        return pd.DataFrame(of_block(r["held"], r["lengths"], r["tokens"], r["key"], counts))
+
+    return with_words(blocks, words).applyInPandas(both, schema)
 
 
-def train(blocks: DataFrame, states: int = STATES, passes: int = PASSES) -> Params:
-    spark = blocks.sparkSession
+def train(blocks: DataFrame, folder: str, states: int = STATES, passes: int = PASSES) -> tuple[Params, DataFrame]:
+    """Parameters, and the expected counts of all training words: ``key, s0..``."""
     chosen = [r["block"] for r in blocks.select("block").orderBy(F.xxhash64("block")).limit(SEED_BLOCKS).collect()]
     rows = blocks.filter(F.col("block").isin(chosen)).orderBy("block").select("seed").collect()
     seed = np.concatenate([np.frombuffer(r["seed"], "<i4") for r in rows] or [np.zeros(0, "<i4")]).reshape(-1, SEGMENT)
-    p = starting_point(seed, states)
-    # A few tasks per core: each sends one table of expected counts.
-    some = blocks.coalesce(max(1, 2 * spark.sparkContext.defaultParallelism))
-    for _ in range(passes):
-        sums = expectation(some, p).toPandas()
-        val, cls = sums[[f"s{j}" for j in range(states)]].to_numpy(), sums["cls"].to_numpy()
-        emit, start, move = np.zeros((CLASSES + 1, states)), np.zeros((2, states)), np.zeros((states, states))
-        emit[cls[cls >= 0]] = val[cls >= 0]
-        for c, v in zip(cls, val):
-            if c in (-1, -2):
-                start[-1 - c] = v
-            elif c < 0:
-                move[-3 - c] = v
-        p = maximise(start, move, emit)
-    return p
+    p, words, names = starting_point(seed, states), None, _states(states)
+    for n in range(passes):
+        sums = stage(expectation(blocks, p, words).groupBy("row", "key").agg(
+            *[F.sum(c).cast("float").alias(c) for c in names]), folder, f"expected-{n}")
+        if n:
+            remove(blocks.sparkSession, f"{folder}/expected-{n - 1}")
+        words = sums.filter("row = 0").drop("row")
+        per_class = words.groupBy(class_of().alias("cls")).agg(*[F.sum(c).alias(c) for c in names], F.count("*").alias("v")).toPandas()
+        by_class, v = np.zeros((CLASSES + 1, states)), np.zeros(CLASSES + 1)
+        by_class[per_class["cls"]], v[per_class["cls"]] = per_class[names].to_numpy(), per_class["v"]
+        start, move = np.zeros((2, states)), np.zeros((states, states))
+        for r in sums.filter("row < 0").collect():
+            val = [r[c] for c in names]
+            if r["row"] >= -2:
+                start[-1 - r["row"]] = val
+            else:
+                move[-3 - r["row"]] = val
+        p = maximise_words(start, move, by_class, v)
+    return p, words
 
 
 def log_forward(obs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, p: Params) -> np.ndarray:
@@ -290,41 +347,48 @@ def log_forward(obs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, p: Param
     return out
 
 
+def _forget(spark, name: str) -> None:
+    """Drop the catalog's entry of the blocks at exit; their folder is removed by ``scratch``."""
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception as e:  # noqa: BLE001
+        print(f"table {name} not dropped: {type(e).__name__}")
+
+
 def score(docs: DataFrame, folder: str, states: int = STATES, passes: int = PASSES) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``
     for every row of ``docs`` (doc_id, text, held_out); learns from the rows
     that are not held out. ``base_score`` is the add-one unigram model."""
-    blocks = stage(make_blocks(docs), folder, "blocks")
+    spark, name = docs.sparkSession, f"llm_blocks_{uuid.uuid4().hex}"
+    # Bucketed, so that no pass shuffles the blocks.
+    (make_blocks(docs).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").sortBy("block")
+     .option("path", f"{folder}/blocks").format("parquet").saveAsTable(name))
+    atexit.register(_forget, spark, name)
+    blocks = spark.table(name)
     counts = stage(blocks.select(F.inline(F.arrays_zip("key", "train"))).filter("train > 0")
                    .groupBy("key").agg(F.sum("train").alias("c")), folder, "counts")
-    end = int(np.array([xxhash.xxh64_intdigest(END)], np.uint64).view(np.int64)[0])
-    # unsigned remainder, as classes_of: CLASSES divides 2^64
-    cls = F.when(F.col("key") == end, CLASSES).otherwise(F.pmod("key", F.lit(CLASSES)))
-    per_class = counts.groupBy(cls.alias("cls")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()
-    n_cls, v_cls = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
-    n_cls[per_class["cls"]], v_cls[per_class["cls"]] = per_class["n"], per_class["v"]
-    total, distinct = int(per_class["n"].sum()), int(per_class["v"].sum())
-    p = train(blocks, states, passes)
-    known = (blocks.select("block", F.posexplode("key").alias("pos", "key")).join(counts, "key").select("block", "pos", "c").toDF("of_block", "pos", "c"))
+    size = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    total, distinct = int(size["n"] or 0), int(size["v"])
+    p, words = train(blocks, folder, states, passes)
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         r = left.iloc[0]
         keys = np.asarray(r["key"], np.int64)
-        c = np.zeros(len(keys))
+        c, e = np.zeros(len(keys)), np.zeros((len(keys), states))
         c[right["pos"].to_numpy()] = right["c"].to_numpy()
-        classes, tokens, sizes = classes_of(keys), np.frombuffer(r["tokens"], "<i4"), np.frombuffer(r["lengths"], "<i8")
+        e[right["pos"].to_numpy()] = right[_states(states)].fillna(0.0).to_numpy()
+        tokens, sizes = np.frombuffer(r["tokens"], "<i4"), np.frombuffer(r["lengths"], "<i8")
         starts = np.concatenate(([0], sizes.cumsum()[:-1]))
         base = np.log10((c + 1) / (total + distinct + 1))
-        inner = np.log10((c + 1) / (n_cls[classes] + v_cls[classes] + 1))
-        inner[0] = 0.0                                       # the end class holds one token only
-        both = np.add.reduceat(np.stack([base, inner, c > 0], axis=1)[tokens], starts, axis=0)
+        both = np.add.reduceat(np.stack([base, c > 0], axis=1)[tokens], starts, axis=0)
+        q = Params(p.start, p.move, emissions(p, classes_of(keys), e))
         ids = pd.Series(np.frombuffer(r["ids"], "<i8")).astype("Int64")
         ids[np.frombuffer(r["null_id"], bool)] = pd.NA
         return pd.DataFrame({
             "doc_id": ids, "held_out": np.frombuffer(r["held"], bool), "n_tokens": sizes,
-            "n_known": both[:, 2].astype(np.int64), "train_tokens": total, "base_score": both[:, 0],
-            "score": both[:, 1] + log_forward(classes[tokens], starts, sizes, p) / LOG10})
+            "n_known": both[:, 1].astype(np.int64), "train_tokens": total, "base_score": both[:, 0],
+            "score": log_forward(tokens, starts, sizes, q) / LOG10})
 
-    return (blocks.drop("train", "seed").groupBy("block").cogroup(known.groupBy("of_block")).applyInPandas(
+    return (with_words(blocks, counts.join(words, "key", "left")).applyInPandas(
         finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
                 "base_score double, score double"))

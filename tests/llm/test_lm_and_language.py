@@ -70,6 +70,36 @@ def test_lm_hard_rows(spark, hard, folder):
     assert {(r["n_known"], r["train_tokens"]) for r in none} == {(0, 0)}
 
 
+def test_states_know_words_of_one_class(spark, folder):
+    """Topics that differ, for four words of five, by words of the same class only."""
+    rng = np.random.default_rng(0)
+    by_class = {}
+    for i in range(12_000):
+        key = np.array([0, hmm_lm.xxhash.xxh64_intdigest(f"w{i}".encode())], np.uint64).view(np.int64)
+        by_class.setdefault(int(hmm_lm.classes_of(key)[1]), []).append(f"w{i}")
+    pairs = [v for v in by_class.values() if len(v) == 2][:40]
+    own = [[f"{t}{i}" for i in range(10)] for t in "ab"]
+    rows = []
+    for i in range(400):
+        t = i % 2
+        words = [own[t][rng.integers(10)] if rng.random() < 0.2 else pairs[rng.integers(40)][t] for _ in range(256)]
+        rows.append((i, " ".join(words), i >= 360))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, held_out boolean")
+    out = [r for r in hmm_lm.score(docs, folder).collect() if r["held_out"]]
+    gain = sum(r["score"] - r["base_score"] for r in out) / sum(r["n_tokens"] for r in out)
+    assert gain > 0.2
+
+
+def test_word_probabilities_of_a_state_add_up_to_one():
+    rng = np.random.default_rng(1)
+    k, cls = 3, np.concatenate([rng.integers(0, 50, 200), [hmm_lm.CLASSES]])
+    e, by_class = rng.random((201, k)), np.zeros((hmm_lm.CLASSES + 1, k))
+    np.add.at(by_class, cls, e)
+    p = hmm_lm.maximise_words(rng.random((2, k)), rng.random((k, k)), by_class, np.bincount(cls, minlength=hmm_lm.CLASSES + 1))
+    unseen = hmm_lm.emissions(p, cls[:1], np.zeros((1, k)))[0]
+    assert np.allclose(hmm_lm.emissions(p, cls, e).sum(0) + unseen, 1)
+
+
 def test_language_accuracy(spark, docs):
     got = queries.op2_language_id(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in got) > 0.95 * len(got)
