@@ -8,8 +8,9 @@ repeat. A document is rejected if its squared distance exceeds ``CUT``.
 
 All steps are aggregates by cell with partial sums (quantiles by
 ``percentile_approx``, of bounded size), so a hot cell costs no single task.
-Cells with fewer than ``MIN_ROWS`` documents are pooled by language, then all
-together; a pool that is still smaller rejects nothing.
+Cells with fewer than ``MIN_ROWS`` documents are pooled by language; those of
+a pool that is still smaller are judged by an estimate over all documents.
+Fewer than ``MIN_ROWS`` documents in all reject nothing.
 
 Edge cases: a null text has no words (``base_failed``); null language or
 source is a cell of its own; repeated rows count as often as they occur; an
@@ -152,7 +153,11 @@ def estimates(got: DataFrame, folder: str, min_rows: int = MIN_ROWS) -> DataFram
         "_lang", "_source",
         F.when((F.col("count") >= min_rows) | (F.col("_pool") >= min_rows), F.col("_lang")).otherwise("*").alias("g1"),
         F.when(F.col("count") >= min_rows, F.col("_source")).otherwise("*").alias("g2")), folder, "keys")
-    est = fit(passed.join(cells, ["_lang", "_source"]).select("g1", "g2", *[f"x{i}" for i in range(DIM)]), folder)
+    x = [f"x{i}" for i in range(DIM)]
+    rows = passed.join(cells.filter("g1 <> '*'"), ["_lang", "_source"]).select("g1", "g2", *x)
+    if not cells.filter("g1 = '*'").isEmpty():
+        rows = rows.union(passed.select(F.lit("*"), F.lit("*"), *x))
+    est = fit(rows, folder)
     return stage(cells.join(est, ["g1", "g2"]), folder, "params")
 
 

@@ -67,6 +67,17 @@ def test_quality_hard_rows(spark, hard, folder):
     assert quality_rules.quality(hard.limit(0), scratch(spark)).count() == 0
 
 
+def test_rare_languages_are_judged_by_all_documents(spark, folder):
+    """Twenty documents of a rare language are too few for an estimate of their own."""
+    got = spark.range(520).selectExpr(
+        "id AS doc_id", "if(id < 500, '=en', '=xx') AS _lang", "'=a' AS _source", "bigint(200 + id % 90) AS n_words",
+        "bigint(1000 + id % 70) AS word_chars", "if(id = 519, 900L, id % 3) AS n_symbols", "0L AS n_dup_lines", "id % 4 AS n_repeat_words",
+        "false AS base_failed")
+    rows = quality_rules.judge(got, quality_rules.estimates(got, folder), ["doc_id"]).collect()
+    assert all(r["distance"] is not None for r in rows)
+    assert [r["doc_id"] for r in rows if not r["kept"]] == [519]
+
+
 def test_no_python_in_quality_plan(spark, docs, folder):
     plan = quality_rules.quality(docs, folder)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
