@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, hmm_lm, jaccard_join, language_id, nn_descent, packing, quality_rules, tool_calls, toxicity,
-               warc)
+from . import (bpe, hmm_lm, jaccard_join, language_id, nn_descent, packing, phrase_graph, quality_rules, secret_scan,
+               tool_calls, toxicity, vector_trie, warc)
 from .common import held_out, scratch
 
 
@@ -102,8 +102,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op11_vector_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_trie.compress(_table(spark, sf_dir, "embeddings"), scratch(spark))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(vector_trie.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_phrase_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_graph.phrases(_table(spark, sf_dir, "documents"), scratch(spark))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_lm_scoring, op2_language_id, op3_ngram_jaccard_join, op4_toxicity, op5_quality_rules, op6_byte_bpe, op7_warc,
-    op8_tool_calls, op9_embedding_near_dedup, op10_packing)}
+    op8_tool_calls, op9_embedding_near_dedup, op10_packing, op11_vector_trie, op12_phrase_graph, op13_secret_scan)}
 
 ORACLE: dict[str, str] = {}
