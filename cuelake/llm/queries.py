@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import (bpe, hmm_lm, jaccard_join, language_id, nn_descent, packing, phrase_graph, quality_rules, secret_scan,
                tool_calls, toxicity, vector_trie, warc)
 from .common import held_out, scratch
+from .oracle import ORACLE  # noqa: F401
 
 
 def _tokenizer(name: str) -> str:
@@ -118,5 +119,3 @@ def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_lm_scoring, op2_language_id, op3_ngram_jaccard_join, op4_toxicity, op5_quality_rules, op6_byte_bpe, op7_warc,
     op8_tool_calls, op9_embedding_near_dedup, op10_packing, op11_vector_trie, op12_phrase_graph, op13_secret_scan)}
-
-ORACLE: dict[str, str] = {}

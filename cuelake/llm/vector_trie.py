@@ -62,8 +62,10 @@ def scaled(vectors: DataFrame, vec: str = "embedding", scale: int = SCALE) -> Da
 def start(rows: DataFrame, vec_id: str = "vec_id", entries: int = ENTRIES) -> np.ndarray:
     """The first codebooks (part, entry, position) from ``scaled`` rows: a
     top-k of fixed size."""
-    first = (rows.filter(F.col(vec_id).isNotNull()).groupBy(F.col(vec_id).alias("i")).agg(F.min("_v").alias("v"))
-             .orderBy("i").limit(entries).collect())
+    ids = [r[0] for r in rows.select(vec_id).filter(F.col(vec_id).isNotNull()).distinct().orderBy(vec_id).limit(entries).collect()]
+    if not ids:
+        return np.zeros((0, 0, 0), np.int64)
+    first = rows.filter(F.col(vec_id).isin(ids)).groupBy(F.col(vec_id).alias("i")).agg(F.min("_v").alias("v")).collect()
     books = np.array([r["v"] for r in sorted(first, key=lambda r: r["i"])], dtype=np.int64)
     return books.reshape(len(first), PARTS, -1).transpose(1, 0, 2)
 
