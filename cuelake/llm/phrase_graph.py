@@ -56,7 +56,7 @@ PERCENT = 50
 TOP = 2000
 BITS = 27
 #: Bytes of text that are worked on at once (a longer text is one block).
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 # Byte classes: 0 part of a word, 1 blank, 2 end of a piece.
 _CLASS = np.zeros(256, np.uint8)
