@@ -8,13 +8,13 @@ what passes through a phrase of k words is the flow of its extensions by one
 word, plus the phrases of k words that a piece end cut short.
 
 An exact filter keeps the counted phrases few. A first pass adds up the
-numbers of adjacent word pairs by hash bucket; a pair in a bucket whose sum
-is under ``least`` occurs less than ``least`` times, and so does every phrase
-that holds it. At such a pair the second pass ends the phrase as at a piece
-end. Flows of all phrases without such a pair stay exact, and no other can
-be a candidate or a part of one. The filter is a bitmap of ``2 ** bits`` bits
-(16 MB), whatever the corpus; a fuller one passes more phrases and changes no
-result.
+numbers of words and of adjacent pairs by hash bucket; what is in a bucket
+whose sum is under ``least`` occurs less than ``least`` times, and so does
+every phrase that holds it. At such a pair the second pass ends the phrase as
+at a piece end, and it counts such words together, without their names. Flows
+of all other phrases stay exact, and none of these can be a candidate or a
+part of one. The filter is a bitmap of ``2 ** bits`` bits (16 MB), whatever
+the corpus; a fuller one passes more phrases and changes no result.
 
 Edges of at least ``least`` form the graph that is compacted: a node whose
 whole flow comes in by one edge and leaves by one is merged with them. The
@@ -27,8 +27,8 @@ holds it occurs at least ``percent`` percent as often; one word more is
 enough to look at, as counts fall with length. The score is that of the
 worst cut in two, in exact decimals.
 
-Hot phrases are summed before every shuffle; the ranking passes on at most
-``top`` rows of a language from each task.
+Hot phrases are summed before every shuffle; a language is ranked in shares
+first, and only the ``top`` of each share meet.
 
 Edge cases: null texts have no words; null languages count as ``und``; words
 are any characters but blanks and piece ends; long texts and pieces are read
@@ -54,6 +54,7 @@ MAX_WORDS = 3
 LEAST = 10
 PERCENT = 50
 TOP = 2000
+SHARES = 32
 BITS = 27
 #: Bytes of text that are worked on at once (a longer text is one block).
 BLOCK = 1 << 19
@@ -134,26 +135,29 @@ def _blocks(batches, powers: list) -> Iterator[tuple[str, Words, np.ndarray]]:
         yield block(lang, texts)
 
 
-def _pairs(lang: str, words: Words, h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each word but the last: whether the next is of the same piece, and the bucket of the pair."""
+def _buckets(lang: str, words: Words, h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bucket of each word; for each word but the last, whether the next
+    is of the same piece, and the bucket of the pair."""
     salt = np.uint64((zlib.crc32(lang.encode()) * 0x9E3779B1 + 1) & (2**64 - 1))
+    one = (h ^ salt) * np.uint64(0xC2B2AE3D27D4EB4F)
     x = (h[:-1] * np.uint64(3) + salt) ^ (h[1:] * np.uint64(0xA0761D6478BD642F))
     x ^= x >> np.uint64(29)
-    return words.piece[:-1] == words.piece[1:], (x * _MIX) >> np.uint64(64 - bits)
+    down = np.uint64(64 - bits)
+    return (one ^ (one >> np.uint64(31))) * _MIX >> down, words.piece[:-1] == words.piece[1:], (x * _MIX) >> down
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def pair_filter(docs: DataFrame, least: int, bits: int = BITS) -> np.ndarray:
-    """Bitmap (64-bit words) of the buckets whose pairs add up to ``least``."""
+def word_filter(docs: DataFrame, least: int, bits: int = BITS) -> np.ndarray:
+    """Bitmap (64-bit words) of the buckets whose words and pairs add up to ``least``."""
     def count(batches):
         powers = [_powers(2 * BLOCK)]
         for lang, words, h in _blocks(batches, powers):
-            if len(h) > 1:
-                same, bucket = _pairs(lang, words, h, bits)
-                found, n = np.unique(bucket[same].astype(np.int32), return_counts=True)
+            if len(h):
+                one, same, pair = _buckets(lang, words, h, bits)
+                found, n = np.unique(np.concatenate((one, pair[same])).astype(np.int32), return_counts=True)
                 yield pa.record_batch([pa.array(found), pa.array(n, pa.int64())], names=["bucket", "n"])
 
     sums = _texts(docs).mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
@@ -167,22 +171,28 @@ def pair_filter(docs: DataFrame, least: int, bits: int = BITS) -> np.ndarray:
 
 def longest(docs: DataFrame, bitmap: np.ndarray, max_words: int = MAX_WORDS, bits: int = BITS) -> DataFrame:
     """(lang, phrase, n): how often each phrase is the longest, of at most
-    ``max_words`` words, that begins at a word and holds no rare pair."""
+    ``max_words`` words, that begins at a word and holds no rare pair. The
+    empty phrase stands for all rare words."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
+    def known(bucket):
+        return ((shared.value[bucket >> np.uint64(6)] >> (bucket & np.uint64(63))) & np.uint64(1)).astype(bool)
+
     def count(batches):
         powers = [_powers(2 * BLOCK)]
         for lang, words, h in _blocks(batches, powers):
             if not len(h):
                 continue
-            same, bucket = _pairs(lang, words, h, bits)
-            goes_on = same & ((shared.value[bucket >> np.uint64(6)] >> (bucket & np.uint64(63))) & np.uint64(1)).astype(bool)
-            goes_on = np.concatenate((goes_on, np.zeros(max_words, bool)))
+            one, same, pair = _buckets(lang, words, h, bits)
+            goes_on = np.concatenate((same & known(pair), np.zeros(max_words, bool)))
             last, on = np.arange(len(h)), np.ones(len(h), bool)
             for k in range(max_words - 1):
                 on &= goes_on[k:k + len(h)]
                 last += on
-            table = pa.table({"phrase": words.strings(np.arange(len(h)), last)}).group_by("phrase").aggregate([([], "count_all")])
+            first = np.flatnonzero(known(one))
+            if len(first) < len(h):
+                yield pa.record_batch([pa.array([lang]), pa.array([""]), pa.array([len(h) - len(first)])], names=["lang", "phrase", "n"])
+            table = pa.table({"phrase": words.strings(first, last[first])}).group_by("phrase").aggregate([([], "count_all")])
             for b in table.to_batches():
                 yield pa.record_batch([pa.array([lang] * b.num_rows), b.column("phrase").cast(pa.string()), b.column("count_all")],
                                       names=["lang", "phrase", "n"])
@@ -206,7 +216,7 @@ class Graph:
 
     def __init__(self, docs: DataFrame, folder: str, max_words: int = MAX_WORDS, least: int = LEAST, bits: int = BITS):
         self.folder, self.max_words = folder, max_words
-        edges = stage(longest(docs, pair_filter(docs, least, bits), max_words, bits).withColumn("k", _size("phrase")), folder, "longest")
+        edges = stage(longest(docs, word_filter(docs, least, bits), max_words, bits).withColumn("k", _size("phrase")), folder, "longest")
         flow = edges.filter(F.col("k") == max_words).select("lang", "phrase", "n")
         levels = [flow]
         for k in range(max_words - 1, 0, -1):
@@ -215,7 +225,7 @@ class Graph:
                          .groupBy("lang", "phrase").agg(F.sum("n").alias("n")), folder, f"flow-{k}")
             levels.append(flow)
         self.totals = stage(flow.groupBy("lang").agg(F.sum("n").alias("n")), folder, "totals")
-        frequent = [f.filter(F.col("n") >= least).select("lang", F.lit(max_words - i).alias("k"), "phrase", "n") for i, f in enumerate(levels)]
+        frequent = [f.filter((F.col("n") >= least) & (F.col("phrase") != "")).select("lang", F.lit(max_words - i).alias("k"), "phrase", "n") for i, f in enumerate(levels)]
         counts = frequent[0]
         for f in frequent[1:]:
             counts = counts.union(f)
@@ -294,6 +304,9 @@ def phrases(docs: DataFrame, folder: str, max_words: int = MAX_WORDS, least: int
             .join(count.withColumnsRenamed({"phrase": "_r", "n": "r"}), ["lang", "_r"]))
     worst = (cuts.select("lang", "phrase", "a", F.struct(score().alias("score"), "cut", "l", "r").alias("c"))
              .groupBy("lang", "phrase", "a").agg(F.min("c").alias("c")).select("lang", "phrase", "a", "c.l", "c.r", "c.score"))
-    rank = F.expr("row_number() over (partition by lang order by score desc, a desc, phrase)")
-    ranked = worst.withColumn("rank", rank).filter(F.col("rank") <= top)
+    # First within shares of a language, so that the last task of a language gets SHARES * top rows at most.
+    order = "order by score desc, a desc, phrase"
+    worst = (worst.withColumn("_share", F.expr(f"row_number() over (partition by lang, pmod(xxhash64(phrase), {SHARES}) {order})"))
+             .filter(F.col("_share") <= top))
+    ranked = worst.withColumn("rank", F.expr(f"row_number() over (partition by lang {order})")).filter(F.col("rank") <= top)
     return ranked.join(graph.totals, "lang").select("lang", F.col("rank").cast("bigint"), "phrase", "a", "l", "r", "n", "score")
