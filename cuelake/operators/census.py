@@ -273,9 +273,9 @@ def year_audit(signed: DataFrame) -> DataFrame:
     )
 
 
-def overall_record(overall_df: DataFrame, per_year_df: DataFrame, lo: int = YEAR_MIN,
-                   hi: int = YEAR_MAX) -> DataFrame:
-    """A7 as the nested overall record: the totals, the sorted year list,
+def overall_record(overall_df: DataFrame, per_year_df: DataFrame, input_dir: str = "", output_dir: str = "",
+                   lo: int = YEAR_MIN, hi: int = YEAR_MAX) -> DataFrame:
+    """A7 as the nested overall record: the folders, the totals, the sorted year list,
     per-year raw and unique maps, the year window and the year audit. The
     maps hold at most one entry per year of the window (a proven bound)."""
     years = per_year_df.select(F.struct(
@@ -285,6 +285,7 @@ def overall_record(overall_df: DataFrame, per_year_df: DataFrame, lo: int = YEAR
     )).scalar()
     audit = ["date_valid", "fallback_file", "unknown", "date_out_of_range"]
     return overall_df.select(
+        F.lit(input_dir).alias("input_dir"), F.lit(output_dir).alias("output_dir"),
         *[c for c in overall_df.columns if c not in audit],
         *[years[k].alias(k) for k in ("years", "per_year_raw", "per_year_unique")],
         F.struct(F.lit(lo).alias("min"), F.lit(hi).alias("max")).alias("year_window"),

@@ -47,8 +47,9 @@ def rollup_sources(rows: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataF
 
     err = T.is_blank(F.col("error")) if "error" in cols else F.lit(True)
     latest = latest_runs(rows)
+    place = [F.max("run_file").alias("_file")] if "run_file" in cols else []
     agg = latest.rollup("source").agg(
-        F.max("run_id").alias("_ts"),
+        F.max("run_id").alias("_ts"), *place,
         F.count(F.lit(1)).cast("bigint").alias("n_items"),
         F.count_if(~err).cast("bigint").alias("errors"),
         *[F.sum(num(c)).cast("bigint").alias(c) for c in wanted],
@@ -57,6 +58,7 @@ def rollup_sources(rows: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataF
     total = F.col("_g") == 1
     return agg.select(
         F.when(total, F.lit(TOTAL_LABEL)).otherwise(F.col("source")).alias("source"),
+        *([F.when(total, F.lit(TOTAL_TIMESTAMP)).otherwise(F.col("_file")).alias("file")] if place else []),
         F.when(total, F.lit(TOTAL_TIMESTAMP)).otherwise(F.col("_ts")).alias("timestamp"),
         "n_items",
         "errors",
@@ -79,7 +81,7 @@ def summary_record(summary: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> Da
     """The same as one nested record: ``sources`` (array) and ``overall``."""
     body = [F.col("n_items"), F.col("errors"), F.struct(*[F.col(f"sum_{c}").alias(c) for c in lexicon.names]).alias("totals"),
             F.struct(*EXTRA_COLUMNS).alias("extras")]
-    one = F.struct("source", "timestamp", *body)
+    one = F.struct("source", *(["file"] if "file" in summary.columns else []), "timestamp", *body)
     total = F.col("source") == TOTAL_LABEL
     placed = F.struct(_place(F.col("source")).alias("p"), one.alias("r"))
     return summary.agg(

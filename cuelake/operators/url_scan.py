@@ -5,7 +5,7 @@ source choice (C5), URL features (U1-U7) and merged cue totals (C4).
 Scale notes: de-duplication is one ``groupBy(apex)`` with an algebraic
 ``min(struct)`` (map-side combine, a hot apex costs nothing); sampling is a
 distributed top-k (TakeOrderedAndProject); with a limit the crawl side is
-semi-joined against the broadcast sample (<= limit rows, a proven bound)
+semi-joined against the sample (broadcast up to ``SMALL_SAMPLE`` rows)
 before the left join, so a 100 TB crawl is never shuffled for 50 URLs.
 """
 
@@ -72,7 +72,8 @@ def sample_urls(urls: DataFrame, limit: int | None = None, random_pick: bool = T
     use_hash = F.lit(bool(random_pick)) & (total > F.lit(limit))
     keyed = urls.select("row_idx", "url", F.when(use_hash, hash_key).otherwise(F.lit("")).alias("_k"))
     picked = keyed.orderBy("_k", "row_idx").limit(int(limit))
-    # <= limit rows: a single-partition row number is bounded here.
+    if limit > SMALL_SAMPLE:
+        return dense_index(picked.withColumn("_o", F.struct("_k", "row_idx")), "_o", "n").select("n", "row_idx", "url")
     w = Window.orderBy("_k", "row_idx")
     return picked.select(F.row_number().over(w).cast("bigint").alias("n"), "row_idx", "url")
 
@@ -95,10 +96,20 @@ def crawl_table(pages: DataFrame) -> DataFrame:
     )
 
 
+#: Sampled URLs up to this number are broadcast and numbered in one task.
+SMALL_SAMPLE = 10_000
+
+
 def attach_pages(urls: DataFrame, crawl: DataFrame | None, fetch: str = "get",
-                 bounded: bool = False) -> DataFrame:
+                 limit: int | None = None) -> DataFrame:
     """URL rows left-joined to their stored page (first row per URL).
 
+    Only pages of listed URLs go on: with a ``limit`` of at most
+    ``SMALL_SAMPLE`` URLs these are broadcast into the crawl's scan. The first
+    page of a URL is picked by a window limit (before the shuffle as well) on
+    the narrow columns; HTML is in no aggregate and moves once at most, as
+    semi-join, window and left join share one partitioning.
+
     Adds status, redirects, final_url, error and page text (T11; only for
     'get' and an html content type). ``fetch='off'`` joins nothing.
     """
@@ -113,12 +124,13 @@ def attach_pages(urls: DataFrame, crawl: DataFrame | None, fetch: str = "get",
             F.lit("").alias("page_text"),
         )
     c = crawl_table(crawl)
-    if bounded:
-        # The URL side has at most `limit` rows: broadcast it into the crawl scan.
-        c = c.join(F.broadcast(urls.select("url").distinct()), "url", "left_semi")
+    listed = urls.select("url").distinct()
+    c = c.join(F.broadcast(listed) if limit and limit <= SMALL_SAMPLE else listed, "url", "left_semi")
     # Ties of final_url go by the other columns, so the order of rows doesn't matter.
-    rest = [x for x in c.columns if x not in ("url", "final_url")]
-    one = c.groupBy("url").agg(F.min(F.struct("final_url", *rest)).alias("pg"))
+    rest = [x for x in c.columns if x not in ("url", "html")]
+    first = Window.partitionBy("url").orderBy(*rest, F.md5(F.coalesce("html", F.lit("")).cast("binary")))
+    one = (c.withColumn("_rank", F.row_number().over(first)).where("_rank = 1")
+           .select("url", F.struct(*rest, "html").alias("pg")))
     j = urls.join(one, "url", "left")
     is_html = F.lower(F.coalesce(F.col("pg.content_type"), F.lit(""))).contains("text/html")
     text = page_text(F.col("pg.html"), F.col("pg.final_url")) if fetch == "get" else F.lit("")
@@ -167,5 +179,5 @@ def url_scan(url_rows: DataFrame, crawl: DataFrame | None, limit: int | None = N
              fetch: str = "get", lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
     """The whole URL job over (row_idx, url) rows of a URL list (after S5)."""
     picked = sample_urls(dedupe_by_apex(url_rows, dedupe), limit, random_pick, seed)
-    fetched = attach_pages(picked, crawl, fetch, bounded=bool(limit))
+    fetched = attach_pages(picked, crawl, fetch, limit)
     return score_urls(fetched, lexicon)

@@ -258,7 +258,7 @@ WITH {D.URL_LIST_SQL}, {_URLS_NORM_SQL}, {D.CRAWL_SQL},
 @register("page_cues", _PAGE_CUES_SQL)
 def page_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = _url_rows(spark, sf_dir)
-    fetched = US.attach_pages(urls, D.crawl(spark, sf_dir), "get", bounded=False)
+    fetched = US.attach_pages(urls, D.crawl(spark, sf_dir), "get")
     return US.score_urls(fetched, LEX).drop("url")
 
 
@@ -639,3 +639,6 @@ SELECT path, category, phrase, n FROM lc WHERE n > 0
 def cue_phrase_counts_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     shots = D.screenshots(spark, sf_dir).where(F.col("ocr_text").isNotNull())
     return phrase_counts_long(shots, ["path"], "ocr_text", LEX, merged=True)
+
+
+from . import stored  # noqa: E402, F401  (registers its queries)

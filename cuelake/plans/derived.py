@@ -256,3 +256,53 @@ crawl AS (
          || '<a href="/s">{"long " * 50}<b>' || phrases || '</b></a>' AS html
   FROM phrased
 )"""
+
+
+# --- the e-mail rows as a CSV corpus of four kinds of header ---------------------------------
+#: kind -> (header cells, e-mail columns of the cells). A BOM, padded and repeated names, and a
+#: header without a body name occur; of repeated names the last column holds the value.
+CSV_HEADERS = [
+    (["subject", "from", "from_domain", "to", "date", "body_snippet", "sanitized_body"],
+     ["subject", "from", "from_domain", "to", "date", "body_snippet", "sanitized_body"]),
+    ([" Title ", "from", "date", "Message", "BODY_HTML"], ["subject", "from", "date", "body_snippet", "sanitized_body"]),
+    (["id", "date", "from", "subject", "notes", "extra"], ["row_idx", "date", "from", "subject", "body_snippet", "to"]),
+    (["﻿subj", "payload", "from", "payload"], ["subject", "to", "from", "body_snippet"]),
+]
+
+
+def box_name(file_name: Column) -> Column:
+    return F.concat(F.regexp_replace(file_name, "[.]csv$", ""), F.lit(" é+box"))
+
+
+def write_mail_corpus(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """The e-mail rows as CSV files, one per kind (``row_idx % 4``) and box,
+    in the order of ``row_idx``. The header is each file's first record."""
+    e = emails(spark, sf_dir).withColumn("box", box_name(F.col("file_name")))
+    for kind, (header, columns) in enumerate(CSV_HEADERS):
+        own = e.where(F.col("row_idx") % len(CSV_HEADERS) == kind)
+        cells = own.select("box", F.col("row_idx").alias("_o"), *[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
+        first = own.select("box").distinct().select("box", F.lit(-1).cast("bigint").alias("_o"), *[
+            F.lit(h).alias(f"c{i}") for i, h in enumerate(header)])
+        (first.union(cells).repartition("box").sortWithinPartitions("box", "_o").drop("_o")
+         .write.partitionBy("box").option("escape", '"').option("ignoreLeadingWhiteSpace", "false")
+         .option("ignoreTrailingWhiteSpace", "false").csv(f"{root}/kind={kind}"))
+
+
+MAIL_CORPUS_SQL = EMAILS_SQL + """,
+corpus AS (
+  SELECT doc_kind AS kind, box, CAST(row_number() OVER (PARTITION BY doc_kind, box ORDER BY doc) AS BIGINT) AS row_idx, *
+    EXCLUDE (doc_kind, box)
+  FROM (SELECT row_idx AS doc, row_idx % 4 AS doc_kind, replace(file_name, '.csv', '') || ' é+box' AS box, * EXCLUDE (row_idx) FROM emails)
+)"""
+
+
+def write_url_csv(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The URL list as one CSV file whose padded ``Url`` header is repeated."""
+    u = url_list(spark, sf_dir)
+    text = lambda c: F.col(c).cast("string")
+    rows = u.select(text("url_id").alias("c0"), F.concat(F.lit("not this: "), text("url_id")).alias("c1"), F.lit("-").alias("c2"),
+                    F.col("url").alias("c3"), F.col("url_id").alias("_o"))
+    header = spark.range(1).select(*[F.lit(h).alias(f"c{i}") for i, h in enumerate(["id", " Url ", "note", " Url "])],
+                                   F.lit(-1).cast("bigint").alias("_o"))
+    (header.union(rows).coalesce(1).sortWithinPartitions("_o").drop("_o").write.option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))

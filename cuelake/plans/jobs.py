@@ -1,8 +1,8 @@
 """Runner (R1): e-mails -> screenshots -> URLs -> summary, and the census.
 
 Each job reads its inputs, runs one Spark plan and writes its outputs under
-``<out_root>/<source>_<kind>/run_id=<run_id>``; a missing input skips that job. The
-summary reads the jobs' flat CSV outputs back (files are the contract between
+``<out_root>/<source>_<kind>/run_id=<run_id>``; a missing input skips that job. A
+scan is staged once and all its sinks read that. The summary reads the jobs' flat CSV outputs back (files are the contract between
 jobs) and keeps the latest run of each source.
 """
 
@@ -20,6 +20,7 @@ from ..operators import images as IM
 from ..operators import mail as ML
 from ..operators import summary as SM
 from ..operators import url_scan as US
+from ..session import new_folder
 from ..sources import csv_corpus as C
 from ..sources import sinks as K
 
@@ -42,6 +43,8 @@ class RunConfig:
     url_dedupe: str = "apex"
     url_fetch: str = "get"
     lexicon: Lexicon = DEFAULT_LEXICON
+    #: Rows and errors of each scan, filled in by the jobs.
+    metrics: dict[str, dict[str, int]] = field(default_factory=dict)
 
 
 def _exists(spark: SparkSession, path: str | None) -> bool:
@@ -54,7 +57,7 @@ def email_job(spark: SparkSession, cfg: RunConfig) -> DataFrame | None:
     rows, headers = C.read_corpus(spark, cfg.emails_root)
     scan = ML.finish_scan(C.scan_frame(rows), cfg.lexicon)
     bad = C.unreadable_files(spark, cfg.emails_root, headers)
-    scan = scan.unionByName(bad, allowMissingColumns=True)
+    scan, cfg.metrics["emails"] = K.staged(scan.unionByName(bad, allowMissingColumns=True), new_folder(spark, "emails"))
     K.nested_json(K.scan_records(scan, cfg.lexicon), K.run_path(cfg.out_root, "emails", cfg.run_id, "json"))
     K.flat_csv(scan.drop("status", "to"), K.run_path(cfg.out_root, "emails", cfg.run_id))
     return scan
@@ -63,20 +66,21 @@ def email_job(spark: SparkSession, cfg: RunConfig) -> DataFrame | None:
 def screenshot_job(spark: SparkSession, cfg: RunConfig) -> DataFrame | None:
     if not _exists(spark, cfg.screenshots):
         return None
-    scan = IM.screenshot_scan(spark.read.parquet(cfg.screenshots), cfg.lexicon)
+    scan, cfg.metrics["images"] = K.staged(
+        IM.screenshot_scan(spark.read.parquet(cfg.screenshots), cfg.lexicon), new_folder(spark, "images"))
     K.nested_json(K.scan_records(scan, cfg.lexicon, meta=False), K.run_path(cfg.out_root, "images", cfg.run_id, "json"))
     K.flat_csv(scan.drop("status"), K.run_path(cfg.out_root, "images", cfg.run_id))
     return scan
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame | None:
-    """The first column named 'url' (any case/padding), U1, empties dropped."""
-    df = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
-    name = next((c for c in df.columns if c.strip().lower() == "url"), None)
-    if name is None:
+    """The first column named 'url' (any case/padding; of repeated headers
+    the last one's values), U1, empties dropped. None without such a column."""
+    rows, headers = C.read_corpus(spark, path, "*", balance=False, columns=("header",))
+    if headers.filter(C.first_like("url").isNotNull()).isEmpty():
         return None
-    df = df.select(F.col(f"`{name}`").alias("url"), F.monotonically_increasing_id().alias("row_idx"))
-    return US.url_table(df, "url", "row_idx")
+    url = F.coalesce(F.try_element_at(F.col("vals"), C.first_like("url")), F.lit(""))
+    return US.url_table(rows.select(url.alias("url"), "row_idx"), "url", "row_idx")
 
 
 def url_job(spark: SparkSession, cfg: RunConfig) -> DataFrame | None:
@@ -90,7 +94,8 @@ def url_job(spark: SparkSession, cfg: RunConfig) -> DataFrame | None:
     picked = US.sample_urls(US.dedupe_by_apex(urls, cfg.url_dedupe), cfg.url_limit, cfg.url_random, cfg.url_seed)
     picked = picked.checkpoint(eager=True)   # the sample is reused by two writers
     K.text_lines(picked.orderBy("n"), "url", K.run_path(cfg.out_root, "urls", cfg.run_id, "urls_used"))
-    rows = US.score_urls(US.attach_pages(picked, crawl, fetch, bounded=bool(cfg.url_limit)), cfg.lexicon)
+    rows, cfg.metrics["urls"] = K.staged(
+        US.score_urls(US.attach_pages(picked, crawl, fetch, limit=cfg.url_limit), cfg.lexicon), new_folder(spark, "urls"))
     K.flat_csv(rows.drop("row_idx"), K.run_path(cfg.out_root, "urls", cfg.run_id), clean_newlines=False)
     K.nested_json(rows.drop("row_idx"), K.run_path(cfg.out_root, "urls", cfg.run_id, "json"))
     return rows
@@ -99,12 +104,9 @@ def url_job(spark: SparkSession, cfg: RunConfig) -> DataFrame | None:
 def summary_job(spark: SparkSession, cfg: RunConfig) -> DataFrame | None:
     frames = []
     for source in SM.SOURCES:
-        base = f"{cfg.out_root.rstrip('/')}/{source}_csv"
-        if not _exists(spark, base):
-            continue
-        df = spark.read.option("header", "true").option("escape", '"').option("multiLine", "true").csv(base)
-        frames.append(df.select(F.lit(source).alias("source"), *[
-            F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]))
+        df = K.read_latest(spark, cfg.out_root, source)
+        if df is not None:
+            frames.append(df.withColumn("source", F.lit(source)))
     if not frames:
         return None
     summary = SM.rollup_sources(SM.union_sources(frames), cfg.lexicon)
@@ -137,5 +139,6 @@ def census_job(spark: SparkSession, emails_root: str, out_root: str, run_id: str
     K.flat_csv(rep.per_file.orderBy("file"), K.run_path(out_root, "census", rid, "files_summary"))
     K.flat_csv(rep.top_duplicates, K.run_path(out_root, "census", rid, "duplicates_top"))
     K.flat_csv(rep.unique_examples, K.run_path(out_root, "census", rid, "unique_examples"))
-    K.nested_json(CS.overall_record(rep.overall, rep.per_year), K.run_path(out_root, "census", rid, "overall"))
+    record = CS.overall_record(rep.overall, rep.per_year, emails_root, out_root)
+    K.nested_json(record, K.run_path(out_root, "census", rid, "overall"))
     return rep

@@ -35,16 +35,27 @@ def _exists(spark: SparkSession, root: str) -> bool:
 
 
 def list_files(spark: SparkSession, root: str, glob: str = SCAN_GLOB) -> DataFrame:
-    """Every matching file (also empty ones): file, file_name, length.
-    A missing root gives an empty table."""
+    """Every matching file, zero-byte ones included: file, file_name,
+    length. A missing root gives an empty table.
+
+    A scan leaves files without bytes out, so the paths come from the file
+    index that the driver holds for any read, the lengths from a scan of the
+    files' metadata."""
     schema = StructType([StructField("file", StringType()), StructField("file_name", StringType()),
                          StructField("length", LongType())])
     if not _exists(spark, root):
         return spark.createDataFrame([], schema)
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-          .option("pathGlobFilter", glob).load(root))
-    return df.select(F.col("path").alias("file"), F.regexp_extract("path", "[^/]*$", 0).alias("file_name"),
-                     F.col("length").cast("bigint"))
+
+    def files(fmt: str) -> DataFrame:
+        return spark.read.format(fmt).option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+
+    listed = spark.createDataFrame([(p,) for p in files("text").inputFiles()], "value string")
+    # The index writes local paths as file:///, the scans as file:/.
+    path = F.regexp_replace(F.url_decode(F.replace(F.col("value"), F.lit("+"), F.lit("%2B"))), "^file:///", "file:/")
+    lengths = files("binaryFile").select(F.col("path").alias("file"), "length")
+    return (listed.select(path.alias("file")).join(lengths, "file", "left")
+            .select("file", F.regexp_extract("file", "[^/]*$", 0).alias("file_name"),
+                    F.coalesce("length", F.lit(0)).cast("bigint").alias("length")))
 
 
 def _raw(spark: SparkSession, root: str, glob: str, width: int) -> DataFrame:
@@ -113,8 +124,10 @@ def corpus_rows(spark: SparkSession, root: str, glob: str = SCAN_GLOB,
 
 
 def read_corpus(spark: SparkSession, root: str, glob: str = SCAN_GLOB,
-                max_columns: int | None = None, balance: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(rows, headers): the data records and the per-file header table.
+                max_columns: int | None = None, balance: bool = True,
+                columns: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(rows, headers): the data records and the per-file header table
+    (``file`` and ``columns``).
 
     A multi-line CSV file is parsed by one task, so one file holding a third
     of the corpus would make that task do a third of all the regex work
@@ -133,7 +146,7 @@ def read_corpus(spark: SparkSession, root: str, glob: str = SCAN_GLOB,
             "file", "file_name", "row_idx", F.array().cast("array<string>").alias("header"),
             F.array().cast("array<string>").alias("vals"),
             *[F.array().cast("array<int>").alias(c) for c in ("subj_pos", "body_pos", "html_pos")],
-        ), spark.createDataFrame([], "file string")
+        ), spark.createDataFrame([], "file string, header array<string>").select("file", *columns)
     rec = _records(spark, root, glob, max_columns or header_width(spark, root, glob))
     hdr = rec.groupBy("file").agg(F.min_by("vals", "_mid").alias("_h"), F.min("_mid").alias("_mid0"))
     hdr = hdr.select(
@@ -153,20 +166,33 @@ def read_corpus(spark: SparkSession, root: str, glob: str = SCAN_GLOB,
         .otherwise(body).alias("body_pos"),
         html.alias("html_pos"),
     )
-    n_files = len(rec.inputFiles())
+    n_files = len(rec._jdf.inputFiles())
     hdr_side = F.broadcast(hdr) if n_files <= BROADCAST_FILES else hdr
     rows = rec.join(hdr_side, "file").where(F.col("_mid") > F.col("_mid0")).select(
         "file", "file_name", (F.col("_mid") - F.col("_mid0")).alias("row_idx"), "header", "vals",
         "subj_pos", "body_pos", "html_pos")
     if balance:
         rows = reusable(rows)
-    return rows, hdr.select("file")
+    return rows, hdr.select("file", *columns)
+
+
+def _last(name: Column) -> Column:
+    """Position of the last header cell that spells ``name`` (0: none): of
+    repeated headers the last one gives the value, as in a dict per record."""
+    back = F.array_position(F.reverse(F.col("header")), name)
+    return F.when(back > 0, F.size("header") + 1 - back).otherwise(0).cast("int")
 
 
 def value_of(name: str) -> Column:
-    """Value under the exact header ``name`` ('' when absent or short row)."""
-    pos = F.array_position(F.col("header"), F.lit(name))
-    return F.when(pos > 0, F.coalesce(F.try_element_at(F.col("vals"), pos.cast("int")), F.lit("")))
+    """Value under the exact header ``name`` (NULL when absent, '' in a short row)."""
+    pos = _last(F.lit(name))
+    return F.when(pos > 0, F.coalesce(F.try_element_at(F.col("vals"), pos), F.lit("")))
+
+
+def first_like(name: str) -> Column:
+    """Position of the value under the first header equal to ``name`` after
+    strip and lower-casing (NULL when there is none)."""
+    return F.try_element_at(_positions([name]), F.lit(1))
 
 
 def named_columns(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -176,10 +202,13 @@ def named_columns(rows: DataFrame, names: list[str]) -> DataFrame:
 
 def _positions(keys: list[str] | None = None, exclude: list[str] | None = None) -> Column:
     idx = F.sequence(F.lit(1), F.greatest(F.size("header"), F.lit(1)))
-    low = lambda i: F.lower(T.py_strip(F.try_element_at(F.col("header"), i)))
+    at = lambda i: F.try_element_at(F.col("header"), i)
+    low = lambda i: F.lower(T.py_strip(at(i)))
     if keys is not None:
-        return F.filter(idx, lambda i: low(i).isin(*keys))
-    return F.filter(idx, lambda i: ~F.coalesce(low(i).isin(*exclude), F.lit(True)))
+        found = F.filter(idx, lambda i: low(i).isin(*keys))
+    else:
+        found = F.filter(idx, lambda i: ~F.coalesce(low(i).isin(*exclude), F.lit(True)))
+    return F.transform(found, lambda i: _last(at(i)))
 
 
 def _pick(pos: Column) -> Column:

@@ -6,7 +6,7 @@ so a later job finds every run by partition discovery (S11).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -19,6 +19,37 @@ def run_path(root: str, source: str, run_id: str, kind: str = "csv") -> str:
     return f"{root.rstrip('/')}/{source}_{kind}/run_id={run_id}"
 
 
+def staged(scan: DataFrame, path: str) -> tuple[DataFrame, dict[str, int]]:
+    """Write a scan once and read it back, so that any number of sinks share
+    one pass over the inputs; rows and errors are counted in that pass."""
+    seen = Observation()
+    error = F.coalesce(F.col("error"), F.lit(""))
+    scan.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(error != "").alias("errors")).write.parquet(path)
+    return scan.sparkSession.read.schema(scan.schema).parquet(path), seen.get
+
+
+def latest_run(spark: SparkSession, base: str) -> str | None:
+    """The greatest run id among the folders ``<base>/run_id=...``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return None
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    return max((n.removeprefix("run_id=") for n in names if n.startswith("run_id=")), default=None)
+
+
+def read_latest(spark: SparkSession, root: str, source: str) -> DataFrame | None:
+    """The flat CSV of a source's latest run, all columns as text, with
+    ``run_id`` and ``run_file`` (the run's folder). No older run is read."""
+    base = f"{root.rstrip('/')}/{source}_csv"
+    run = latest_run(spark, base)
+    if run is None:
+        return None
+    path = run_path(root, source, run)
+    df = spark.read.option("header", "true").option("escape", '"').option("multiLine", "true").csv(path)
+    return df.select("*", F.lit(run).alias("run_id"), F.lit(path).alias("run_file"))
+
+
 def flat_csv(df: DataFrame, path: str, clean_newlines: bool = True) -> None:
     """A flat CSV with header; CR and LF inside text values become one
     space each (e-mail and image tables; the URL table keeps them)."""

@@ -30,17 +30,31 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "
     return r.load(path)
 
 
+def scan_of(source: DataFrame, kind: str, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
+    """``kind`` is 'mail' (named e-mail columns plus ``path``) or
+    'screenshots' (path, ocr_text, error)."""
+    if kind == "mail":
+        return mail_scan(source, lexicon=lexicon)
+    if kind == "screenshots":
+        return screenshot_scan(source, lexicon)
+    raise ValueError(f"unknown scan kind: {kind}")
+
+
+def run_available(spark: SparkSession, source: DataFrame, kind: str, sink_path: str, checkpoint: str,
+                  sink_format: str = "parquet", lexicon: Lexicon = DEFAULT_LEXICON) -> None:
+    """Scan what has arrived since the last run with this checkpoint, then end.
+    Interrupted, the next run goes on where the checkpoint stands; a file
+    sink's log shows every row once."""
+    query = (scan_of(source, kind, lexicon).writeStream.outputMode("append").format(sink_format)
+             .option("checkpointLocation", checkpoint).option("path", sink_path).trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
 def start_scan(spark: SparkSession, source: DataFrame, kind: str, sink_path: str, name: str,
                sink_format: str = "parquet", lexicon: Lexicon = DEFAULT_LEXICON,
                trigger_seconds: int | None = None) -> StreamingQuery:
-    """Start an append-mode scan: ``kind`` is 'mail' (named e-mail columns
-    plus ``path``) or 'screenshots' (path, ocr_text, error)."""
-    if kind == "mail":
-        out = mail_scan(source, lexicon=lexicon)
-    elif kind == "screenshots":
-        out = screenshot_scan(source, lexicon)
-    else:
-        raise ValueError(f"unknown scan kind: {kind}")
+    """Start an append-mode scan that runs until it is stopped."""
+    out = scan_of(source, kind, lexicon)
     ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
     w = (out.writeStream.queryName(name).outputMode("append").format(sink_format)
          .option("checkpointLocation", ckpt))

@@ -79,7 +79,7 @@ def test_corpus_rows_and_roles(spark):
     assert not any("skip.txt" in k or "header_only" in k for k in scan)
     listing = C.list_files(spark, root).collect()
     assert sorted(os.path.basename(x["file"]) for x in listing) == sorted(
-        ["mail-2019.csv", "Other.CSV", "bytes.csv", "header_only.csv", "fallback.csv"])  # 0-byte files unlisted
+        ["mail-2019.csv", "Other.CSV", "bytes.csv", "header_only.csv", "fallback.csv", "empty.csv"])
     assert C.unreadable_files(spark, root, headers).count() == 0
     census_listing = C.list_files(spark, root, C.CENSUS_GLOB).collect()
     assert "Other.CSV" not in [os.path.basename(x["file"]) for x in census_listing]
@@ -103,3 +103,20 @@ def test_wide_headers_lose_no_column(spark, tmp_path):
     (tmp_path / "wide.csv").unlink()
     r = C.scan_frame(C.corpus_rows(spark, str(tmp_path))).collect()
     assert [(x["subject_raw"], x["raw_text"]) for x in r] == [("hi", "login now")]
+
+
+def test_repeated_headers_take_the_last_value(spark, tmp_path):
+    """As a dict per record: of equal names the last column, a short row leaves it empty."""
+    (tmp_path / "m.csv").write_text("subject,body,subject,Body\nfirst,one,last,two\nfirst,one\n")
+    r = C.scan_frame(C.corpus_rows(spark, str(tmp_path))).orderBy("path").collect()
+    assert [(x["subject_raw"], x["raw_text"]) for x in r] == [("last", "one\ntwo"), ("", "one")]
+
+
+def test_url_list_with_repeated_headers(spark, tmp_path):
+    from cuelake.plans.jobs import read_url_list
+
+    for header, want in (("url,URL", "http://a.com"), ("url,url", "http://b.com"), ("x, Url ", "http://b.com"), ("x,y", None)):
+        path = tmp_path / f"{abs(hash(header))}.csv"
+        path.write_text(f"{header}\na.com,b.com\n")
+        got = read_url_list(spark, str(path))
+        assert (got and [r["url"] for r in got.collect()]) == (want and [want])

@@ -55,11 +55,26 @@ def test_run_all_and_census(spark):
     assert int(first["sum_consistency_commitment"]) >= 2
     rep = J.census_job(spark, emails, out, "20250101_000000")
     ov = rep.overall.first()
-    assert ov["files_scanned"] == 4 and ov["rows_total"] == 5   # census glob is case-sensitive
+    assert ov["files_scanned"] == 5 and ov["rows_total"] == 5   # a zero-byte file counts; the census glob is case-sensitive
     assert ov["date_valid"] + ov["fallback_file"] + ov["unknown"] == ov["email_like_rows"]
     assert ov["unique_emails"] <= ov["email_like_rows"]
     pf = {os.path.basename(r["file"]): r for r in rep.per_file.collect()}
-    assert pf["header_only.csv"]["rows_total"] == 0
+    assert pf["header_only.csv"]["rows_total"] == 0 and pf["empty.csv"]["rows_total"] == 0
+    record = spark.read.json(os.path.join(out, "census_overall")).first()
+    assert record["input_dir"] == emails and record["output_dir"] == out
+    assert all(x["file"].endswith(f"{x['source']}_csv/run_id=20250101_000000") for x in nested["sources"])
+    assert cfg.metrics["images"] == {"rows": 2, "errors": 1} and cfg.metrics["emails"]["rows"] == int(s["emails"]["n_items"])
+
+
+def test_only_the_latest_run_is_read(spark, tmp_path):
+    from cuelake.sources import sinks as K
+
+    for run, n in (("20250101_000000", 3), ("20250102_000000", 2), ("20241231_235959", 9)):
+        K.flat_csv(spark.range(n).selectExpr("id AS sum_urgency", "'' AS error"), K.run_path(str(tmp_path), "emails", run))
+    latest = K.read_latest(spark, str(tmp_path), "emails")
+    assert latest.count() == 2 and {r["run_id"] for r in latest.collect()} == {"20250102_000000"}
+    assert all("run_id=20250102_000000" in f for f in latest.inputFiles())
+    assert K.read_latest(spark, str(tmp_path), "urls") is None
 
 
 def test_image_listing_marks_missing_text(spark):

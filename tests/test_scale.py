@@ -57,3 +57,31 @@ def test_dense_index_many_partitions(spark):
     assert [n for _, n in rows] == list(range(1, len(rows) + 1))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan.split("BroadcastExchange")[0]
+
+
+def test_html_is_in_no_aggregate(spark):
+    """Pages are picked by a window limit on both sides of one shuffle; HTML moves once."""
+    from cuelake.plans import derived as D
+
+    pages = D.site_pages(spark, "/root/testdata/sf0.001")
+    urls = US.url_table(D.url_list(spark, "/root/testdata/sf0.001"), "url", "url_id")
+    plan = _plan(US.attach_pages(urls, pages.select("url", "html"), "get"))
+    final = plan.split("== Initial Plan ==")[0]
+    assert "WindowGroupLimit" in final and not [
+        line for line in final.split("\n") if "Aggregate" in line and "html" in line]
+
+
+def test_page_ties_and_large_samples(spark):
+    crawl = spark.createDataFrame([("http://a.com", "<title>b</title>", "http://z.com"), ("http://a.com", "<title>a</title>", "http://y.com"),
+                                   ("http://a.com", "<title>a</title>", "http://y.com"), ("http://other.com", None, "x")],
+                                  "url string, html string, final_url string")
+    urls = spark.createDataFrame([(1, "http://a.com"), (2, "http://none.com"), (3, "http://a.com")], "row_idx bigint, url string")
+    for limit in (None, 5, US.SMALL_SAMPLE + 1):
+        got = US.attach_pages(urls, crawl, "get", limit).orderBy("row_idx").collect()
+        assert [r["final_url"] for r in got] == ["http://y.com", "", "http://y.com"]
+        assert got[0]["page_text"].startswith("a") and "not in stored crawl" in got[1]["fetch_error"]
+    many = spark.range(20_000).select(F.col("id").alias("row_idx"), F.concat(F.lit("u"), "id").alias("url"))
+    rows = US.sample_urls(many, 15_000).collect()
+    assert sorted(r["n"] for r in rows) == list(range(1, 15_001))
+    few = US.sample_urls(many, 100).collect()
+    assert {(r["n"], r["url"]) for r in few} <= {(r["n"], r["url"]) for r in rows}

@@ -45,3 +45,15 @@ def test_screenshot_stream_helper(spark):
     got = spark.read.parquet(f"{base}/out")
     assert got.count() == shots.count()
     assert got.where("status = 'error'").count() == shots.where("error IS NOT NULL").count()
+
+
+def test_a_restarted_stream_repeats_no_row(spark, tmp_path):
+    from cuelake.streaming.scan import read_stream, run_available
+
+    shots = D.screenshots(spark, SF_SMALL)
+    for part in range(3):
+        shots.where(f"length(path) % 3 = {part}").write.mode("append").parquet(f"{tmp_path}/in")
+        for _ in range(2):      # the second run finds nothing new
+            run_available(spark, read_stream(spark, f"{tmp_path}/in", shots.schema), "screenshots", f"{tmp_path}/out", f"{tmp_path}/ckpt")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.count() == shots.count() and got.select("path").distinct().count() == shots.count()
