@@ -8,8 +8,10 @@ shingles is ``THRESHOLD`` or more. Equal sets are one class from the start.
    no band with probability below 5e-8.
 2. Texts that share a band with another go to blocks: a text's home is the
    least text that it shares a band with, and a home of many texts is salted
-   into blocks of about ``BLOCK`` texts. Two blocks form a unit if a band
-   occurs in both; every pair of texts belongs to one unit at most.
+   into blocks of about ``BLOCK`` texts or ``BLOCK_BYTES`` of shingles. A block
+   is packed into one row. Two blocks form a unit if a band occurs in both;
+   every pair of texts belongs to one unit at most, and a unit is one row that
+   holds both blocks: texts are never repeated row by row.
 3. In a unit, the pairs that share a band are compared 16 MinHash values at a
    time. A pair goes as soon as the posterior probability (uniform prior) of
    reaching the threshold is below ``TOLERANCE``; the rest is verified on the
@@ -30,6 +32,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +46,7 @@ HASHES = BANDS * ROWS
 STEP = 16               # MinHash values compared at a time
 TOLERANCE = 1e-6
 BLOCK = 256
+BLOCK_BYTES = 4 << 20
 
 _RNG = np.random.default_rng(20)
 _MUL = (_RNG.integers(0, 2**32, (HASHES, 1), dtype=np.uint64) | 1).astype(np.uint32)
@@ -161,31 +165,51 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
     return [find(x) for x in range(n)]
 
 
+PACKED = "block bigint, rep binary, copies binary, sig binary, sizes binary, grams binary"
+
+
+def _pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The texts of a block as one row, by ``rep``."""
+    pdf = pdf.sort_values("rep")
+    return pd.DataFrame({
+        "block": [key[0]], "rep": [pdf["rep"].to_numpy(np.int64).tobytes()], "copies": [pdf["copies"].to_numpy(np.int64).tobytes()],
+        "sig": [b"".join(pdf["sig"])], "sizes": [np.array([len(g) // 8 for g in pdf["grams"]], np.int64).tobytes()],
+        "grams": [b"".join(pdf["grams"])]})
+
+
+def _unpack(row: dict, end: str = "") -> tuple:
+    rep, copies, sizes = (np.frombuffer(row[c + end], np.int64) for c in ("rep", "copies", "sizes"))
+    sig = np.frombuffer(row["sig" + end], np.uint32).reshape(len(rep), HASHES)
+    return rep, copies, sig, np.stack([bands(x) for x in sig]), np.split(np.frombuffer(row["grams" + end], np.uint64), sizes.cumsum()[:-1])
+
+
 def _verifier(threshold: float):
+    """Units (a packed block, and another one or nulls) to one row per linked text."""
     least = least_matches(threshold)
 
-    def verify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "rep"], ignore_index=True)
-        n_a = int((pdf["side"] == 0).sum())
-        same = n_a == len(pdf)
-        sig = np.stack([np.frombuffer(x, np.uint32) for x in pdf["sig"]])
-        keys = np.stack([bands(s) for s in sig])
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["grams"]]
-        b = slice(0 if same else n_a, None)
-        i, j = unit_links(sig[:n_a], sig[b], keys[:n_a], keys[b], sets[:n_a], sets[b], same, threshold, least)
-        j = j if same else j + n_a
-        copies = pdf["copies"].to_numpy()
-        links = np.bincount(i, weights=copies[j], minlength=len(pdf)) + np.bincount(j, weights=copies[i], minlength=len(pdf))
-        root = np.array(roots(len(pdf), i, j))
-        rep = pdf["rep"].to_numpy()
-        low = pd.Series(rep).groupby(root).transform("min").to_numpy()
-        some = links > 0
-        return pd.DataFrame({"rep": rep[some], "links": links[some].astype(np.int64), "root": low[some]})
+    def verify(batches):
+        for batch in batches:
+            for n in range(batch.num_rows):
+                row = {c: batch.column(c)[n].as_py() for c in batch.schema.names}
+                rep, copies, sig, keys, sets = left = _unpack(row)
+                same = row["rep_2"] is None
+                rep_b, copies_b, sig_b, keys_b, sets_b = left if same else _unpack(row, "_2")
+                i, j = unit_links(sig, sig_b, keys, keys_b, sets, sets_b, same, threshold, least)
+                if not same:
+                    j = j + len(rep)
+                    rep, copies = np.concatenate((rep, rep_b)), np.concatenate((copies, copies_b))
+                links = np.bincount(i, weights=copies[j], minlength=len(rep)) + np.bincount(j, weights=copies[i], minlength=len(rep))
+                root = np.array(roots(len(rep), i, j))
+                low = pd.Series(rep).groupby(root).transform("min").to_numpy()
+                some = links > 0
+                yield pa.record_batch([pa.array(rep[some]), pa.array(links[some].astype(np.int64)), pa.array(low[some])],
+                                      names=["rep", "links", "root"])
 
     return verify
 
 
-def join(docs: DataFrame, folder: str, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def join(docs: DataFrame, folder: str, threshold: float = THRESHOLD, block: int = BLOCK,
+         block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``docs`` (doc_id, text, ...) as struct ``row`` next to
     ``doc_id``, ``class_id`` (least doc_id of the class), ``n_links`` (other
     rows whose text is linked with the row's) and ``kept`` (one row per class).
@@ -204,22 +228,25 @@ def join(docs: DataFrame, folder: str, threshold: float = THRESHOLD, block: int
     hits = stage(keyed.join(shared, "key"), folder, "hits")
     home = hits.groupBy("rep").agg(F.min("lead").alias("home"))
     home = stage(home, folder, "homes")
-    parts = home.groupBy("home").agg(F.ceil(F.count("*") / block).alias("parts"))
+    # A shingle has 8 bytes and a word about six characters with its blank.
+    size = rows.select(F.col("_rid").alias("rep"), (HASHES * 4 + F.length("text") * 4 / 3).alias("bytes"))
+    parts = home.join(size, "rep").groupBy("home").agg(
+        F.ceil(F.greatest(F.count("*") / block, F.sum("bytes") / block_bytes)).alias("parts"))
     blocks = stage(home.join(parts, "home").select(
         "rep", F.xxhash64("home", F.pmod(F.xxhash64("rep"), "parts")).alias("block")), folder, "blocks")
     at = hits.join(blocks, "rep").select("key", "block").distinct()
     at = stage(at, folder, "band-blocks")
     pairs = (at.join(at.select("key", F.col("block").alias("other")), "key").filter("block < other")
              .select("block", "other").distinct())
-    own = blocks.groupBy("block").count().filter("count > 1").select("block", F.col("block").alias("other"))
-    units = stage(pairs.union(own), folder, "units")
-    members = (units.select("block", "other", F.posexplode(F.array_distinct(F.array("block", "other"))).alias("side", "b"))
-               .join(blocks.select("rep", F.col("block").alias("b")), "b").select("block", "other", "side", "rep"))
     texts = (rows.select("_rid", "text").join(
         blocks.join(classes, "rep").select(F.col("rep").alias("_rid"), "copies"), "_rid"))
     sets = map_batches(texts.select("_rid", "copies", "text"), _sets, "rep bigint, copies bigint, sig binary, grams binary")
-    found = stage(members.join(sets, "rep").groupBy("block", "other").applyInPandas(
-        _verifier(threshold), "rep bigint, links bigint, root bigint"), folder, "links")
+    packed = stage(sets.join(blocks, "rep").groupBy("block").applyInPandas(_pack, PACKED), folder, "packed")
+    second = packed.select(F.col("block").alias("other"), *[F.col(c).alias(f"{c}_2") for c in packed.columns[1:]])
+    none = [F.lit(None).cast("binary").alias(c) for c in second.columns[1:]]
+    units = (packed.join(stage(pairs, folder, "units"), "block").join(second, "other").drop("block", "other")
+             .union(packed.filter(F.length("rep") > 8).select(*packed.columns[1:], *none)))
+    found = stage(units.mapInArrow(_verifier(threshold), "rep bigint, links bigint, root bigint"), folder, "links")
     comp = components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), folder)
     per_class = (classes.join(found.groupBy(F.col("rep").alias("id")).agg(F.sum("links").alias("links")),
                               F.col("rep") == F.col("id"), "left").drop("id")
