@@ -101,16 +101,17 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True    # their strings are ordinary text
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         letters, digits = _latin("L"), _latin("N")
         self.beyond = re.compile(r"[^\x00-\u017f]").search
         self.words = re.compile(rf"[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d|[{digits}]|[^\s{letters}{digits}]+").findall
         self.cache = Cache(CACHE_WORDS)
 
     def plain(self, text: str) -> bool:
-        """Latin letters in composed form, and none of the characters that are
-        white space to one regular expression library only."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f\x85\xa0"):
+        """Latin letters in composed form, none of the characters that are
+        white space to one regular expression library only, and no added
+        token (whose string is one id wherever it stands)."""
+        if any(c in text for c in "\x1c\x1d\x1e\x1f\x85\xa0") or any(a in text for a in self.added):
             return False
         try:
             text.encode("latin-1")

@@ -118,7 +118,8 @@ def fit(rows: DataFrame, folder: str, share: float = SHARE, steps: int = STEPS)
     est = stage(_with_factor(est, keys), folder, "start")
     for n in range(steps):
         near = rows.join(est, keys).withColumn("d2", _distance())
-        cut = near.groupBy(*keys).agg(F.percentile_approx("d2", share, 10000).alias("cut"))
+        # Written, so that its size is known and it is broadcast if small: a hot cell stays spread over the tasks.
+        cut = stage(near.groupBy(*keys).agg(F.percentile_approx("d2", share, 10000).alias("cut")), folder, f"cut-{n}")
         sums = (near.select(*keys, "d2", *[f"x{i}" for i in range(DIM)]).join(cut, keys).filter("d2 <= cut")
                 .groupBy(*keys).agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(DIM)],
                                     *[F.covar_pop(f"x{i}", f"x{j}").alias(f"v{i}{j}") for i, j in _PAIRS]))
@@ -138,7 +139,9 @@ def _cell() -> list[Column]:
 
 def counted(docs: DataFrame, carry: list[str]) -> DataFrame:
     """``carry``, the cell, the counts and ``base_failed`` of every row."""
-    got = docs.select(*carry, *_cell(), counts().alias("_s")).select(*carry, "_lang", "_source", "_s.*")
+    # Numbered rows keep a later filter on the counts above this projection: counts are computed once.
+    number = F.monotonically_increasing_id().alias("_n")
+    got = docs.select(*carry, *_cell(), counts().alias("_s"), number).select(*carry, "_lang", "_source", "_s.*", "_n")
     return got.withColumn("base_failed", base_failed())
 
 
@@ -185,4 +188,5 @@ def kept_rows(docs: DataFrame, folder: str) -> DataFrame:
     shuffled."""
     narrow = stage(counted(docs, []), folder, "counts")
     rows = docs.select("text", "lang", "source", F.struct("*").alias("_row"))
-    return judge(counted(rows, ["_row"]), estimates(narrow, folder), ["_row"]).filter("kept").select("_row.*")
+    judged = judge(counted(rows, ["_row"]), estimates(narrow, folder), ["_row", "_n"])
+    return judged.filter("kept and _n >= 0").select("_row.*")

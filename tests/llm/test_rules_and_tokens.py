@@ -145,7 +145,6 @@ def check_pieces(rows, pieces):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(WORD_FILE)
-    tok.encode_special_tokens = True
     ids = [(r["doc_id"], tok.encode(r["text"] or "", add_special_tokens=False).ids + [2]) for r in rows]
     want = Counter((i, s, len(x[s:s + 4096]), zlib.crc32(np.array(x[s:s + 4096], "<u4").tobytes()), len(x))
                    for i, x in ids for s in range(0, len(x), 4096))
@@ -174,3 +173,16 @@ def test_packing(spark, docs, hard):
 def test_word_ids_any_text(text):
     ids = packing.word_ids(WORD_FILE)
     assert np.frombuffer(ids(text), "<u4").tolist() == ids.tok.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", ["hello <|endoftext|> world", "<|startoftext|>a b", "<|ENDOFTEXT|> x", "<|endoftext|>" * 3, "a<|endoftext|", "é <|startoftext|> 中"])
+def test_added_tokens_as_the_library(text):
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(WORD_FILE).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.word_ids(WORD_FILE)(text), "<u4").tolist() == want
+
+
+def test_kept_rows_count_each_text_once(spark, docs, folder):
+    plan = quality_rules.kept_rows(docs, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("n_dup_lines,") == 1
