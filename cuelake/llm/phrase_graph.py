@@ -42,6 +42,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -242,29 +243,37 @@ class Graph:
         into = longer.groupBy("lang", _first("phrase", -k).alias("phrase")).agg(F.max("n").alias("n_in"), F.max_by("phrase", "n").alias("p_in"))
         return self.level(k).join(out, ["lang", "phrase"], "left").join(into, ["lang", "phrase"], "left")
 
+    @cached_property
     def nodes(self) -> DataFrame:
         """The nodes, and whether each is ``unary``: all its flow comes by one edge and leaves by one."""
-        return self.incident(self.max_words - 1).withColumn(
-            "unary", F.coalesce((F.col("n_in") == F.col("n")) & (F.col("n_out") == F.col("n")), F.lit(False)))
+        unary = F.coalesce((F.col("n_in") == F.col("n")) & (F.col("n_out") == F.col("n")), F.lit(False))
+        return stage(self.incident(self.max_words - 1).withColumn("unary", unary), self.folder, "nodes")
 
     def paths(self) -> DataFrame:
         """The edges of the compacted graph: (lang, words, n). Each is a
         maximal chain of edges over unary nodes; all occur ``n`` times."""
         size = self.max_words - 1
-        nodes = stage(self.nodes(), self.folder, "nodes")
-        before = nodes.filter("unary").select("lang", F.col("phrase").alias("_u"), F.col("p_in").alias("_to"))
-        edges = self.level(self.max_words).withColumn("_u", _first("phrase", size))
-        state = stage(edges.join(before, ["lang", "_u"], "left").select(
-            "lang", "phrase", "n", F.coalesce("_to", "phrase").alias("head"), F.col("_to").isNotNull().cast("bigint").alias("place")),
-            self.folder, "path-0")
-        rounds = 0
-        # Every edge jumps to its predecessor's predecessor: chains need as many rounds as their length has bits.
-        while not state.filter("place > 0").join(state.filter("place > 0").select("lang", F.col("phrase").alias("head")),
-                                                 ["lang", "head"], "left_semi").isEmpty():
+        before = self.nodes.filter("unary").select("lang", F.col("phrase").alias("_u"), F.col("p_in").alias("head"))
+        edges = stage(self.level(self.max_words).withColumn("_u", _first("phrase", size)).join(before, ["lang", "_u"], "left")
+                      .select("lang", "phrase", "n", "head", F.lit(1).cast("bigint").alias("place")), self.folder, "edges")
+        # Edges behind another one jump to its predecessor's predecessor, so chains need as many rounds as their
+        # length has bits; an edge is done when its head has no predecessor. All others take no part.
+        done, ahead, rounds = [], edges.filter("head IS NOT NULL"), 0
+        reach = ahead
+        while not ahead.isEmpty():
+            far = reach.select("lang", F.col("phrase").alias("head"), F.col("head").alias("_h"), F.col("place").alias("_p"))
+            step = stage(ahead.join(far, ["lang", "head"], "left").select(
+                "lang", "phrase", "n", F.coalesce("_h", "head").alias("head"),
+                (F.col("place") + F.coalesce("_p", F.lit(0))).alias("place"), F.col("_h").isNull().alias("ended")), self.folder, f"path-{rounds}")
             rounds += 1
-            far = state.select("lang", F.col("phrase").alias("head"), F.col("head").alias("_h"), F.col("place").alias("_p"))
-            state = stage(state.join(far, ["lang", "head"]).select(
-                "lang", "phrase", "n", F.col("_h").alias("head"), (F.col("place") + F.col("_p")).alias("place")), self.folder, f"path-{rounds}")
+            done.append(step.filter("ended").drop("ended"))
+            ahead = step.filter("not ended").drop("ended")
+            reach = ahead
+            for d in done:
+                reach = reach.union(d)
+        state = edges.filter("head IS NULL").select("lang", "phrase", "n", F.col("phrase").alias("head"), F.lit(0).cast("bigint").alias("place"))
+        for d in done:
+            state = state.union(d)
         path = state.groupBy("lang", "head").agg(
             F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("place", _first("phrase", -1).alias("word")))).alias("_w"))
         return path.select("lang", F.concat(F.split(_first("head", size), " "), F.transform("_w", lambda w: w["word"])).alias("words"), "n")
@@ -278,7 +287,7 @@ class Graph:
         out = [longest]
         for k in range(2, n):
             # Nodes inside a path are as frequent as its edges, so they drop.
-            around = (self.nodes().filter("not unary") if k == n - 1 and percent <= 100 else self.incident(k))
+            around = (self.nodes.filter("not unary") if k == n - 1 and percent <= 100 else self.incident(k))
             most = F.coalesce(F.greatest("n_in", "n_out"), F.lit(0))
             out.append(around.filter(100 * most < percent * F.col("n")).select("lang", "phrase", F.lit(k).alias("k"), F.col("n").alias("a")))
         found = out[0]
