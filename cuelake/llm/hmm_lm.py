@@ -7,8 +7,13 @@ the end token has a class of its own) has in state ``s`` the probability
 
 * ``E`` are the expected counts by word and state, the start vector and the
   transitions those of Baum-Welch. ``PASSES`` passes go over all training
-  tokens. ``E`` stays in a distributed table and meets the blocks by a join on
-  word keys; the driver receives sums by class, ``CLASSES x STATES`` numbers.
+  tokens. The texts lie in blocks, the words in shards (by class). A word that
+  one block alone holds keeps its counts beside that block. For the others
+  each block sends a shard one packed row a pass, and gets the sums back
+  likewise; words are keyed once and numbered since. Counts are held in units
+  of ``UNIT``, as integers: sums don't depend on their order, and the total
+  weights ``Z`` are those of the rounded counts. The driver receives sums by
+  class, ``CLASSES x STATES`` numbers.
   A bounded sample of segments, by classes, gives the first pass its start.
 * ``r(c, s)`` is the share of state ``s`` in the expected counts of the class:
   the back-off of rare words. As in the base, all words that training texts
@@ -38,6 +43,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,9 +60,25 @@ BLOCK_TOKENS = 3_000_000
 SEED_SEGMENTS, SEED_BLOCKS, SEED_ROUNDS = 1500, 12, 40
 LOG10 = math.log(10)
 
+#: Unit of expected counts, and (word, block) pairs of one shard (bounds a task's memory).
+UNIT = 1 / 256
+SHARD_PAIRS, LEAST_SHARDS = 500_000, 16
+
 BLOCK_SCHEMA = ("block bigint, ids binary, null_id binary, held binary, lengths binary, tokens binary, "
                 "key array<bigint>, train array<bigint>, seed binary")
 END = b""       # stands for the end token; no word is empty
+END_KEY = int(np.array([xxhash.xxh64_intdigest(END)], np.uint64).view(np.int64)[0])
+
+
+def pack(a: np.ndarray) -> bytes:
+    """Numbers as compressed planes of their bytes."""
+    a = np.ascontiguousarray(a)
+    return zstandard.ZstdCompressor(level=3).compress(a.reshape(-1, 1).view(np.uint8).T.tobytes())
+
+
+def unpack(b: bytes, dtype: str = "<u8") -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
 def make_blocks(docs: DataFrame) -> DataFrame:
@@ -87,7 +109,7 @@ def make_blocks(docs: DataFrame) -> DataFrame:
             seed = cls[flat[starts[full][:, None] + np.arange(SEGMENT)]] if len(full) else np.zeros((0, SEGMENT))
             row = {"block": [part + n], "ids": [np.array([i or 0 for i in ids], "<i8").tobytes()],
                    "null_id": [np.array([i is None for i in ids], bool).tobytes()], "held": [out.tobytes()],
-                   "lengths": [size.tobytes()], "tokens": [flat.tobytes()], "key": [keys],
+                   "lengths": [size.tobytes()], "tokens": [pack(flat)], "key": [keys],
                    "train": [train.astype(np.int64)], "seed": [seed.astype("<i4").tobytes()]}
             words, ids, held, lengths, tokens = fresh()
             n, total = n + 1, 0
@@ -245,85 +267,159 @@ def maximise_words(start: np.ndarray, move: np.ndarray, by_class: np.ndarray, wo
                   by_class.sum(0) + words @ back + unseen, unseen)
 
 
-def class_of(key: str = "key"):
-    """``classes_of`` as a column: an unsigned remainder, as CLASSES divides 2^64."""
-    end = int(np.array([xxhash.xxh64_intdigest(END)], np.uint64).view(np.int64)[0])
-    return F.when(F.col(key) == end, CLASSES).otherwise(F.pmod(key, F.lit(CLASSES)))
+def layout(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of a block's words by shard and key, and where each shard
+    begins. The shard of a word is its class modulo ``shards``."""
+    shard = classes_of(keys) % shards
+    order = np.lexsort((keys, shard))
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
-def _states(k: int) -> list[str]:
-    return [f"s{j}" for j in range(k)]
+def meet(blocks: DataFrame, shards: int) -> DataFrame:
+    """The blocks' words meet in their shards. A row with ``of_block`` tells a
+    block which of its words (in the order of ``layout``) are shared: held by
+    other blocks too, and by training texts; their numbers in the shard and
+    training counts. A row without has the shard's sums: training tokens,
+    distinct words, and distinct words of each class."""
 
-
-def with_words(blocks: DataFrame, words: DataFrame):
-    """Blocks cogrouped with the rows of ``words`` (key, ..) of their own words.
-    Blocks are bucketed by ``block``: they are not shuffled."""
-    known = blocks.select(F.col("block").alias("of_block"), F.posexplode("key").alias("pos", "key")).join(words, "key").drop("key")
-    return blocks.drop("train", "seed").groupBy("block").cogroup(known.groupBy("of_block"))
-
-
-def expectation(blocks: DataFrame, p: Params, words: DataFrame | None) -> DataFrame:
-    """Expected counts of all training texts under ``p``: ``row, key, s0..``.
-    Row 0 holds words; rows -1 and -2 are the start vectors, -3-s the transitions from s."""
+    def offer(batches):
+        for b in batches:
+            for block, key, count in zip(b["block"], b["key"], b["train"]):
+                keys, count = np.asarray(key, np.int64), np.asarray(count, np.int64)
+                order, at = layout(keys, shards)
+                used = [j for j in range(shards) if at[j] < at[j + 1]]
+                of = [order[at[j]:at[j + 1]] for j in used]
+                yield {"block": [block] * len(used), "shard": used,
+                       "key": [pack(np.diff(keys[o], prepend=0)) for o in of], "train": [pack(count[o]) for o in of]}
+
+    def answer(rows: pd.DataFrame) -> pd.DataFrame:
+        shard = int(rows["shard"].iloc[0])
+        keys = [unpack(k, "<i8").cumsum() for k in rows["key"]]
+        ends = np.cumsum([len(k) for k in keys])
+        words, nth = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.bincount(nth, weights=np.concatenate([unpack(t, "<i8") for t in rows["train"]])).astype(np.int64)
+        shared = (np.bincount(nth) > 1) & (count > 0)
+        number = shared.cumsum() - 1
+        out = []
+        for block, end, k in zip(rows["block"], ends, keys):
+            mine = nth[end - len(k):end]
+            both = mine[shared[mine]]
+            out.append((block, shard, np.packbits(shared[mine]).tobytes(), pack(np.diff(number[both], prepend=0)),
+                        pack(count[both]), None, None, None))
+        known = words[count > 0]
+        cls = np.where(known == END_KEY, CLASSES, known.view(np.uint64) % np.uint64(CLASSES)).astype(np.int64)
+        out.append((None, shard, None, None, None, int(count.sum()), len(known),
+                    np.bincount(cls // shards, minlength=len(range(shard, CLASSES + 1, shards))).tolist()))
+        return pd.DataFrame(out, columns=["of_block", "shard", "flags", "number", "count", "total", "distinct", "by_class"]).astype(
+            {"of_block": "Int64", "total": "Int64", "distinct": "Int64"})
+
+    return (map_batches(blocks.select("block", "key", "train"), offer, "block bigint, shard int, key binary, train binary")
+            .groupBy("shard").applyInPandas(answer, "of_block bigint, shard int, flags binary, number binary, count binary, "
+                                                    "total bigint, distinct bigint, by_class array<bigint>"))
+
+
+class Known:
+    """What a block knows of its words, from the rows it was sent."""
+
+    def __init__(self, keys: np.ndarray, rows: pd.DataFrame, shards: int, k: int):
+        self.order, self.at = layout(keys, shards)
+        self.shared, self.number = np.zeros(len(keys), bool), {}
+        self.count, self.e = np.zeros(len(keys), np.int64), np.zeros((len(keys), k))
+        told = rows["flags"].notna()
+        for shard, flags, number, count in rows.loc[told, ["shard", "flags", "number", "count"]].itertuples(index=False):
+            pos = self.order[self.at[shard]:self.at[shard + 1]]
+            self.shared[pos] = np.unpackbits(np.frombuffer(flags, np.uint8), count=len(pos)).astype(bool)
+            self.number[shard] = number
+            self.count[self.of(shard)] = unpack(count)
+        for shard, e in rows.loc[rows["e"].notna(), ["shard", "e"]].itertuples(index=False):
+            self.e[self.of(shard)] = unpack(e).reshape(k, -1).T * UNIT
+
+    def of(self, shard: int) -> np.ndarray:
+        """Positions of the shared words of a shard; of the block's own words for -1."""
+        if shard < 0:
+            return self.order[~self.shared[self.order]]
+        pos = self.order[self.at[shard]:self.at[shard + 1]]
+        return pos[self.shared[pos]]
+
+
+def expectation(blocks: DataFrame, p: Params, known: DataFrame, shards: int) -> DataFrame:
+    """Expected counts of all training texts under ``p``. ``known``: the rows
+    of ``meet`` for blocks, and with ``e`` those of the pass before. A row of
+    shard -1 has the counts of the words of one block alone, and the start
+    vectors and transitions as one array; the others the counts of shared words
+    by number, and the sums of all words by class."""
     k = p.move.shape[0]
-    schema = "row int, key bigint, " + ", ".join(f"{c} double" for c in _states(k))
 
-    def of_block(held, lengths, tokens, keys, counts) -> dict:
-        size, keys, flat = np.frombuffer(lengths, "<i8"), np.asarray(keys, np.int64), np.frombuffer(tokens, "<i4")
-        e = Expected(k, len(keys))
-        q = Params(p.start, p.move, emissions(p, classes_of(keys), counts))
-        starts, lens, first = segments(np.concatenate(([0], size.cumsum()[:-1])), size, ~np.frombuffer(held, bool))
+    def of_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        r = left.iloc[0]
+        size, keys, flat = np.frombuffer(r["lengths"], "<i8"), np.asarray(r["key"], np.int64), unpack(r["tokens"], "<i4")
+        words, cls, e = Known(keys, right, shards, k), classes_of(keys), Expected(k, len(keys))
+        q = Params(p.start, p.move, emissions(p, cls, words.e))
+        starts, lens, first = segments(np.concatenate(([0], size.cumsum()[:-1])), size, ~np.frombuffer(r["held"], bool))
         order = np.argsort(-lens, kind="stable")
         for i in range(0, len(order), 4096):
             o = order[i:i + 4096]
             at = starts[o][None, :] + np.arange(lens[o[0]])[:, None]
             e.add(flat[np.minimum(at, len(flat) - 1)], lens[o], first[o], q)
-        found = np.flatnonzero(e.emit.any(1))
-        val = np.vstack([e.emit[found], e.start, e.move])
-        return {"row": [0] * len(found) + [-1, -2] + [-3 - j for j in range(k)],
-                "key": keys[found].tolist() + [0] * (2 + k)} | {c: val[:, j].tolist() for j, c in enumerate(_states(k))}
-
-    if words is None:
-        def run(batches):
-            for b in batches:
-                for held, lengths, tokens, keys in zip(b["held"], b["lengths"], b["tokens"], b["key"]):
-                    yield of_block(held, lengths, tokens, keys, None)
-
-        return map_batches(blocks.select("held", "lengths", "tokens", "key"), run, schema)
-
-    def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        r = left.iloc[0]
-        counts = np.zeros((len(r["key"]), k))
-        counts[right["pos"].to_numpy()] = right[_states(k)].to_numpy()
-        return pd.DataFrame(of_block(r["held"], r["lengths"], r["tokens"], r["key"], counts))
-
-    return with_words(blocks, words).applyInPandas(both, schema)
-
-
-def train(blocks: DataFrame, folder: str, states: int = STATES, passes: int = PASSES) -> tuple[Params, DataFrame]:
-    """Parameters, and the expected counts of all training words: ``key, s0..``."""
+        units = np.rint(e.emit / UNIT).astype(np.uint64)
+        by_class = np.stack([np.bincount(cls, weights=units[:, j], minlength=CLASSES + 1) for j in range(k)], axis=1).astype(np.uint64)
+        sums = np.concatenate([e.start.ravel(), e.move.ravel()]).tolist()
+        out = [(r["block"], -1, None, pack(units[words.of(-1)].T), None, sums)]
+        for shard in range(shards):
+            part = by_class[shard::shards]
+            if shard in words.number or part.any():
+                out.append((r["block"], shard, words.number.get(shard), pack(units[words.of(shard)].T), pack(part), None))
+        return pd.DataFrame(out, columns=["of_block", "shard", "number", "e", "by_class", "sums"])
+
+    return (blocks.select("block", "held", "lengths", "tokens", "key").groupBy("block").cogroup(known.groupBy("of_block"))
+            .applyInPandas(of_block, "of_block bigint, shard int, number binary, e binary, by_class binary, sums array<double>"))
+
+
+def add_up(found: DataFrame, k: int) -> DataFrame:
+    """Sums of the shared words, sent back to the blocks; a row without
+    ``of_block`` has the shard's sums by class."""
+
+    def of_shard(rows: pd.DataFrame) -> pd.DataFrame:
+        numbers = [unpack(n).cumsum() if n is not None else np.zeros(0, np.uint64) for n in rows["number"]]
+        total = np.zeros((1 + max((int(n[-1]) for n in numbers if len(n)), default=-1), k), np.uint64)
+        by_class = np.zeros(1, np.uint64)
+        for n, e, part in zip(numbers, rows["e"], rows["by_class"]):
+            total[n.astype(np.int64)] += unpack(e).reshape(k, -1).T
+            by_class = by_class + unpack(part)
+        shard = int(rows["shard"].iloc[0])
+        out = [(block, shard, pack(total[n.astype(np.int64)].T), None) for block, n in zip(rows["of_block"], numbers) if len(n)]
+        return pd.DataFrame([*out, (None, shard, None, pack(by_class))], columns=["of_block", "shard", "e", "by_class"]).astype(
+            {"of_block": "Int64"})
+
+    return found.filter("shard >= 0").groupBy("shard").applyInPandas(of_shard, "of_block bigint, shard int, e binary, by_class binary")
+
+
+def train(blocks: DataFrame, told: DataFrame, v: np.ndarray, shards: int, folder: str, states: int = STATES,
+          passes: int = PASSES) -> tuple[Params, DataFrame]:
+    """Parameters, and what the blocks know of their words. ``told``: the
+    rows of ``meet`` for blocks, ``v``: training words of each class."""
     chosen = [r["block"] for r in blocks.select("block").orderBy(F.xxhash64("block")).limit(SEED_BLOCKS).collect()]
     rows = blocks.filter(F.col("block").isin(chosen)).orderBy("block").select("seed").collect()
     seed = np.concatenate([np.frombuffer(r["seed"], "<i4") for r in rows] or [np.zeros(0, "<i4")]).reshape(-1, SEGMENT)
-    p, words, names = starting_point(seed, states), None, _states(states)
+    p, known = starting_point(seed, states), told.withColumn("e", F.lit(None).cast("binary"))
     for n in range(passes):
-        sums = stage(expectation(blocks, p, words).groupBy("row", "key").agg(
-            *[F.sum(c).cast("float").alias(c) for c in names]), folder, f"expected-{n}")
+        found = stage(expectation(blocks, p, known, shards), folder, f"found-{n}")
+        totals = stage(add_up(found, states), folder, f"totals-{n}")
         if n:
-            remove(blocks.sparkSession, f"{folder}/expected-{n - 1}")
-        words = sums.filter("row = 0").drop("row")
-        per_class = words.groupBy(class_of().alias("cls")).agg(*[F.sum(c).alias(c) for c in names], F.count("*").alias("v")).toPandas()
-        by_class, v = np.zeros((CLASSES + 1, states)), np.zeros(CLASSES + 1)
-        by_class[per_class["cls"]], v[per_class["cls"]] = per_class[names].to_numpy(), per_class["v"]
-        start, move = np.zeros((2, states)), np.zeros((states, states))
-        for r in sums.filter("row < 0").collect():
-            val = [r[c] for c in names]
-            if r["row"] >= -2:
-                start[-1 - r["row"]] = val
-            else:
-                move[-3 - r["row"]] = val
-        p = maximise_words(start, move, by_class, v)
-    return p, words
+            remove(blocks.sparkSession, f"{folder}/found-{n - 1}")
+            remove(blocks.sparkSession, f"{folder}/totals-{n - 1}")
+        by_class = np.zeros((CLASSES + 1, states))
+        for r in totals.filter("of_block IS NULL").collect():
+            by_class[r["shard"]::shards] = unpack(r["by_class"]).reshape(-1, states) * UNIT
+        sums = np.zeros((2 + states) * states)
+        for r in found.filter("shard < 0").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("x")).collect():
+            sums[r["pos"]] = r["x"]
+        sums = sums.reshape(-1, states)
+        p = maximise_words(sums[:2], sums[2:], by_class, v)
+        known = told.unionByName(
+            totals.filter("of_block IS NOT NULL").drop("by_class").unionByName(found.filter("shard < 0").select("of_block", "shard", "e")),
+            allowMissingColumns=True)
+    return p, known
 
 
 def log_forward(obs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, p: Params) -> np.ndarray:
@@ -365,19 +461,21 @@ def score(docs: DataFrame, folder: str, states: int = STATES, passes: int = PASS
      .option("path", f"{folder}/blocks").format("parquet").saveAsTable(name))
     atexit.register(_forget, spark, name)
     blocks = spark.table(name)
-    counts = stage(blocks.select(F.inline(F.arrays_zip("key", "train"))).filter("train > 0")
-                   .groupBy("key").agg(F.sum("train").alias("c")), folder, "counts")
-    size = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    total, distinct = int(size["n"] or 0), int(size["v"])
-    p, words = train(blocks, folder, states, passes)
+    pairs, shards = blocks.agg(F.sum(F.size("key"))).first()[0] or 0, LEAST_SHARDS
+    while shards < CLASSES and pairs > shards * SHARD_PAIRS:
+        shards *= 2
+    words = stage(meet(blocks, shards), folder, "words")
+    total, distinct, v = 0, 0, np.zeros(CLASSES + 1)
+    for r in words.filter("of_block IS NULL").select("shard", "total", "distinct", "by_class").collect():
+        total, distinct, v[r["shard"]::shards] = total + r["total"], distinct + r["distinct"], r["by_class"]
+    p, known = train(blocks, words.filter("of_block IS NOT NULL").drop("total", "distinct", "by_class"), v, shards, folder, states, passes)
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         r = left.iloc[0]
         keys = np.asarray(r["key"], np.int64)
-        c, e = np.zeros(len(keys)), np.zeros((len(keys), states))
-        c[right["pos"].to_numpy()] = right["c"].to_numpy()
-        e[right["pos"].to_numpy()] = right[_states(states)].fillna(0.0).to_numpy()
-        tokens, sizes = np.frombuffer(r["tokens"], "<i4"), np.frombuffer(r["lengths"], "<i8")
+        mine = Known(keys, right, shards, states)
+        c, e = np.where(mine.shared, mine.count, r["train"]), mine.e
+        tokens, sizes = unpack(r["tokens"], "<i4"), np.frombuffer(r["lengths"], "<i8")
         starts = np.concatenate(([0], sizes.cumsum()[:-1]))
         base = np.log10((c + 1) / (total + distinct + 1))
         both = np.add.reduceat(np.stack([base, c > 0], axis=1)[tokens], starts, axis=0)
@@ -389,6 +487,6 @@ def score(docs: DataFrame, folder: str, states: int = STATES, passes: int = PASS
             "n_known": both[:, 1].astype(np.int64), "train_tokens": total, "base_score": both[:, 0],
             "score": log_forward(tokens, starts, sizes, q) / LOG10})
 
-    return (with_words(blocks, counts.join(words, "key", "left")).applyInPandas(
+    return (blocks.drop("seed").groupBy("block").cogroup(known.groupBy("of_block")).applyInPandas(
         finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
                 "base_score double, score double"))
