@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions import mime
 from ..functions import text as T
 from ..functions.cues import add_category_totals
 from ..functions.lexicon import (
@@ -77,13 +78,16 @@ def _decode_mime_udf(s: pd.Series) -> pd.Series:
 def decode_mime(subject: Column) -> Column:
     """RFC 2047 words decoded.
 
-    A Python UDF is evaluated for every row of its batch, whatever condition
-    surrounds it, so only values holding an encoded word (``=?``) are passed;
-    every other row sends a NULL (one bit in the Arrow batch) and keeps its
-    value JVM-side."""
-    encoded = subject.contains("=?")
-    decoded = _decode_mime_udf(F.when(encoded, subject))
-    return F.when(encoded, decoded).otherwise(subject)
+    Column functions decode UTF-8, ASCII and the single-byte charsets. The
+    Python library sees what they don't cover: multi-byte East Asian charsets,
+    folded headers, malformed words. A Python UDF is evaluated for every row of
+    its batch, whatever condition surrounds it, so all other rows send a NULL
+    (one bit in the Arrow batch) and keep their value JVM-side."""
+    encoded = subject.contains("=?") & subject.rlike(mime.WORD)
+    direct = encoded & mime.covered(subject)
+    rest = encoded & ~mime.covered(subject)
+    return (F.when(direct, mime.decode_words(subject)).when(rest, _decode_mime_udf(F.when(rest, subject)))
+            .otherwise(subject))
 
 
 def scan_frame(df: DataFrame, roles: Roles | None = None, path: Column | None = None) -> DataFrame:

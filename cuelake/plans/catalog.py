@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.cues import add_category_totals, phrase_counts_long
 from ..functions.lexicon import DEFAULT_LEXICON, EXTRA_COLUMNS
+from ..operators.mail import decode_mime
 from . import derived as D
 from . import oracle as O
 
@@ -641,4 +642,40 @@ def cue_phrase_counts_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_counts_long(shots, ["path"], "ocr_text", LEX, merged=True)
 
 
+# --- T6: encoded words; the oracle knows the plain text that was encoded ------------------------
+@register("mime_subjects", r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, CAST(doc_id AS VARCHAR) AS id FROM documents)
+SELECT doc_id, CASE doc_id % 8
+    WHEN 0 THEN text
+    WHEN 1 THEN 'Re: ' || text
+    WHEN 2 THEN text
+    WHEN 3 THEN 'a ' || regexp_replace(text, '[^\x{00}-\x{ff}]', '', 'g') || ' b'
+    WHEN 4 THEN 'x ' || chr(8364) || ' ' || id || ' y'
+    WHEN 5 THEN text
+    WHEN 6 THEN 'Привет ' || id
+    ELSE '=?no-such-charset?Q?a?= ' || id END AS subject
+FROM t
+""")
+def mime_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text, doc = F.coalesce("text", F.lit("")), F.col("doc_id").cast("string")
+    utf8 = F.encode(text, "UTF-8")
+    half = F.expr("int(octet_length(coalesce(text, '')) / 2)")
+    latin = F.encode(F.regexp_replace(text, r"[^\x{00}-\x{ff}]", ""), "ISO-8859-1")
+
+    def b64(charset: str, data: Column) -> Column:
+        return F.concat(F.lit(f"=?{charset}?B?"), F.regexp_replace(F.base64(data), "[\r\n]", ""), F.lit("?="))
+
+    subject = (F.when(F.col("doc_id") % 8 == 0, b64("utf-8", utf8))
+               .when(F.col("doc_id") % 8 == 1, F.concat(F.lit("Re: =?UTF-8?q?"), F.regexp_replace(F.hex(utf8), "(..)", "=$1"), F.lit("?=")))
+               .when(F.col("doc_id") % 8 == 2, F.concat(b64("utf-8", F.substring(utf8, F.lit(1), half)), F.lit("  "),
+                                                        b64("UTF-8", F.substring(utf8, half + 1, F.lit(2**31 - 1)))))
+               .when(F.col("doc_id") % 8 == 3, F.concat(F.lit("a "), b64("iso-8859-1", latin), F.lit(" b")))
+               .when(F.col("doc_id") % 8 == 4, F.concat(F.lit("x=?windows-1252?Q?=80_"), doc, F.lit("?=y")))
+               .when(F.col("doc_id") % 8 == 5, text)
+               .when(F.col("doc_id") % 8 == 6, F.concat(F.lit("=?koi8-r?B?8NLJ18XU?= "), doc))
+               .otherwise(F.concat(F.lit("=?no-such-charset?Q?a?= "), doc)))
+    docs = D.table(spark, sf_dir, "documents").select("doc_id", subject.alias("subject"))
+    return docs.select("doc_id", decode_mime(F.col("subject")).alias("subject"))
+
+
 from . import stored  # noqa: E402, F401  (registers its queries)
