@@ -107,7 +107,13 @@ def scan_frame(df: DataFrame, roles: Roles | None = None, path: Column | None =
 def finish_scan(frame: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON, mime: bool = True) -> DataFrame:
     """From (path, subject_raw, from, to, date, raw_text) to the scan rows:
     path, status, bytes, text_len, subject, from, to, date, sum_*, heuristics,
-    error."""
+    error. A record with a ``record_error`` keeps its path, status ``error``
+    and that text; all else of it is null."""
+    failed = F.col("record_error") != "" if "record_error" in frame.columns else None
+
+    def ok(c: Column) -> Column:
+        return c if failed is None else F.when(~failed, c)
+
     staged = frame.select(
         "*",
         T.deobfuscate(F.col("raw_text")).alias("_text"),
@@ -117,16 +123,16 @@ def finish_scan(frame: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON, mime: bool
     h = T.heuristics(F.col("_text"))
     return with_sums.select(
         "path",
-        F.lit("ok").alias("status"),
-        F.lit(0).cast("bigint").alias("bytes"),
-        T.text_length(F.col("raw_text")).alias("text_len"),
-        T.redact_emails(F.col("_subject")).alias("subject"),
-        T.redact_emails(F.col("from")).alias("from"),
-        T.redact_emails(F.col("to")).alias("to"),
-        F.col("date"),
-        *lexicon.sum_columns(),
-        *[h[k].alias(k) for k in EXTRA_COLUMNS],
-        F.lit("").alias("error"),
+        (F.lit("ok") if failed is None else F.when(failed, F.lit("error")).otherwise(F.lit("ok"))).alias("status"),
+        ok(F.lit(0).cast("bigint")).alias("bytes"),
+        ok(T.text_length(F.col("raw_text"))).alias("text_len"),
+        ok(T.redact_emails(F.col("_subject"))).alias("subject"),
+        ok(T.redact_emails(F.col("from"))).alias("from"),
+        ok(T.redact_emails(F.col("to"))).alias("to"),
+        ok(F.col("date")).alias("date"),
+        *(lexicon.sum_columns() if failed is None else [ok(F.col(c)).alias(c) for c in lexicon.sum_columns()]),
+        *[ok(h[k]).alias(k) for k in EXTRA_COLUMNS],
+        (F.lit("") if failed is None else F.col("record_error")).alias("error"),
     )
 
 

@@ -333,6 +333,12 @@ def _census_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.emails(spark, sf_dir)
 
 
+def _ordered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed rows with a numeric scan order, so that the signature aggregate hashes."""
+    rows = _census_rows(spark, sf_dir)
+    return CS.shared(CS.with_scan_order(CS.signed_rows(rows), rows.select("file")))
+
+
 _SIGNED_SQL = f"""sg0 AS (
   SELECT file, file_name, row_idx,
          {O.first_present(['subject'])} AS subj, {O.first_present(['sanitized_body'])} AS html,
@@ -436,7 +442,7 @@ FROM chosen c LEFT JOIN ex ON c.from_domain = ex.from_domain AND c.normalized_su
                           AND c.content_sig = ex.content_sig
 """)
 def census_top_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signed = CS.shared(CS.signed_rows(_census_rows(spark, sf_dir)))
+    signed = _ordered_rows(spark, sf_dir)
     return CS.top_duplicates(signed, CS.signatures(signed))
 
 
@@ -452,7 +458,7 @@ FROM chosen c LEFT JOIN ex ON c.from_domain = ex.from_domain AND c.normalized_su
                           AND c.content_sig = ex.content_sig
 """)
 def census_unique_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signed = CS.shared(CS.signed_rows(_census_rows(spark, sf_dir)))
+    signed = _ordered_rows(spark, sf_dir)
     return CS.unique_examples(signed, CS.signatures(signed))
 
 

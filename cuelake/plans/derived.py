@@ -306,3 +306,25 @@ def write_url_csv(spark: SparkSession, sf_dir: str, path: str) -> None:
                                    F.lit(-1).cast("bigint").alias("_o"))
     (header.union(rows).coalesce(1).sortWithinPartitions("_o").drop("_o").write.option("escape", '"')
      .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
+
+
+#: Documents of this remainder have an oversized field in their record.
+OVERSIZED = (50, 3)
+
+
+def write_oversized_corpus(spark: SparkSession, sf_dir: str, root: str, limit: int) -> None:
+    """The salted documents as eight CSV files ``kind=<doc_id % 8>/box=all``,
+    in the order of ``doc_id``; some have a body of more than ``limit``
+    characters, or a note of more, which no role reads."""
+    mod, rest = OVERSIZED
+    d = salted_documents(spark, sf_dir).select(
+        (F.col("doc_id") % 8).alias("kind"), F.lit("all").alias("box"), F.col("doc_id").alias("_o"), F.coalesce("text", F.lit("")).alias("t"))
+    long = F.col("_o") % mod == rest
+    own = F.when(long & (F.col("_o") % 4 != 1), F.concat("t", F.repeat(F.lit("verify now "), limit // 11 + 1))).otherwise(F.col("t"))
+    note = F.when(long & (F.col("_o") % 4 == 1), F.repeat(F.lit("n"), limit + 1)).otherwise(F.lit("n" * 10))
+    cells = d.select("kind", "box", "_o", F.col("_o").cast("string").alias("c0"), own.alias("c1"), note.alias("c2"))
+    first = d.select("kind", "box").distinct().select("kind", "box", F.lit(-1).cast("bigint").alias("_o"), *[
+        F.lit(h).alias(f"c{i}") for i, h in enumerate(["subject", "body", "note"])])
+    (first.union(cells).repartition("kind").sortWithinPartitions("kind", "box", "_o").drop("_o")
+     .write.partitionBy("kind", "box").option("escape", '"').option("ignoreLeadingWhiteSpace", "false")
+     .option("ignoreTrailingWhiteSpace", "false").csv(root))

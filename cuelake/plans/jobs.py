@@ -43,6 +43,7 @@ class RunConfig:
     url_dedupe: str = "apex"
     url_fetch: str = "get"
     lexicon: Lexicon = DEFAULT_LEXICON
+    field_limit: int | None = C.FIELD_LIMIT   # e-mail records with a longer field are error rows; None: no limit
     #: Rows and errors of each scan, filled in by the jobs.
     metrics: dict[str, dict[str, int]] = field(default_factory=dict)
 
@@ -55,7 +56,7 @@ def email_job(spark: SparkSession, cfg: RunConfig) -> DataFrame | None:
     if not _exists(spark, cfg.emails_root):
         return None
     rows, headers = C.read_corpus(spark, cfg.emails_root)
-    scan = ML.finish_scan(C.scan_frame(rows), cfg.lexicon)
+    scan = ML.finish_scan(C.scan_frame(rows, cfg.field_limit), cfg.lexicon)
     bad = C.unreadable_files(spark, cfg.emails_root, headers)
     scan, cfg.metrics["emails"] = K.staged(scan.unionByName(bad, allowMissingColumns=True), new_folder(spark, "emails"))
     K.nested_json(K.scan_records(scan, cfg.lexicon), K.run_path(cfg.out_root, "emails", cfg.run_id, "json"))

@@ -132,6 +132,31 @@ def mail_job_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.col(f"cues_total.{n}").alias(f"sum_{n}") for n in LEX.names], *[F.col(f"extras.{c}").alias(c) for c in EXTRA_COLUMNS], "error"))
 
 
+# --- S14: one bad record neither stops nor blanks the run -------------------------------------------
+_LONG = f"doc_id % {D.OVERSIZED[0]} = {D.OVERSIZED[1]}"
+_BAD = f"({_LONG} OR length(text) > {C.FIELD_LIMIT})"
+_GOOD = f"CASE WHEN NOT {_BAD} THEN {{}} END AS {{}}"
+
+
+@register("csv_record_errors", f"""
+WITH {D.SALTED_DOCUMENTS_SQL},
+d AS (SELECT doc_id, CAST(doc_id % 8 AS BIGINT) AS kind, coalesce(text, '') AS text,
+             CAST(row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) AS BIGINT) AS row_idx FROM salted),
+m AS (SELECT *, {O.deobfuscate('text')} AS t FROM d),
+c AS (SELECT *, {', '.join(_sum_select_sql('t', merged=False))}, {', '.join(O.heuristics('t'))} FROM m)
+SELECT kind, 'all' AS box, row_idx, CASE WHEN {_BAD} THEN 'error' ELSE 'ok' END AS status,
+       {', '.join(_GOOD.format(e, n) for e, n in [("CAST(doc_id AS VARCHAR)", "subject"), ("CAST(length(text) AS BIGINT)", "text_len")]
+                  + [(c, c) for c in SUMS + EXTRA_COLUMNS])},
+       CASE WHEN {_BAD} THEN 'field larger than field limit ({C.FIELD_LIMIT})' ELSE '' END AS error
+FROM c
+""")
+def csv_record_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The e-mail job over files in which some records have an oversized field."""
+    cfg = J.RunConfig(out_root=new_folder(spark, "out"), emails_root=new_folder(spark, "oversized"), run_id="20250102_090000")
+    D.write_oversized_corpus(spark, sf_dir, cfg.emails_root, C.FIELD_LIMIT)
+    return _place(J.email_job(spark, cfg).drop("bytes", "from", "to", "date"))
+
+
 # --- S11, S13, J5: the summary of stored runs -------------------------------------------------------
 def _runs_sql() -> str:
     def rows(name: str, query: str, extras: bool) -> str:

@@ -25,6 +25,7 @@ from ..functions.lexicon import SCAN_BODY_KEYS, SCAN_HTML_KEYS, SCAN_META_KEYS,
 SCAN_GLOB = "*.[cC][sS][vV]"   # the scan: suffix compared case-insensitively
 CENSUS_GLOB = "*.csv"          # the census: case-sensitive glob
 BROADCAST_FILES = 200_000      # per-file header table broadcast up to this many files
+FIELD_LIMIT = 131_072          # characters of a field beyond which a scanned record is an error
 
 
 def _exists(spark: SparkSession, root: str) -> bool:
@@ -215,9 +216,24 @@ def _pick(pos: Column) -> Column:
     return F.transform(pos, lambda i: F.coalesce(F.try_element_at(F.col("vals"), i), F.lit("")))
 
 
-def scan_frame(rows: DataFrame) -> DataFrame:
+def field_error(limit: int) -> Column:
+    """S14 per record: what is wrong with it ('' when nothing is). Any cell
+    counts, whether or not a column role reads it."""
+    too_long = F.exists(F.col("vals"), lambda v: F.length(v) > limit)
+    return F.when(too_long, F.lit(f"field larger than field limit ({limit})")).otherwise(F.lit(""))
+
+
+def scan_frame(rows: DataFrame, field_limit: int | None = None) -> DataFrame:
     """S4 + T8 per file header: (path, subject_raw, from, to, date, raw_text).
-    The role positions come from the per-file header table."""
+    The role positions come from the per-file header table.
+
+    With a ``field_limit``, ``record_error`` follows: a record with a longer
+    cell is marked and its cells are not taken up, the file's other records
+    are as they would be without it."""
+    checked = [] if field_limit is None else [field_error(field_limit).alias("record_error")]
+    if checked:
+        rows = rows.select("*", *checked)
+        rows = rows.withColumn("vals", F.when(F.col("record_error") == "", F.col("vals")).otherwise(F.array().cast("array<string>")))
     subj, body, html = F.col("subj_pos"), F.col("body_pos"), F.col("html_pos")
     subj_vals = F.filter(_pick(subj), lambda v: v != "")
     body_vals = F.filter(_pick(body), lambda v: v != "")
@@ -227,6 +243,7 @@ def scan_frame(rows: DataFrame) -> DataFrame:
         F.coalesce(F.try_element_at(subj_vals, F.lit(1)), F.lit("")).alias("subject_raw"),
         *[F.coalesce(value_of(k), F.lit("")).alias(k) for k in ("from", "to", "date")],
         F.concat_ws("\n", body_vals, html_vals).alias("raw_text"),
+        *(["record_error"] if checked else []),
     )
 
 

@@ -120,3 +120,31 @@ def test_url_list_with_repeated_headers(spark, tmp_path):
         path.write_text(f"{header}\na.com,b.com\n")
         got = read_url_list(spark, str(path))
         assert (got and [r["url"] for r in got.collect()]) == (want and [want])
+
+
+def test_a_bad_record_is_an_error_row_and_the_rest_goes_on(spark, tmp_path):
+    """A field over the limit, read by a role or not, marks its record only; exactly the limit is no error."""
+    from cuelake.plans import jobs as J
+
+    box = tmp_path / "in"
+    box.mkdir()
+    (box / "a.csv").write_text("subject,body,note\none,verify now," + "n" * 41 + "\ntwo," + "v" * 41 + ",n\nthree," + "v" * 40 + ",n\n")
+    (box / "b.csv").write_text("subject,body\nfour,verify now\n")
+    rows = C.corpus_rows(spark, str(box))
+    got = {r["path"].split("/")[-1]: r for r in finish_scan(C.scan_frame(rows, 40)).collect()}
+    assert {k: r["status"] for k, r in got.items()} == {
+        "a.csv#row=1": "error", "a.csv#row=2": "error", "a.csv#row=3": "ok", "b.csv#row=1": "ok"}
+    bad = got["a.csv#row=1"]
+    assert bad["error"] == "field larger than field limit (40)" and bad["subject"] is None and bad["sum_urgency"] is None
+    assert got["a.csv#row=3"]["text_len"] == 40 and got["b.csv#row=1"]["error"] == ""
+    cfg = J.RunConfig(out_root=str(tmp_path / "out"), emails_root=str(box), run_id="20250101_000000", field_limit=40)
+    J.email_job(spark, cfg)
+    J.summary_job(spark, cfg)
+    assert cfg.metrics["emails"] == {"rows": 4, "errors": 2}
+    flat = spark.read.option("header", "true").csv(str(tmp_path / "out" / "emails_csv")).collect()
+    assert sorted((r["subject"] or "", r["error"] or "") for r in flat) == [
+        ("", bad["error"]), ("", bad["error"]), ("four", ""), ("three", "")]
+    total = [r for r in spark.read.option("header", "true").csv(str(tmp_path / "out" / "summary_csv")).collect() if r["source"] == "emails"]
+    assert (total[0]["n_items"], total[0]["errors"], total[0]["sum_urgency"]) == ("4", "2", "1")
+    cfg = J.RunConfig(out_root=str(tmp_path / "all"), emails_root=str(box), run_id="20250101_000000", field_limit=None)
+    assert {r["status"] for r in J.email_job(spark, cfg).collect()} == {"ok"}

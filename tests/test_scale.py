@@ -85,3 +85,14 @@ def test_page_ties_and_large_samples(spark):
     assert sorted(r["n"] for r in rows) == list(range(1, 15_001))
     few = US.sample_urls(many, 100).collect()
     assert {(r["n"], r["url"]) for r in few} <= {(r["n"], r["url"]) for r in rows}
+
+
+def test_registered_reports_hash_by_a_numeric_order(spark):
+    """The signature aggregate of the two example reports neither sorts rows nor carries a struct."""
+    from cuelake.plans.catalog import QUERIES
+
+    for name in ("census_top_duplicates", "census_unique_examples"):
+        plan = _plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+        lines = [p for p in plan.splitlines() if "min(order_key" in p]
+        assert lines and all("HashAggregate" in p for p in lines), name
+        assert not any("SortAggregate" in p and "first_seen" in p and "min(" in p for p in plan.splitlines()), name
