@@ -5,8 +5,12 @@ import gzip
 import hashlib
 import io
 import json
+import random
 import re
 from collections import Counter
+from decimal import Decimal
+
+from pyspark.sql import functions as F
 
 from cuelake.llm import queries, tool_calls, warc
 from cuelake.llm.common import scratch
@@ -114,6 +118,68 @@ def test_tool_calls_link_order_and_validate(spark):
     assert not re.search("Python|Pandas|Arrow", plan) and "ShuffledHashJoin" in plan
 
 
+def brute_levels(calls):
+    """Longest path to a call without known dependencies; None on or behind a cycle."""
+    deps = {(c, i): {d for d in (ds or []) if d is not None and (c, d) in {(x[0], x[1]) for x in calls}} for c, i, ds in calls}
+    level = {}
+    while True:
+        ready = {k: 1 + max((level[k[0], d] for d in ds), default=-1) for k, ds in deps.items()
+                 if k not in level and all((k[0], d) in level for d in ds)}
+        if not ready:
+            return {k: level.get(k) for k in deps}
+        level.update(ready)
+
+
+def test_levels_equal_brute_force(spark, tmp_path):
+    """Random dependencies with unknown ones, forks, chains behind forks, cycles of calls with one dependency and with several."""
+    rng = random.Random(5)
+    calls = []
+    for conv in range(6):
+        for i in range(60):
+            n = rng.choice([0, 1, 1, 1, 2, 3])
+            ds = [f"c{rng.randrange(i)}" for _ in range(n)] if i else []
+            if conv % 2 and rng.random() < 0.04:
+                ds.append(f"c{rng.randrange(60)}")
+            calls.append((conv, f"c{i}", ds + rng.choice([[], ["nowhere"], [None]])))
+    calls += [(9, "a", ["b"]), (9, "b", ["c"]), (9, "c", ["a"]), (9, "d", ["c"]), (9, "e", ["d", "f"]), (9, "f", []), (9, "g", ["g"])]
+    got = tool_calls.levels(spark.createDataFrame(calls, "conv_id bigint, call_id string, depends array<string>"), str(tmp_path))
+    want = brute_levels(calls)
+    assert {(r[0], r[1]): r["topo_level"] for r in got.collect()} == want
+    assert None in want.values() and max(v for v in want.values() if v is not None) > 5
+
+
+def test_long_chains_take_few_rounds(spark, tmp_path):
+    calls = spark.range(10_000).selectExpr(
+        "1L AS conv_id", "concat('c', id) AS call_id", "IF(id > 0, array(concat('c', id - 1)), array()) AS depends")
+    got = tool_calls.levels(calls, str(tmp_path))
+    assert got.filter("concat('c', topo_level) = call_id").count() == 10_000
+    assert len(list(tmp_path.iterdir())) < 22
+
+
+NUMBERS = ["0", "-0", "0.0", "-0e5", "1", "1.0", "1e3", "1E+3", "10.50", "-2.5e-3", "0.000001", "1e-7", "12e-9", "1e20", "1e21", "123e30",
+           "9223372036854775807", "9223372036854775808", "1" * 45, "0.1234567890123456789012345", "123456789012345678901234.5", "100e-2", "1e400"]
+
+
+def test_numbers_have_one_text_and_keep_their_value(spark, tmp_path):
+    forms = spark.createDataFrame([(n,) for n in NUMBERS], "t string").select("t", tool_calls.canonical_number(F.col("t")).alias("c")).collect()
+    text = {r["t"]: r["c"] for r in forms}
+    assert all(Decimal(t) == Decimal(c) for t, c in text.items())
+    assert [text[t] for t in ("-0", "1.0", "1E+3", "10.50", "0.000001", "12e-9", "1e20", "1e21", "100e-2")] == [
+        "0", "1", "1000", "10.5", "0.000001", "1.2e-8", "1" + "0" * 20, "1e+21", "1"]
+    calls = [(1, f"c{i}", 1, "f", '{"a": %s, "n1": ["n5", "s", {"s": -1.50}]}' % t, []) for i, t in enumerate(NUMBERS)]
+    bad = ['{"a": 01}', '{"a": 1.}', '{"a": .5}', '{"a": +1}', '{1: 2}', '{"a": 1, "a": 2}', '{"a": "x}', "{\"a\": 'x'}", "1", "", '{"a": -}']
+    calls += [(2, f"c{i}", 1, "f", t, []) for i, t in enumerate(bad)]
+    got, _ = linked(spark, calls, [])
+    for i, t in enumerate(NUMBERS):
+        r = got[1, f"c{i}"]
+        assert ("type:a" in r["errors"]) == (Decimal(t) % 1 != 0 if abs(Decimal(t)) < 10**25 else False), t
+        assert r["canonical"].startswith('{"arguments":{"a":%s,"n1":["n5","s",{"s":-1.5}]},"call_id":' % text[t]), t
+    assert {got[2, f"c{i}"]["errors"] for i in range(len(bad))} == {"invalid_json"}
+    long = json.dumps({"a": 1, "b": 'q"\\\n é' * 200_000})
+    got, _ = linked(spark, [(1, "x", 1, "f", long, [])], [])
+    assert json.loads(got[1, "x"]["canonical"])["arguments"] == json.loads(long)
+
+
 def test_tool_calls_empty(spark):
     assert linked(spark, [], [])[0] == {}
 
