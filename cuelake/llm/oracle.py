@@ -144,4 +144,38 @@ FROM texts t LEFT JOIN by_doc b ON t.doc_id = b.doc_id
 """
 
 
-ORACLE = {"op11_vector_trie": _op11(), "op12_phrase_graph": OP12, "op13_secret_scan": _op13()}
+# --- op7: archive rows ---------------------------------------------------------------------
+OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+d AS (
+  SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+         array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+           (CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT), 1)), '')
+           AS payload_digest
+  FROM p),
+best AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM best
+"""
+
+
+# --- op9: links within a label ---------------------------------------------------------------
+OP9 = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+near AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a),
+least AS (SELECT a, min(b) AS low FROM reach GROUP BY a),
+links AS (SELECT a, count(*) AS n FROM near GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, least(e.vec_id, coalesce(l.low, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(l.low, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN least l ON e.vec_id = l.a LEFT JOIN links k ON e.vec_id = k.a
+"""
+
+
+ORACLE = {"op7_warc": OP7, "op9_embedding_near_dedup": OP9, "op11_vector_trie": _op11(), "op12_phrase_graph": OP12, "op13_secret_scan": _op13()}
