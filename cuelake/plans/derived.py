@@ -9,10 +9,11 @@ conversations and pages. Every row of every table is used.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import DEFAULT_LEXICON
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import read_parquet
 from .oracle import phrase_list_literal
 
@@ -274,18 +275,55 @@ def box_name(file_name: Column) -> Column:
     return F.concat(F.regexp_replace(file_name, "[.]csv$", ""), F.lit(" é+box"))
 
 
-def write_mail_corpus(spark: SparkSession, sf_dir: str, root: str) -> None:
-    """The e-mail rows as CSV files, one per kind (``row_idx % 4``) and box,
-    in the order of ``row_idx``. The header is each file's first record."""
-    e = emails(spark, sf_dir).withColumn("box", box_name(F.col("file_name")))
+#: Bytes of cells in a file, about: one task writes and reads a file, so a box's records go on in further files.
+FILE_BYTES = 32 << 20
+
+
+def record_ranges(rows: DataFrame, n_bytes: Column, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """The files of every (kind, box): ``lo``, the least ``_o`` of a file, and
+    ``before``, the records of the box in the files before it.
+
+    The keys alone are range-partitioned in about as many parts as the rows
+    have ``file_bytes``; a part's rows of a box make one file. Records of one
+    ``_o`` stay together. One row per file, kept in the checkpoint folder, as
+    sampled ranges may differ between two runs."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    total = rows.agg(F.sum(n_bytes.cast("bigint"))).first()[0] or 0
+    keys = rows.select("kind", "box", "_o").repartitionByRange(total // file_bytes + 1, "kind", "box", "_o")
+    files = (keys.select("*", F.spark_partition_id().alias("_pid")).groupBy("kind", "box", "_pid")
+             .agg(F.min("_o").alias("lo"), F.count(F.lit(1)).alias("n")).checkpoint(eager=True))
+    earlier = Window.partitionBy("kind", "box").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    return files.select("kind", "box", "lo", F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("bigint").alias("before"))
+
+
+def write_records(cells: DataFrame, files: DataFrame, header: list[str], path: str, by: list[str]) -> None:
+    """``cells`` (kind, box, _o, c0, c1, ...) as CSV files in folders of ``by``
+    and ``from=<records of the box before the file>``, in the order of ``_o``.
+    The header is each file's first record."""
+    names = [f"c{i}" for i in range(len(header))]
+    ranges = files.groupBy("kind", "box").agg(F.sort_array(F.collect_list(F.struct("lo", "before"))).alias("_files"))
+    ranges = ranges.withColumnsRenamed({"kind": "_kind", "box": "_box"})
+    at = F.element_at(F.filter("_files", lambda f: f["lo"] <= F.col("_o")), -1)["before"]
+    rows = (cells.join(F.broadcast(ranges), F.col("kind").eqNullSafe(F.col("_kind")) & F.col("box").eqNullSafe(F.col("_box")))
+            .select("kind", "box", at.alias("from"), F.lit(1).alias("_h"), "_o", *names))
+    first = files.select("kind", "box", F.col("before").alias("from"), F.lit(0).alias("_h"), F.col("lo").alias("_o"),
+                         *[F.lit(h).alias(n) for h, n in zip(header, names)])
+    folders = [*by, "from"]
+    (first.union(rows).repartition("kind", "box", "from").sortWithinPartitions(*folders, "_h", "_o").select(*folders, *names)
+     .write.partitionBy(*folders).option("escape", '"').option("ignoreLeadingWhiteSpace", "false")
+     .option("ignoreTrailingWhiteSpace", "false").csv(path))
+
+
+def write_mail_corpus(spark: SparkSession, sf_dir: str, root: str, file_bytes: int = FILE_BYTES) -> None:
+    """The e-mail rows as CSV files by kind (``row_idx % 4``) and box, see
+    ``write_records``."""
+    e = emails(spark, sf_dir).select("*", box_name(F.col("file_name")).alias("box"), F.col("row_idx").alias("_o"),
+                                     (F.col("row_idx") % len(CSV_HEADERS)).alias("kind"))
+    files = record_ranges(e, F.octet_length("body_snippet") + F.coalesce(F.octet_length("sanitized_body"), F.lit(0)), file_bytes)
     for kind, (header, columns) in enumerate(CSV_HEADERS):
-        own = e.where(F.col("row_idx") % len(CSV_HEADERS) == kind)
-        cells = own.select("box", F.col("row_idx").alias("_o"), *[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
-        first = own.select("box").distinct().select("box", F.lit(-1).cast("bigint").alias("_o"), *[
-            F.lit(h).alias(f"c{i}") for i, h in enumerate(header)])
-        (first.union(cells).repartition("box").sortWithinPartitions("box", "_o").drop("_o")
-         .write.partitionBy("box").option("escape", '"').option("ignoreLeadingWhiteSpace", "false")
-         .option("ignoreTrailingWhiteSpace", "false").csv(f"{root}/kind={kind}"))
+        cells = e.where(F.col("kind") == kind).select(
+            "kind", "box", "_o", *[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
+        write_records(cells, files.where(F.col("kind") == kind), header, f"{root}/kind={kind}", ["box"])
 
 
 MAIL_CORPUS_SQL = EMAILS_SQL + """,
@@ -312,9 +350,9 @@ def write_url_csv(spark: SparkSession, sf_dir: str, path: str) -> None:
 OVERSIZED = (50, 3)
 
 
-def write_oversized_corpus(spark: SparkSession, sf_dir: str, root: str, limit: int) -> None:
-    """The salted documents as eight CSV files ``kind=<doc_id % 8>/box=all``,
-    in the order of ``doc_id``; some have a body of more than ``limit``
+def write_oversized_corpus(spark: SparkSession, sf_dir: str, root: str, limit: int, file_bytes: int = FILE_BYTES) -> None:
+    """The salted documents as CSV files ``kind=<doc_id % 8>/box=all``, see
+    ``write_records``; some have a body of more than ``limit``
     characters, or a note of more, which no role reads."""
     mod, rest = OVERSIZED
     d = salted_documents(spark, sf_dir).select(
@@ -323,8 +361,5 @@ def write_oversized_corpus(spark: SparkSession, sf_dir: str, root: str, limit: i
     own = F.when(long & (F.col("_o") % 4 != 1), F.concat("t", F.repeat(F.lit("verify now "), limit // 11 + 1))).otherwise(F.col("t"))
     note = F.when(long & (F.col("_o") % 4 == 1), F.repeat(F.lit("n"), limit + 1)).otherwise(F.lit("n" * 10))
     cells = d.select("kind", "box", "_o", F.col("_o").cast("string").alias("c0"), own.alias("c1"), note.alias("c2"))
-    first = d.select("kind", "box").distinct().select("kind", "box", F.lit(-1).cast("bigint").alias("_o"), *[
-        F.lit(h).alias(f"c{i}") for i, h in enumerate(["subject", "body", "note"])])
-    (first.union(cells).repartition("kind").sortWithinPartitions("kind", "box", "_o").drop("_o")
-     .write.partitionBy("kind", "box").option("escape", '"').option("ignoreLeadingWhiteSpace", "false")
-     .option("ignoreTrailingWhiteSpace", "false").csv(root))
+    n_bytes = F.octet_length("t") + F.when(long, F.lit(limit)).otherwise(F.lit(0))
+    write_records(cells, record_ranges(d, n_bytes, file_bytes), ["subject", "body", "note"], root, ["kind", "box"])
