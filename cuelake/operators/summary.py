@@ -2,17 +2,16 @@
 
 Input: the stored scan tables of several sources, as text (like the CSVs
 the jobs write), each with ``source`` and ``run_id`` (``YYYYmmdd_HHMMSS``).
-Only the latest run of every source counts (S11: ``max(run_id)`` per source,
-an algebraic aggregate; the per-source result has one row per source and is
-broadcast back). Numbers are read tolerantly (T16), then one ``rollup`` gives
-the per-source rows and the TOTAL row (A9 + A10).
+Only the latest run of every source counts (S11). Numbers are read tolerantly
+(T16) and summed per run; one ``rollup`` over the latest runs gives the
+per-source rows and the TOTAL row (A9 + A10).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -29,13 +28,6 @@ def union_sources(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def latest_runs(rows: DataFrame) -> DataFrame:
-    """Keep the rows of the greatest run_id of every source."""
-    latest = rows.groupBy("source").agg(F.max("run_id").alias("run_id"))
-    # One row per source: a bounded, broadcastable side.
-    return rows.join(F.broadcast(latest), ["source", "run_id"], "left_semi")
-
-
 def rollup_sources(rows: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
     """A9 + A10: per source n_items, errors, sums of the category columns and
     the heuristics (a column a source lacks counts 0), then a TOTAL row."""
@@ -46,13 +38,20 @@ def rollup_sources(rows: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataF
         return T.tolerant_int(F.col(c)) if c in cols else F.lit(0).cast("bigint")
 
     err = T.is_blank(F.col("error")) if "error" in cols else F.lit(True)
-    latest = latest_runs(rows)
-    place = [F.max("run_file").alias("_file")] if "run_file" in cols else []
-    agg = latest.rollup("source").agg(
-        F.max("run_id").alias("_ts"), *place,
+    # All runs are summed in one pass over the rows (one row per run and file,
+    # hash-aggregated); the choice of the latest run (S11) and the rollup see
+    # those few rows only.
+    place = ["run_file"] if "run_file" in cols else []
+    per_file = rows.where(F.col("source").isNotNull() & F.col("run_id").isNotNull()).groupBy("source", "run_id", *place).agg(
         F.count(F.lit(1)).cast("bigint").alias("n_items"),
         F.count_if(~err).cast("bigint").alias("errors"),
         *[F.sum(num(c)).cast("bigint").alias(c) for c in wanted],
+    )
+    newest = Window.partitionBy("source").orderBy(F.col("run_id").desc())
+    latest = per_file.select("*", F.rank().over(newest).alias("_n")).where(F.col("_n") == 1)
+    agg = latest.rollup("source").agg(
+        F.max("run_id").alias("_ts"), *[F.max(c).alias("_file") for c in place],
+        *[F.sum(c).cast("bigint").alias(c) for c in ["n_items", "errors", *wanted]],
         F.grouping("source").alias("_g"),
     )
     total = F.col("_g") == 1

@@ -20,7 +20,7 @@ from ..operators import images as IM
 from ..operators import mail as ML
 from ..operators import summary as SM
 from ..operators import url_scan as US
-from ..session import new_folder
+from ..session import ensure_checkpoint_dir, new_folder
 from ..sources import csv_corpus as C
 from ..sources import sinks as K
 
@@ -110,7 +110,9 @@ def summary_job(spark: SparkSession, cfg: RunConfig) -> DataFrame | None:
             frames.append(df.withColumn("source", F.lit(source)))
     if not frames:
         return None
-    summary = SM.rollup_sources(SM.union_sources(frames), cfg.lexicon)
+    # One row per source and TOTAL: computed once for both outputs and the caller.
+    ensure_checkpoint_dir(spark)
+    summary = SM.rollup_sources(SM.union_sources(frames), cfg.lexicon).checkpoint(eager=True)
     K.flat_csv(SM.ordered(summary), K.run_path(cfg.out_root, "summary", cfg.run_id))
     K.nested_json(SM.summary_record(summary, cfg.lexicon), K.run_path(cfg.out_root, "summary", cfg.run_id, "json"))
     return summary
