@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import text as T
+from ..session import ensure_checkpoint_dir
 from .tables import reusable
 from ..functions.lexicon import SCAN_BODY_KEYS, SCAN_HTML_KEYS, SCAN_META_KEYS, SCAN_SUBJECT_KEYS
 
@@ -104,8 +105,8 @@ def header_width(spark: SparkSession, root: str, glob: str) -> int:
 
 def _records(spark: SparkSession, root: str, glob: str, max_columns: int) -> DataFrame:
     raw = _raw(spark, root, glob, max_columns)
-    # Per-column translate (generated code), not a lambda over every slot.
-    vals = F.array(*[F.translate(F.col(f"_c{i}"), "\ufffd", "") for i in range(max_columns)])
+    # A literal replace per column (generated code), not a lambda over every slot.
+    vals = F.array(*[F.replace(F.col(f"_c{i}"), F.lit("\ufffd"), F.lit("")) for i in range(max_columns)])
     # The metadata path is URI-encoded, the listing's is plain: decode, so both
     # spell a file alike ('+' stands for itself in a path).
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
@@ -167,6 +168,9 @@ def read_corpus(spark: SparkSession, root: str, glob: str = SCAN_GLOB,
         .otherwise(body).alias("body_pos"),
         html.alias("html_pos"),
     )
+    # One row per file, read by every user of the corpus: parsed for once.
+    ensure_checkpoint_dir(spark)
+    hdr = hdr.checkpoint(eager=True)
     n_files = len(rec._jdf.inputFiles())
     hdr_side = F.broadcast(hdr) if n_files <= BROADCAST_FILES else hdr
     rows = rec.join(hdr_side, "file").where(F.col("_mid") > F.col("_mid0")).select(
