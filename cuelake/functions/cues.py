@@ -20,10 +20,24 @@ from .regex import bounded
 from .text import fold_case, normalize_text
 
 
+# Letters from rare to frequent, for the choice of a phrase's search key only.
+_RARE_FIRST = "qjxzkwvyfbgphmuclodrsntaie "
+
+
+def search_key(phrase: str) -> str:
+    """The end of the phrase, of four characters or more, that starts with its
+    rarest letter: a literal search compares on where the first byte matches,
+    and a text without the key lacks the phrase."""
+    ends = [phrase[i:] for i in range(max(1, len(phrase) - 3))]
+    return min(ends, key=lambda e: (_RARE_FIRST.find(e[0]), -len(e)))
+
+
 def _phrase_count(folded: Column, phrase: str) -> Column:
     p = phrase.lower()
+    key = search_key(p)
+    found = folded.contains(F.lit(p))
     return F.when(
-        folded.contains(F.lit(p)), F.regexp_count(folded, F.lit(bounded(p)))
+        found if key == p else folded.contains(F.lit(key)) & found, F.regexp_count(folded, F.lit(bounded(p)))
     ).otherwise(F.lit(0))
 
 

@@ -11,8 +11,13 @@ from __future__ import annotations
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
 
-# Python's ``\s`` / ``str.isspace()`` set, written for java.util.regex.
-WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Python's ``\s`` / ``str.isspace()`` set, written for java.util.regex (one
+# bit map for the characters below U+0100, ranges for the others).
+WS = r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WS_NOT_BLANK = WS.replace(r"\x20", "")
+# Its characters.
+WS_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                             0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 NOT_WS = "[^" + WS[1:-1] + "]"
 # The same set written for RE2 (DuckDB oracle).
 WS_RE2 = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

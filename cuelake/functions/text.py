@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .lexicon import YEAR_MAX, YEAR_MIN
-from .regex import DIGIT, FOLD_FROM, FOLD_TO, NOT_WS, WORD, WS
+from .regex import DIGIT, FOLD_FROM, FOLD_TO, NOT_WS, WORD, WS, WS_CHARS, WS_NOT_BLANK
 
 
 def _c(x) -> Column:
@@ -26,8 +26,9 @@ def blank_to_empty(x) -> Column:
 
 
 def py_strip(x) -> Column:
-    """``str.strip()``: remove Python whitespace at both ends."""
-    return F.regexp_replace(_c(x), f"^{WS}+|{WS}+$", "")
+    """``str.strip()``: remove Python whitespace at both ends (a trim by
+    characters; a regex would try ``WS+$`` at every blank of the text)."""
+    return F.trim(_c(x), F.lit(WS_CHARS))
 
 
 def is_blank(x) -> Column:
@@ -36,8 +37,9 @@ def is_blank(x) -> Column:
 
 
 def collapse_ws(x) -> Column:
-    """``re.sub(r"\\s+", " ", s)``."""
-    return F.regexp_replace(_c(x), f"{WS}+", " ")
+    """``re.sub(r"\\s+", " ", s)``. Single blanks, the usual case, are no
+    match: they would be replaced by themselves."""
+    return F.regexp_replace(_c(x), f"(?: {WS}|{WS_NOT_BLANK}){WS}*", " ")
 
 
 # T1 -------------------------------------------------------------------------
@@ -75,21 +77,28 @@ def deobfuscate(x) -> Column:
 
     The two regex passes run only on texts that hold an ``hxxp`` at all (a
     regex replace always rebuilds the whole string); ``[.]`` is a literal
-    replace."""
+    replace. Case is spelled out (of h, x, p, s only s has a further variant,
+    the long s) and the look-behind runs only at an h."""
     t = blank_to_empty(x)
-    fixed = F.regexp_replace(t, f"(?iu)(?<!{WORD})hxxps://", "https://")
-    fixed = F.regexp_replace(fixed, f"(?iu)(?<!{WORD})hxxp://", "http://")
+    hxxp = f"[hH](?<!{WORD}[hH])[xX][xX][pP]"
+    fixed = F.regexp_replace(t, f"{hxxp}[sS\u017f]://", "https://")
+    fixed = F.regexp_replace(fixed, f"{hxxp}://", "http://")
     t = F.when(t.rlike("[hH][xX][xX][pP]"), fixed).otherwise(t)
     return F.replace(t, F.lit("[.]"), F.lit("."))
 
 
 # T5 -------------------------------------------------------------------------
 EMAIL_PATTERN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+# The same matches, the local part possessive: its class has no ``@``, so
+# giving characters back never helps.
+_EMAIL = EMAIL_PATTERN.replace("+@", "++@")
 
 
 def redact_emails(x) -> Column:
-    """T5: every e-mail address -> ``[redacted-email]``; None -> ''."""
-    return F.regexp_replace(blank_to_empty(x), EMAIL_PATTERN, "[redacted-email]")
+    """T5: every e-mail address -> ``[redacted-email]``; None -> ''. The regex
+    runs only on texts with an ``@``."""
+    t = blank_to_empty(x)
+    return F.when(t.contains("@"), F.regexp_replace(t, _EMAIL, "[redacted-email]")).otherwise(t)
 
 
 # T9 / T10 -------------------------------------------------------------------
@@ -120,8 +129,12 @@ def text_length(x) -> Column:
 
 def fold_case(x) -> Column:
     """Case fold used by the cue matcher: lower() after mapping the four code
-    points Python's IGNORECASE equates with ASCII letters."""
-    return F.lower(F.translate(blank_to_empty(x), FOLD_FROM, FOLD_TO))
+    points Python's IGNORECASE equates with ASCII letters (by literal replaces:
+    ``translate`` looks every character up in a map)."""
+    t = blank_to_empty(x)
+    for a, b in zip(FOLD_FROM, FOLD_TO):
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return F.lower(t)
 
 
 # T12 / T13 ------------------------------------------------------------------
