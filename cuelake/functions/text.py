@@ -8,6 +8,7 @@ batch and streaming DataFrames alike.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -129,12 +130,11 @@ def text_length(x) -> Column:
 
 def fold_case(x) -> Column:
     """Case fold used by the cue matcher: lower() after mapping the four code
-    points Python's IGNORECASE equates with ASCII letters (by literal replaces:
-    ``translate`` looks every character up in a map)."""
+    points Python's IGNORECASE equates with ASCII letters (only where one
+    occurs: ``translate`` looks every character up in a map)."""
     t = blank_to_empty(x)
-    for a, b in zip(FOLD_FROM, FOLD_TO):
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return F.lower(t)
+    found = reduce(Column.__or__, [t.contains(F.lit(a)) for a in FOLD_FROM])
+    return F.lower(F.when(found, F.translate(t, FOLD_FROM, FOLD_TO)).otherwise(t))
 
 
 # T12 / T13 ------------------------------------------------------------------
