@@ -8,13 +8,15 @@ what passes through a phrase of k words is the flow of its extensions by one
 word, plus the phrases of k words that a piece end cut short.
 
 An exact filter keeps the counted phrases few. A first pass adds up the
-numbers of words and of adjacent pairs by hash bucket; what is in a bucket
+numbers of all phrases of 1 to N words by hash bucket; what is in a bucket
 whose sum is under ``least`` occurs less than ``least`` times, and so does
-every phrase that holds it. At such a pair the second pass ends the phrase as
-at a piece end, and it counts such words together, without their names. Flows
-of all other phrases stay exact, and none of these can be a candidate or a
-part of one. The filter is a bitmap of ``2 ** bits`` bits (16 MB), whatever
-the corpus; a fuller one passes more phrases and changes no result.
+every phrase that holds it. Before the word that would make such a phrase the
+second pass ends the phrase as at a piece end, and it counts such words
+together, without their names. Flows of all other phrases stay exact, and
+none of these can be a candidate or a part of one. The filter is a bitmap of
+``2 ** bits`` bits (32 MB), whatever the corpus; a fuller one passes more
+phrases and changes no result. The sums travel packed: a row holds the sorted
+buckets of one range as gaps, with their numbers, in about two bytes each.
 
 Edges of at least ``least`` form the graph that is compacted: a node whose
 whole flow comes in by one edge and leaves by one is merged with them. The
@@ -49,14 +51,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import remove, stage
 
 MAX_WORDS = 3
 LEAST = 10
 PERCENT = 50
 TOP = 2000
 SHARES = 32
-BITS = 27
+BITS = 28
+#: Buckets (2 ** LINE of them) whose sums travel in one row, and occurrences that a task adds up before it sends them.
+LINE = 14
+HELD = 1 << 23
 #: Bytes of text that are worked on at once (a longer text is one block).
 BLOCK = 1 << 19
 
@@ -136,43 +141,89 @@ def _blocks(batches, powers: list) -> Iterator[tuple[str, Words, np.ndarray]]:
         yield block(lang, texts)
 
 
-def _buckets(lang: str, words: Words, h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bucket of each word; for each word but the last, whether the next
-    is of the same piece, and the bucket of the pair."""
+def _buckets(lang: str, words: Words, h: np.ndarray, bits: int, max_words: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For phrases of 1 to ``max_words`` words, by their first word: whether
+    the last one is of the same piece, and the bucket of the phrase."""
     salt = np.uint64((zlib.crc32(lang.encode()) * 0x9E3779B1 + 1) & (2**64 - 1))
-    one = (h ^ salt) * np.uint64(0xC2B2AE3D27D4EB4F)
-    x = (h[:-1] * np.uint64(3) + salt) ^ (h[1:] * np.uint64(0xA0761D6478BD642F))
-    x ^= x >> np.uint64(29)
     down = np.uint64(64 - bits)
-    return (one ^ (one >> np.uint64(31))) * _MIX >> down, words.piece[:-1] == words.piece[1:], (x * _MIX) >> down
+    one = (h ^ salt) * np.uint64(0xC2B2AE3D27D4EB4F)
+    out = [(np.ones(len(h), bool), (one ^ (one >> np.uint64(31))) * _MIX >> down)]
+    x = h
+    for k in range(1, min(max_words, len(h))):
+        x = (x[:-1] * np.uint64(3) + salt) ^ (h[k:] * np.uint64(0xA0761D6478BD642F))
+        x ^= x >> np.uint64(29)
+        x *= _MIX
+        out.append((words.piece[:-k] == words.piece[k:], x >> down))
+    return out
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def word_filter(docs: DataFrame, least: int, bits: int = BITS) -> np.ndarray:
-    """Bitmap (64-bit words) of the buckets whose words and pairs add up to ``least``."""
+def _packed(buckets: list[np.ndarray], least: int) -> pa.RecordBatch:
+    """How often each bucket is there, ``least`` at most, a row for each line
+    of buckets: low and high bytes of the gaps between them, and the numbers."""
+    found, n = np.unique(np.concatenate(buckets), return_counts=True)
+    line = (found >> np.uint32(LINE)).astype(np.int32)
+    first = np.flatnonzero(np.diff(line, prepend=-1))
+    gap = np.diff(found, prepend=np.uint32(0))
+    gap[first] = found[first] & np.uint32((1 << LINE) - 1)
+    n = np.minimum(n, least).astype(np.min_scalar_type(least))
+    offsets = np.append(first, len(found))
+
+    def column(values):
+        return pa.Array.from_buffers(pa.binary(), len(first), [
+            None, pa.py_buffer((offsets * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+    return pa.record_batch([pa.array(line[first]), column(gap.astype(np.uint8)), column((gap >> np.uint32(8)).astype(np.uint8)), column(n)],
+                           names=["line", "low", "high", "n"])
+
+
+def word_filter(docs: DataFrame, least: int, bits: int = BITS, max_words: int = MAX_WORDS) -> np.ndarray:
+    """Bitmap (64-bit words) of the buckets whose phrases add up to ``least``."""
     def count(batches):
         powers = [_powers(2 * BLOCK)]
+        held: list[np.ndarray] = []
         for lang, words, h in _blocks(batches, powers):
             if len(h):
-                one, same, pair = _buckets(lang, words, h, bits)
-                found, n = np.unique(np.concatenate((one, pair[same])).astype(np.int32), return_counts=True)
-                yield pa.record_batch([pa.array(found), pa.array(n, pa.int64())], names=["bucket", "n"])
-
-    sums = _texts(docs).mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    lines = sums.groupBy(F.shiftright("bucket", 6).alias("line")).agg(
-        F.expr("bit_or(shiftleft(1L, bucket & 63))").alias("set"))
-    bitmap = np.zeros(1 << max(bits - 6, 0), np.int64)
+                held += [bucket[same].astype(np.uint32) for same, bucket in _buckets(lang, words, h, bits, max_words)]
+                if sum(map(len, held)) >= HELD:
+                    yield _packed(held, least)
+                    held = []
+        if held:
+            yield _packed(held, least)
+
+    def add(batches):
+        # Each line comes in rows that follow each other.
+        at, sums = None, np.zeros(1 << LINE, np.int64)
+        for b in batches:
+            for line, low, high, n in zip(b.column("line").to_pylist(), b.column("low"), b.column("high"), b.column("n")):
+                if line != at:
+                    if at is not None:
+                        yield filled(at, sums)
+                    at, sums = line, np.zeros(1 << LINE, np.int64)
+                gap = np.frombuffer(low.as_buffer(), np.uint8) + (np.frombuffer(high.as_buffer(), np.uint8).astype(np.int64) << 8)
+                sums[np.cumsum(gap)] += np.frombuffer(n.as_buffer(), np.min_scalar_type(least))
+        if at is not None:
+            yield filled(at, sums)
+
+    def filled(line, sums):
+        return pa.record_batch([pa.array([line], pa.int32()), pa.array([np.packbits(sums >= least, bitorder="little").tobytes()])], names=["line", "set"])
+
+    lines = (_texts(docs).mapInArrow(count, "line int, low binary, high binary, n binary")
+             .repartition("line").sortWithinPartitions("line").mapInArrow(add, "line int, set binary"))
+    bitmap = np.zeros((1 << max(bits, LINE)) >> 3, np.uint8)
     found = lines.toArrow()
-    bitmap[found["line"].to_numpy()] = found["set"].to_numpy()
+    for line, bytes_set in zip(found["line"].to_pylist(), found["set"]):
+        at = line << (LINE - 3)
+        bitmap[at:at + (1 << (LINE - 3))] = np.frombuffer(bytes_set.as_buffer(), np.uint8)
     return bitmap.view(np.uint64)
 
 
 def longest(docs: DataFrame, bitmap: np.ndarray, max_words: int = MAX_WORDS, bits: int = BITS) -> DataFrame:
     """(lang, phrase, n): how often each phrase is the longest, of at most
-    ``max_words`` words, that begins at a word and holds no rare pair. The
+    ``max_words`` words, that begins at a word and holds no rare phrase. The
     empty phrase stands for all rare words."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -184,13 +235,15 @@ def longest(docs: DataFrame, bitmap: np.ndarray, max_words: int = MAX_WORDS, bit
         for lang, words, h in _blocks(batches, powers):
             if not len(h):
                 continue
-            one, same, pair = _buckets(lang, words, h, bits)
-            goes_on = np.concatenate((same & known(pair), np.zeros(max_words, bool)))
             last, on = np.arange(len(h)), np.ones(len(h), bool)
-            for k in range(max_words - 1):
-                on &= goes_on[k:k + len(h)]
-                last += on
-            first = np.flatnonzero(known(one))
+            for k, (same, bucket) in enumerate(_buckets(lang, words, h, bits, max_words)):
+                # A phrase goes on as long as it, and what is left without its first word, is frequent.
+                goes_on = same & known(bucket) & on[:len(bucket)] & (on[1:len(bucket) + 1] if k else True)
+                on = np.concatenate((goes_on, np.zeros(k, bool)))
+                if k:
+                    last += on
+                else:
+                    first = np.flatnonzero(on)
             if len(first) < len(h):
                 yield pa.record_batch([pa.array([lang]), pa.array([""]), pa.array([len(h) - len(first)])], names=["lang", "phrase", "n"])
             table = pa.table({"phrase": words.strings(first, last[first])}).group_by("phrase").aggregate([([], "count_all")])
@@ -217,7 +270,8 @@ class Graph:
 
     def __init__(self, docs: DataFrame, folder: str, max_words: int = MAX_WORDS, least: int = LEAST, bits: int = BITS):
         self.folder, self.max_words = folder, max_words
-        edges = stage(longest(docs, word_filter(docs, least, bits), max_words, bits).withColumn("k", _size("phrase")), folder, "longest")
+        bitmap = word_filter(docs, least, bits, max_words)
+        edges = stage(longest(docs, bitmap, max_words, bits).withColumn("k", _size("phrase")), folder, "longest")
         flow = edges.filter(F.col("k") == max_words).select("lang", "phrase", "n")
         levels = [flow]
         for k in range(max_words - 1, 0, -1):
@@ -231,6 +285,9 @@ class Graph:
         for f in frequent[1:]:
             counts = counts.union(f)
         self.counts = stage(counts, folder, "counts")
+        # Only counts and totals are read from here on.
+        for name in ("longest", *(f"flow-{k}" for k in range(1, max_words))):
+            remove(docs.sparkSession, f"{folder}/{name}")
 
     def level(self, k: int) -> DataFrame:
         return self.counts.filter(F.col("k") == k).select("lang", "phrase", "n")

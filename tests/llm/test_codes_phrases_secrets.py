@@ -143,6 +143,38 @@ def test_longer_phrases_and_paths(spark):
     assert edges == {(r["lang"], r["phrase"]): r["n"] for r in graph.level(3).collect()}
 
 
+def test_rare_phrases_stay_out_of_the_shuffle(spark, tmp_path):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(20)]        # each pair about 50 times, each triple about twice
+    rows = [(" ".join(rng.choices(words, k=100)), "en") for _ in range(200)] + [("one two three. once only", "en")] * 7 + [("a rare end", None)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    exact = {k: Counter() for k in (1, 2, 3)}
+    for text, lang in rows:
+        for piece in text.split(". "):
+            w = piece.split()
+            for k, c in exact.items():
+                c.update((lang or "und", " ".join(w[i:i + k])) for i in range(len(w) - k + 1))
+    counted = phrase_graph.longest(df, phrase_graph.word_filter(df, 7)).collect()
+    triples = {(r["lang"], r["phrase"]): r["n"] for r in counted if r["phrase"].count(" ") == 2}
+    often = {p: n for p, n in exact[3].items() if n >= 7}
+    assert often.items() <= triples.items() and ("en", "one two three") in triples
+    assert len(triples) - len(often) < 10 < len(exact[3]) / 100      # but for a few that share a bucket
+    # What is cut short still adds up, and nothing that is summed already stays on disk.
+    graph = phrase_graph.Graph(df, str(tmp_path / "graph"), least=7)
+    for k, c in exact.items():
+        assert {(r["lang"], r["phrase"]): r["n"] for r in graph.level(k).collect()} == {p: n for p, n in c.items() if n >= 7}
+    assert sorted(p.name for p in (tmp_path / "graph").iterdir()) == ["counts", "totals"]
+
+
+@pytest.mark.parametrize("bits", [8, 28])
+def test_least_counts_past_a_byte(spark, bits):
+    rows = [("x y z x y. " * n, "en") for n in (1, 90, 150, 58)] + [("v v", None)] * 299
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    got = phrase_graph.phrases(df, scratch(spark), least=300, percent=101, bits=bits).collect()
+    assert sorted(map(tuple, got)) == ranked_phrases(rows, least=300, percent=101)
+    assert len(got) > 0
+
+
 def test_score_is_exact_past_64_bits(spark):
     rows = [(10**14 + 7, 10**14 + 9, 10**14 + 8), (3, 7, 9), (999_999_999_999, 10**12, 10**12), (10, 10, 10)]
     df = spark.createDataFrame(rows, "a bigint, l bigint, r bigint").select("*", phrase_graph.score().alias("s"))
